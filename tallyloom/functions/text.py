@@ -81,9 +81,22 @@ def strip_tags(markup: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]*>", " "), r"\s+", " "))
 
 
-def drop_anchors(markup: Column) -> Column:
-    """Remove anchor elements with their text; each anchor ends at its own close tag."""
-    return F.regexp_replace(markup, r"(?s)<a\s.*?</a>", "")
+def text_content(markup: Column) -> Column:
+    """Text of inline markup as a reader sees it: tags vanish, common entities are decoded."""
+    out = F.regexp_replace(markup, "<[^>]*>", "")
+    # Entities; the ampersand comes last so that nothing is decoded twice.
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return out
+
+
+def drop_anchors(markup: Column, greedy: bool = False) -> Column:
+    """Remove anchor elements with their text.
+
+    Each anchor ends at its own close tag. The greedy form removes everything
+    from the first anchor to the last close tag.
+    """
+    return F.regexp_replace(markup, r"(?s)<a\s.*</a>" if greedy else r"(?s)<a\s.*?</a>", "")
 
 
 def capitalised_runs(text: Column) -> Column:

@@ -1 +1,191 @@
-"""."""
+"""Stationarity, lag models, causality and forecasts over many series at once."""
+
+from __future__ import annotations
+
+from pyspark.ml.stat import KolmogorovSmirnovTest
+from pyspark.sql import functions as F
+
+from tallyloom.operators import series_models as sm
+from tallyloom.operators import stats
+from tallyloom.plans.registry import query
+from tallyloom.plans.series import daily_series, hourly_series, rebuilt, rounded
+from tallyloom.plans.views import Tables, event_rows, with_views
+
+LAGGED = """lagged AS (SELECT *, lag(y) OVER (PARTITION BY series ORDER BY pos) AS y1 FROM daily)"""
+
+
+@query("adf_test")
+def adf_test(t: Tables):
+    """Unit-root test of every daily series."""
+    return sm.adf(daily_series(t), "series", max_lag=28)
+
+
+@query("df_test", with_views("daily", """
+SELECT series, n AS nobs, CAST(0 AS INT) AS lags, round(b / se, 5) AS stat,
+  round(-3.43035 - 6.5393 / n - 16.786 / n ^ 2 - 79.433 / n ^ 3, 6) AS crit_1 FROM (
+  SELECT series, count(*) AS n, regr_slope(y - y1, y1) AS b,
+    sqrt((regr_syy(y - y1, y1) - regr_sxy(y - y1, y1) ^ 2 / regr_sxx(y - y1, y1)) / (count(*) - 2) / regr_sxx(y - y1, y1)) AS se
+  FROM lagged WHERE y1 IS NOT NULL GROUP BY 1)""", LAGGED))
+def df_test(t: Tables):
+    """The unit-root test without lagged differences."""
+    return sm.adf(daily_series(t), "series", max_lag=0).select(
+        "series", "nobs", "lags", F.round("stat", 5).alias("stat"), F.round("crit_1", 6).alias("crit_1")
+    )
+
+
+@query("pacf")
+def pacf(t: Tables):
+    """Partial autocorrelation to lag 20."""
+    return sm.pacf(daily_series(t), "series")
+
+
+@query("pacf_lag1", with_views("daily", """
+SELECT series, CAST(1 AS INT) AS lag, round(regr_slope(y, y1), 6) AS pacf FROM lagged WHERE y1 IS NOT NULL GROUP BY 1""", LAGGED))
+def pacf_lag1(t: Tables):
+    """The first lag, which is a plain regression slope."""
+    return rounded(sm.pacf(daily_series(t), "series", max_lag=1).filter("lag = 1").drop("band"), "pacf")
+
+
+@query("ar_fit")
+def ar_fit(t: Tables):
+    """AR(3) coefficients with standard errors."""
+    return sm.arma(daily_series(t), "series", 3, 0).summary
+
+
+@query("ar1_fit", with_views("daily", """
+SELECT series, 'ar1' AS term, count(*) AS nobs, round(regr_slope(y, y1), 6) AS coef,
+  round(sqrt((regr_syy(y, y1) - regr_sxy(y, y1) ^ 2 / regr_sxx(y, y1)) / (count(*) - 2) / regr_sxx(y, y1)), 6) AS se
+FROM lagged WHERE y1 IS NOT NULL GROUP BY 1""", LAGGED))
+def ar1_fit(t: Tables):
+    """AR(1) with constant: slope and standard error."""
+    s = sm.arma(daily_series(t), "series", 1, 0).summary.filter("term = 'ar1'")
+    return rounded(s.drop("t"), "coef", "se")
+
+
+@query("ar_fitted")
+def ar_fitted(t: Tables):
+    """Fitted values and residuals of AR(3)."""
+    return sm.arma(daily_series(t), "series", 3, 0).fitted
+
+
+@query("ma_fit")
+def ma_fit(t: Tables):
+    """MA(4) coefficients."""
+    return sm.arma(daily_series(t), "series", 0, 4).summary
+
+
+@query("arma_fit")
+def arma_fit(t: Tables):
+    """ARMA(3, 4) coefficients of daily series."""
+    return sm.arma(daily_series(t), "series", 3, 4).summary
+
+
+@query("arma_fit_hourly")
+def arma_fit_hourly(t: Tables):
+    """ARMA(3, 6) coefficients of hourly series."""
+    return sm.arma(hourly_series(t), "series", 3, 6).summary
+
+
+ARMA11_SQL = """c AS (SELECT h.series, h.pos, h.y - m.mu AS d FROM hourly h JOIN (
+  SELECT series, avg(y) AS mu FROM hourly GROUP BY 1) m ON m.series = h.series),
+l AS (SELECT *, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM c WINDOW w AS (PARTITION BY series ORDER BY pos)),
+g AS (SELECT series, sum(d1 * d1) AS a, sum(d1 * d2) AS b, sum(d2 * d2) AS e, sum(d1 * d) AS r, sum(d2 * d) AS s
+  FROM l WHERE pos >= 2 GROUP BY 1),
+phi AS (SELECT series, (r * e - s * b) / (a * e - b * b) AS f1, (s * a - r * b) / (a * e - b * b) AS f2 FROM g),
+sh AS (SELECT l.series, pos, d, d1, CASE WHEN pos >= 2 THEN d - f1 * d1 - f2 * d2 END AS e
+  FROM l JOIN phi ON phi.series = l.series),
+sl AS (SELECT *, lag(e) OVER (PARTITION BY series ORDER BY pos) AS e1 FROM sh)"""
+
+
+def hourly_deviations(t: Tables):
+    return sm.deviations(hourly_series(t), "series", "y", "d").select("series", "pos", "d")
+
+
+@query("arma_11_fit", with_views("hourly", """
+SELECT series, count(*) AS nobs,
+  round((sum(d1 * d) * sum(e1 * e1) - sum(e1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2), 5) AS ar1,
+  round((sum(e1 * d) * sum(d1 * d1) - sum(d1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2), 5) AS ma1
+FROM sl WHERE pos >= 3 GROUP BY 1""", ARMA11_SQL))
+def arma_11_fit(t: Tables):
+    """ARMA(1, 1) without constant, shocks from an AR(2)."""
+    s = sm.arma(hourly_deviations(t), "series", 1, 1, constant=False, long_order=2, y="d").summary
+    return s.groupBy("series", "nobs").agg(
+        F.round(F.max(F.when(F.col("term") == "ar1", F.col("coef"))), 5).alias("ar1"),
+        F.round(F.max(F.when(F.col("term") == "ma1", F.col("coef"))), 5).alias("ma1"),
+    )
+
+
+@query("armax_fit")
+def armax_fit(t: Tables):
+    """ARMA(1, 1) of hourly counts with the hourly mean value as exogenous series."""
+    extra = event_rows(t).groupBy("series", F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("level"))
+    both = hourly_series(t).join(extra, ["series", "ts"], "left").na.fill(0.0, ["level"])
+    return sm.arma(both, "series", 1, 1, exog=["level"]).summary
+
+
+PAIRED = """paired AS (SELECT a.series, a.pos, a.y, lag(a.y) OVER w AS y1, lag(b.y) OVER w AS x1
+  FROM hourly a JOIN hourly b ON b.series = 'view' AND b.ts = a.ts WHERE a.series <> 'view'
+  WINDOW w AS (PARTITION BY a.series ORDER BY a.pos))"""
+
+
+def hourly_pairs(t: Tables):
+    """Each event type beside the hourly views, aligned on the hour and numbered afresh."""
+    from tallyloom.operators.halo import index_rows
+
+    h = hourly_series(t)
+    views = h.filter("series = 'view'").select("ts", F.col("y").alias("x"))
+    both = h.filter("series <> 'view'").select("series", "ts", "y").join(views, "ts")
+    return index_rows(both, ["series"], "ts")
+
+
+@query("granger_test")
+def granger_test(t: Tables):
+    """Do hourly views help to predict the other event counts? Lags 1 to 10."""
+    return sm.granger(hourly_pairs(t), "series")
+
+
+@query("granger_lag1", with_views("hourly", """
+SELECT series, n - 3 AS df_den, round((r2u - r2r) / ((1 - r2u) / (n - 3)), 4) AS f_stat FROM (
+  SELECT series, n, a * a AS r2r, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS r2u FROM (
+    SELECT series, count(*) AS n, corr(y, y1) AS a, corr(y, x1) AS b, corr(y1, x1) AS c
+    FROM paired WHERE y1 IS NOT NULL GROUP BY 1))""", PAIRED))
+def granger_lag1(t: Tables):
+    """The causality test at lag 1, where the two fits have a closed form."""
+    g = sm.granger(hourly_pairs(t), "series", max_lag=1)
+    return g.select("series", "df_den", F.round("f_stat", 4).alias("f_stat"))
+
+
+@query("walk_forward", with_views("hourly", """
+SELECT series, pos, round(CASE WHEN det > 1e-10 * yy * ee THEN (y0 * ee - e0 * ye) / det * d1 + (e0 * yy - y0 * ye) / det * e1 END, 5) AS forecast
+FROM (SELECT *, yy * ee - ye * ye AS det FROM (
+  SELECT series, pos, d1, e1, sum(d1 * d1) FILTER (e1 IS NOT NULL) OVER w AS yy, sum(d1 * e1) OVER w AS ye, sum(e1 * e1) OVER w AS ee,
+    sum(d1 * d) FILTER (e1 IS NOT NULL) OVER w AS y0, sum(e1 * d) OVER w AS e0 FROM wl
+  WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) WHERE pos >= 48""", """
+c AS (SELECT h.series, h.pos, h.y - m.mu AS d FROM hourly h JOIN (
+  SELECT series, avg(y) AS mu FROM hourly GROUP BY 1) m ON m.series = h.series),
+l AS (SELECT *, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM c WINDOW w AS (PARTITION BY series ORDER BY pos)),
+g AS (SELECT *, sum(d1 * d1) FILTER (pos >= 2) OVER w AS a, sum(d1 * d2) OVER w AS b, sum(d2 * d2) OVER w AS e,
+    sum(d1 * d) FILTER (pos >= 2) OVER w AS r, sum(d2 * d) OVER w AS s FROM l
+  WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+we AS (SELECT series, pos, d, d1, CASE WHEN pos >= 2 AND 1 - b * b / (a * e) > 1e-10
+    THEN d - (r * e - s * b) / (a * e - b * b) * d1 - (s * a - r * b) / (a * e - b * b) * d2 END AS sh FROM g),
+wl AS (SELECT *, lag(sh) OVER (PARTITION BY series ORDER BY pos) AS e1 FROM we)"""))
+def walk_forward(t: Tables):
+    """One-step forecasts from ARMA(1, 1) re-estimated before each hour."""
+    f = sm.walk_forward(hourly_deviations(t), "series", start=48, long_order=2, y="d")
+    return rounded(f.select("series", "pos", "forecast"), "forecast", places=5)
+
+
+@query("walk_forward_error")
+def walk_forward_error(t: Tables):
+    """Squared error of the forecasts with a longer first stage, per series."""
+    f = sm.walk_forward(hourly_deviations(t), "series", start=48, long_order=4, y="d")
+    return stats.fit_errors(f, "d", "forecast", "series")
+
+
+@query("residual_ks")
+def residual_ks(t: Tables):
+    """Kolmogorov-Smirnov test of the pooled AR(1) residuals against a fitted normal."""
+    rest = rebuilt(t).select((F.col("rest") - F.col("fitted")).alias("resid")).filter("resid IS NOT NULL")
+    m = rest.agg(F.avg("resid"), F.stddev_samp("resid")).first()
+    return KolmogorovSmirnovTest.test(rest, "resid", "norm", float(m[0]), float(m[1]))
