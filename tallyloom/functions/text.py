@@ -29,9 +29,10 @@ def word_grams(words: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring words joined by a blank; empty when the text is shorter."""
     if n == 1:
         return words
-    starts = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+    # shifted copies side by side: one pass over the words, whatever their expression costs
+    length = F.greatest(F.size(words) - F.lit(n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(words, i + 1, length).alias(f"w{i}") for i in range(n)])
+    return F.transform(shifted, lambda s: F.concat_ws(" ", *[s[f"w{i}"] for i in range(n)]))
 
 
 def char_grams(words: Column, n: int = 3) -> Column:

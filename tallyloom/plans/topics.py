@@ -1 +1,153 @@
-"""."""
+"""Topic models over texts; assignment, components, weighted scores and tails."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from tallyloom.functions.vectors import as_array, top_index, top_indices
+from tallyloom.operators import counts, entities, patterns, topics
+from tallyloom.plans.language import prepared, scored_texts
+from tallyloom.plans.registry import query
+from tallyloom.plans.views import Tables, texts, vectors
+
+TOPICS = 5
+
+
+def text_frame(t: Tables):
+    """Texts with their free words, spread by id so that a rerun sees the same order."""
+    return prepared(t).select("id", "language", "text", "stopWordFree").repartition("id").sortWithinPartitions("id")
+
+
+def fitted(t: Tables, n: int = 2, k: int = TOPICS):
+    frame = text_frame(t)
+    return topics.fit_topics(frame, "stopWordFree", k, n=n, size=2000), frame
+
+
+def with_topics(t: Tables):
+    model, frame = fitted(t)
+    scored = model.transform(frame).select("id", "language", "text", as_array(F.col("topicDistribution")).alias("weights"))
+    return scored
+
+
+def topic_sentiment(t: Tables):
+    """(id, language, text, topic, weighted): topic weights times the hybrid score."""
+    joined = with_topics(t).join(scored_texts(t).select("id", "hybrid"), "id")
+    return topics.weighted_scores(joined, "weights", "hybrid", "id", "language", "text")
+
+
+@query("lda_topics")
+def lda_topics(t: Tables):
+    """Topic weights of every text."""
+    return with_topics(t).select("id", F.posexplode("weights").alias("topic", "weight"))
+
+
+@query("topic_terms")
+def topic_terms(t: Tables):
+    """The ten heaviest word pairs of each topic."""
+    return topics.topic_terms(fitted(t)[0], 10)
+
+
+@query("lda_sweep")
+def lda_sweep(t: Tables):
+    """Likelihood and perplexity for word runs of one to three words and several topic counts."""
+    return topics.sweep(text_frame(t), "stopWordFree", [1, 2, 3], [2, 5], max_iter=10, size=2000)
+
+
+@query("topic_assign")
+def topic_assign(t: Tables):
+    """First topic and first three topics of every text, and the size of each topic."""
+    a = topics.assign(with_topics(t), F.col("weights"))
+    return a.select("id", "top_topic", F.array_join("top_topics", ",").alias("top_topics"))
+
+
+@query("topic_share")
+def topic_share(t: Tables):
+    """Texts per first topic with their fraction."""
+    return counts.share_of_total(topics.assign(with_topics(t), F.col("weights")), "top_topic")
+
+
+@query("topk_vector_index", """
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS top1,
+  array_to_string(list_transform(list_sort(list_transform(range(1, len(embedding) + 1),
+    lambda i: {'v': -embedding[i], 'i': i - 1}))[1:3], lambda s: s.i), ',') AS top3 FROM embeddings""")
+def topk_vector_index(t: Tables):
+    """Places of the greatest and of the three greatest entries of each vector."""
+    v = F.col("embedding")
+    return vectors(t).select("vec_id", top_index(v).alias("top1"), F.array_join(top_indices(v, 3), ",").alias("top3"))
+
+
+@query("cluster_centroids", """
+WITH flat AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+SELECT label, CAST(dim AS INT) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM flat GROUP BY 1, 2
+UNION ALL SELECT NULL, CAST(dim AS INT), round(avg(CAST(v AS DOUBLE)), 6) FROM flat GROUP BY 2""")
+def cluster_centroids(t: Tables):
+    """Mean vector of each cluster and of all rows."""
+    return topics.centroids(vectors(t), "label", "embedding").withColumn("mean", F.round("mean", 6))
+
+
+@query("pca_2d")
+def pca_2d(t: Tables):
+    """Two components of the scaled vectors beside the cluster."""
+    v = vectors(t).select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return topics.components(v, "features")[0].drop("features")
+
+
+@query("topic_weighted_score")
+def topic_weighted_score(t: Tables):
+    """Topic weights times the sentiment of the text, in long form."""
+    return topic_sentiment(t).drop("text")
+
+
+@query("vector_weighted_score", """
+WITH flat AS (SELECT vec_id, label, embedding AS e, generate_subscripts(embedding, 1) - 1 AS dim,
+  unnest(embedding) AS v FROM embeddings)
+SELECT vec_id, CAST(dim AS INT) AS dim, round(CAST(v AS DOUBLE) * label, 6) AS weighted FROM flat""")
+def vector_weighted_score(t: Tables):
+    """The same product for given vectors."""
+    w = topics.weighted_scores(vectors(t), "embedding", "label", "vec_id", topic="dim")
+    return w.withColumn("weighted", F.round("weighted", 6))
+
+
+TAILS = """WITH flat AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+bound AS (SELECT dim, avg(v) AS m, stddev_samp(v) AS s FROM flat GROUP BY 1),
+tail AS (SELECT f.vec_id, f.dim, CASE WHEN v > m + 2 * s THEN 'positive' ELSE 'negative' END AS tail
+  FROM flat f JOIN bound b ON b.dim = f.dim WHERE v > m + 2 * s OR v < m - 2 * s)"""
+
+
+def vector_tails(t: Tables):
+    flat = vectors(t).select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v"))
+    return topics.tails(flat, "dim", "v")
+
+
+@query("vector_tails", TAILS + " SELECT vec_id, CAST(dim AS INT) AS dim, tail FROM tail")
+def vector_tails_query(t: Tables):
+    """Rows beyond two deviations of their dimension, all dimensions in one pass."""
+    return vector_tails(t).select("vec_id", "dim", "tail")
+
+
+@query("tail_only_terms", TAILS + """,
+terms AS (SELECT DISTINCT dim, tail, source FROM tail JOIN documents ON vec_id = doc_id)
+SELECT CAST(dim AS INT) AS dim, source FROM terms n WHERE tail = 'negative' AND NOT EXISTS (
+  SELECT 1 FROM terms p WHERE p.dim = n.dim AND p.source = n.source AND p.tail = 'positive')""")
+def tail_only_terms(t: Tables):
+    """Terms of the negative tail that the positive tail of the same dimension lacks."""
+    docs = t.documents.select(F.col("doc_id").alias("vec_id"), "source")
+    found = vector_tails(t).join(docs, "vec_id")
+    return counts.terms_not_in(found.filter("tail = 'negative'"), found.filter("tail = 'positive'"), ["dim", "source"])
+
+
+@query("topic_tail_entities")
+def topic_tail_entities(t: Tables):
+    """Names in the texts of each topic's tails, all topics in one pass."""
+    found = topics.tails(topic_sentiment(t), "topic", "weighted")
+    return entities.entity_counts(found, "text", "topic", "tail", "language")
+
+
+@query("topic_tail_trigrams")
+def topic_tail_trigrams(t: Tables):
+    """Frequent three-word runs in the negative tail of each topic."""
+    found = topics.tails(topic_sentiment(t), "topic", "weighted").filter("tail = 'negative'")
+    runs = patterns.run_baskets(found, "text", 3, "topic")
+    sets = patterns.mine_per_group(runs, "topic", "items", list(range(TOPICS)), 0.34, min_rows=5)
+    return sets.select("topic", F.array_join("items", "|").alias("items"), "size", "freq")
