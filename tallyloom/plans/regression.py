@@ -1 +1,185 @@
-"""."""
+"""Hourly occupancy explained by area counts and temperature."""
+
+from __future__ import annotations
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from tallyloom.operators import regression, stats
+from tallyloom.plans.registry import query
+from tallyloom.plans.views import Tables, area_hourly, event_rows, occupancy_hourly, weather_hourly, with_views
+from tallyloom.sources.models import load_model, save_model
+from tallyloom.storage import scratch_path
+
+AREAS = [1, 2, 3, 4, 5, 6, 7]
+FEATURES = ["temperature", *[f"count_{a}" for a in AREAS]]
+CODES = ["click", "error", "purchase", "signup", "view"]
+MINUTE = "yyyy-MM-dd HH:mm"
+
+
+def wide(t: Tables):
+    return regression.wide_counts(area_hourly(t), "ts", "cluster", "count", AREAS)
+
+
+def frame(t: Tables):
+    """One row per code and hour: label, temperature and seven area counts."""
+    return regression.feature_frame(occupancy_hourly(t), wide(t), weather_hourly(t))
+
+
+WIDE = "wide AS (SELECT ts, " + ", ".join(
+    f"sum(cnt) FILTER (cluster = {a}) AS count_{a}" for a in AREAS
+) + " FROM area_hourly GROUP BY 1 HAVING " + " AND ".join(f"count(*) FILTER (cluster = {a}) > 0" for a in AREAS) + """),
+frame AS (SELECT o.code, w.*, o.label, h.temperature FROM occupancy_hourly o JOIN wide w ON w.ts = o.ts
+  JOIN weather_hourly h ON h.ts = o.ts)"""
+VIEWS = "occupancy_hourly area_hourly weather_hourly"
+COUNTS = ", ".join(f"count_{a}" for a in AREAS)
+
+
+@query("wide_feature_join", with_views(VIEWS, f"""
+SELECT strftime(w.ts, '%Y-%m-%d %H:%M') AS hour, round(temperature, 6) AS temperature, {COUNTS}
+FROM wide w JOIN weather_hourly h ON h.ts = w.ts""", WIDE))
+def wide_feature_join(t: Tables):
+    """Seven area counts beside the temperature: one pivot and one join."""
+    w = wide(t).join(weather_hourly(t), "ts")
+    return w.select(
+        F.date_format("ts", MINUTE).alias("hour"), F.round("temperature", 6).alias("temperature"), *FEATURES[1:]
+    )
+
+
+@query("reg_frame", with_views(VIEWS, f"""
+SELECT code, strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(label, 6) AS label, round(temperature, 6) AS temperature, {COUNTS}
+FROM frame""", WIDE))
+def reg_frame(t: Tables):
+    """The frame the regressors see."""
+    return frame(t).select(
+        "code", F.date_format("ts", MINUTE).alias("hour"), F.round("label", 6).alias("label"),
+        F.round("temperature", 6).alias("temperature"), *FEATURES[1:],
+    )
+
+
+PAIRS = [("label", f) for f in FEATURES]
+
+
+@query("reg_corr", with_views(VIEWS, " UNION ALL ".join(
+    f"SELECT code, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM frame GROUP BY 1"
+    for i, a in enumerate(["label", *FEATURES]) for b in ["label", *FEATURES][i + 1:]), WIDE))
+def reg_corr(t: Tables):
+    """All correlations of label and features, per code, in one aggregation."""
+    r = stats.pairwise_corr(frame(t), ["label", *FEATURES], "code")
+    return r.withColumn("r", F.round("r", 6))
+
+
+@query("reg_split")
+def reg_split(t: Tables):
+    """Rows per code in training and held out."""
+    mark = regression.in_training(["code", "ts"]).alias("train")
+    return frame(t).select("code", mark).groupBy("code", "train").agg(F.count(F.lit(1)).alias("n"))
+
+
+def training(t: Tables, code: str = "purchase"):
+    data = regression.assembled(frame(t).filter(F.col("code") == code), FEATURES)
+    return data.withColumn("_train", regression.in_training(["code", "ts"]))
+
+
+@query("linreg_grid")
+def linreg_grid(t: Tables):
+    """Validation error of twelve linear settings."""
+    model = regression.linear_grid(training(t).filter("_train").select("label", "features"))
+    return regression.grid_table(model, t.spark)
+
+
+@query("linreg_summary")
+def linreg_summary(t: Tables):
+    """Coefficients with errors and p-values of a plain linear fit."""
+    model = LinearRegression(solver="normal").fit(training(t).select("label", "features"))
+    return regression.summary_table(model, FEATURES, t.spark)
+
+
+@query("linreg_training")
+def linreg_training(t: Tables):
+    """Training metrics of a plain linear fit."""
+    model = LinearRegression(solver="normal").fit(training(t).select("label", "features"))
+    return regression.training_table(model, t.spark)
+
+
+@query("linreg_simple", with_views("event_rows", """
+SELECT round(regr_slope(value, k), 6) AS slope, round(regr_intercept(value, k), 6) AS intercept,
+  round(regr_r2(value, k), 6) AS r2, count(*) AS n FROM event_rows"""))
+def linreg_simple(t: Tables):
+    """One feature over all events: slope, intercept and R2."""
+    data = regression.assembled(event_rows(t).select(F.col("value").alias("label"), F.col("k").cast("double").alias("k")), ["k"])
+    model = LinearRegression(solver="normal").fit(data)
+    scored = model.transform(data)
+    errors = stats.fit_errors(scored, "label", "prediction")
+    return errors.select(
+        F.round(F.lit(float(model.coefficients[0])), 6).alias("slope"),
+        F.round(F.lit(float(model.intercept)), 6).alias("intercept"),
+        F.round("r2", 6).alias("r2"),
+        "n",
+    )
+
+
+@query("linreg_per_key", with_views("event_rows", """
+SELECT series, round(regr_slope(value, k), 6) AS coef, count(*) AS nobs, round(regr_r2(value, k), 6) AS r2,
+  round(sqrt((regr_syy(value, k) - regr_sxy(value, k) ^ 2 / regr_sxx(value, k)) / (count(*) - 2) / regr_sxx(value, k)), 6) AS se
+FROM event_rows GROUP BY 1"""))
+def linreg_per_key(t: Tables):
+    """The same regression for every event type in one job."""
+    fits = regression.linear_per_key(event_rows(t), "series", "value", ["k"]).filter("term = 'k'")
+    return fits.select("series", "nobs", *[F.round(c, 6).alias(c) for c in ("coef", "se", "r2")])
+
+
+@query("linreg_features_per_key")
+def linreg_features_per_key(t: Tables):
+    """Temperature and seven area counts, for every code in one job."""
+    return regression.linear_per_key(frame(t), "code", "label", FEATURES)
+
+
+@query("tree_reg")
+def tree_reg(t: Tables):
+    """Held-out predictions and residuals of a decision tree."""
+    data = training(t)
+    model = regression.FAMILIES["tree"](data.filter("_train").select("label", "features"))
+    scored = model.transform(data.filter("NOT _train"))
+    return scored.select(F.date_format("ts", MINUTE).alias("hour"), "label", "prediction", (F.col("prediction") - F.col("label")).alias("res"))
+
+
+@query("gbt_reg")
+def gbt_reg(t: Tables):
+    """Held-out predictions and residuals of boosted trees."""
+    data = training(t)
+    model = regression.FAMILIES["gbt"](data.filter("_train").select("label", "features"))
+    scored = model.transform(data.filter("NOT _train"))
+    return scored.select(F.date_format("ts", MINUTE).alias("hour"), "label", "prediction", (F.col("prediction") - F.col("label")).alias("res"))
+
+
+@query("feature_importance")
+def feature_importance(t: Tables):
+    """Weights of the features in the boosted model."""
+    model = regression.FAMILIES["gbt"](training(t).filter("_train").select("label", "features"))
+    return regression.importance_table(model, FEATURES, t.spark)
+
+
+@query("model_compare")
+def model_compare(t: Tables):
+    """Three model families for each code, by held-out error."""
+    return regression.compare(frame(t), "code", CODES, FEATURES, ["linear", "tree", "gbt"], ["code", "ts"])
+
+
+@query("model_roundtrip")
+def model_roundtrip(t: Tables):
+    """Each family saved, loaded and applied again: rows and unequal predictions."""
+    data = training(t).select("label", "features")
+    root = scratch_path(t.spark, "models")
+    out = None
+    for family, fit in regression.FAMILIES.items():
+        model = fit(data)
+        save_model(model, root, family, code="purchase")
+        again = load_model(root, family, code="purchase")
+        first = model.transform(data).withColumnRenamed("prediction", "first")
+        both = again.transform(first)
+        row = both.agg(
+            F.lit(family).alias("family"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") != F.col("prediction")).alias("unequal")
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
