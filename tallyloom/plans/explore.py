@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import parse_tags, real_tags
 from tallyloom.operators import counts
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, baskets, post_engagement, posts, tag_strings, texts, with_views
 
 # The category that plays the undecided language in the test data.
@@ -72,14 +72,14 @@ def daily_count_lang(t: Tables):
 
 
 @query("topk_group_share", with_views("posts", """
-SELECT month, language, n, CAST(rank AS INT) AS rank, round(percent, 6) AS percent FROM (
+SELECT month, language, n, CAST(rank AS INT) AS rank, round(round(percent, 9), 6) AS percent FROM (
   SELECT month, language, n, row_number() OVER (PARTITION BY month ORDER BY n DESC, language) AS rank,
          100.0 * n / sum(n) OVER (PARTITION BY month) AS percent
   FROM (SELECT month, language, count(*) AS n FROM posts GROUP BY 1, 2)) WHERE rank <= 3"""))
 def topk_group_share(t: Tables):
     """The three most frequent languages of each month with their percentage."""
     best = counts.top_share_in_group(posts(t), "month", "language", 3)
-    return best.withColumn("percent", F.round("percent", 6))
+    return best.withColumn("percent", steady("percent", 6))
 
 
 @query("union_monthly", with_views("posts", """
@@ -180,29 +180,29 @@ def terms_per_day(t: Tables):
 
 
 @query("tag_cardinality", with_views("tagged", """
-SELECT language, CAST(bucket AS INT) AS bucket, n, round(n / sum(n) OVER (PARTITION BY language), 6) AS share,
+SELECT language, CAST(bucket AS INT) AS bucket, n, round(round(n / sum(n) OVER (PARTITION BY language), 9), 6) AS share,
   CASE WHEN bucket > 0 THEN
-    round(n / sum(CASE WHEN bucket > 0 THEN n END) OVER (PARTITION BY language), 6) END AS share_tagged
+    round(round(n / sum(CASE WHEN bucket > 0 THEN n END) OVER (PARTITION BY language), 9), 6) END AS share_tagged
 FROM (SELECT language, least(size, 6) AS bucket, count(*) AS n
       FROM (SELECT id, language, count(tag) AS size FROM tagged GROUP BY 1, 2) GROUP BY 1, 2)"""))
 def tag_cardinality(t: Tables):
     """Posts with 0, 1 .. 5 and more tags, per language."""
     h = counts.size_histogram(tagged_posts(t), "items", "language")
-    return h.withColumns({c: F.round(c, 6) for c in ("share", "share_tagged")})
+    return h.withColumns({c: steady(c, 6) for c in ("share", "share_tagged")})
 
 
 @query("tag_replication", with_views("tagged", """
 SELECT language, posts, tags, distinct_tags,
-  round(tags / max(tags) OVER (), 6) AS share_tags,
-  round(distinct_tags / max(CASE WHEN language = 'all' THEN distinct_tags END) OVER (), 6) AS share_distinct,
-  round(tags / posts, 6) AS tags_per_post, round(tags / distinct_tags, 6) AS uses_per_tag
+  round(round(tags / max(tags) OVER (), 9), 6) AS share_tags,
+  round(round(distinct_tags / max(CASE WHEN language = 'all' THEN distinct_tags END) OVER (), 9), 6) AS share_distinct,
+  round(round(tags / posts, 9), 6) AS tags_per_post, round(round(tags / distinct_tags, 9), 6) AS uses_per_tag
 FROM (SELECT language, count(DISTINCT id) AS posts, count(tag) AS tags, count(DISTINCT tag) AS distinct_tags
       FROM tagged GROUP BY 1
       UNION ALL SELECT 'all', count(DISTINCT id), count(tag), count(DISTINCT tag) FROM tagged)"""))
 def tag_replication(t: Tables):
     r = counts.tag_replication(tagged_posts(t), "language", "items")
     return r.withColumns(
-        {c: F.round(c, 6) for c in ("share_tags", "share_distinct", "tags_per_post", "uses_per_tag")}
+        {c: steady(c, 6) for c in ("share_tags", "share_distinct", "tags_per_post", "uses_per_tag")}
     )
 
 
@@ -232,10 +232,10 @@ def cluster_terms(t: Tables):
 
 
 @query("cluster_share", """
-SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM embeddings), 6) AS share
+SELECT label, count(*) AS n, round(round(count(*) / (SELECT count(*) FROM embeddings), 9), 6) AS share
 FROM embeddings GROUP BY 1""")
 def cluster_share(t: Tables):
-    return counts.share_of_total(t.embeddings, "label").withColumn("share", F.round("share", 6))
+    return counts.share_of_total(t.embeddings, "label").withColumn("share", steady("share", 6))
 
 
 @query("engagement_rank", with_views("post_engagement", """

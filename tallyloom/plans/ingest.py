@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as tx
 from tallyloom.functions import timeparts as tp
 from tallyloom.operators import cleaning
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, area_hourly, baskets, event_rows, posts, tag_strings, texts, with_views
 from tallyloom.sources import csvs, html, logs
 from tallyloom.storage import scratch_path
@@ -322,18 +322,18 @@ def series_grid(t: Tables):
 
 
 @query("hourly_occupancy", with_views("event_rows", """
-SELECT series, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, round(avg(value), 6) AS value FROM event_rows
+SELECT series, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, round(round(avg(value), 9), 6) AS value FROM event_rows
 WHERE month(ts) BETWEEN 1 AND 10 AND year(ts) = 2024 GROUP BY 1, 2"""))
 def hourly_occupancy(t: Tables):
     """Mean value per key and hour, inside a range of months of one year."""
     kept = event_rows(t).filter(F.month("ts").between(1, 10) & (F.year("ts") == 2024))
     mean = cleaning.mean_per_hour(kept, ["series"], "ts", "value")
-    return mean.select("series", F.date_format("ts", MINUTE).alias("hour"), F.round("value", 6).alias("value"))
+    return mean.select("series", F.date_format("ts", MINUTE).alias("hour"), steady("value", 6).alias("value"))
 
 
 @query("daily_area_mean", with_views("area_hourly", """
-SELECT cluster, CAST(ts AS DATE) AS day, round(avg(cnt), 6) AS count FROM area_hourly GROUP BY 1, 2"""))
+SELECT cluster, CAST(ts AS DATE) AS day, round(round(avg(cnt), 9), 6) AS count FROM area_hourly GROUP BY 1, 2"""))
 def daily_area_mean(t: Tables):
     """Daily mean of hourly counts per area."""
     mean = cleaning.mean_per_day(area_hourly(t), ["cluster"], "ts", "count")
-    return mean.withColumn("count", F.round("count", 6))
+    return mean.withColumn("count", steady("count", 6))

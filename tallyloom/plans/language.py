@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import clean_text, tokens, word_grams
 from tallyloom.operators import counts, entities, language, sentiment, stats
 from tallyloom.plans.ingest import CLEAN_SQL
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, texts, with_views
 
 NAMES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
@@ -136,14 +136,14 @@ def vocabulary(t: Tables):
 
 
 @query("tfidf_terms", free_sql("words", """
-SELECT g.id, g.term, count(*) AS tf, v.df, round(count(*) * ln((m + 1) / (v.df + 1)), 6) AS weight
+SELECT g.id, g.term, count(*) AS tf, v.df, round(round(count(*) * ln((m + 1) / (v.df + 1)), 9), 6) AS weight
 FROM grams g JOIN (SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM grams WHERE n = 1 GROUP BY 1
   HAVING count(DISTINCT id) >= 2 ORDER BY tf DESC, term LIMIT 2000) v ON v.term = g.term,
   (SELECT count(*) AS m FROM texts) WHERE g.n = 1 GROUP BY g.id, g.term, v.df, m""", GRAMS))
 def tfidf_terms(t: Tables):
     """Weighted terms of every text, over a vocabulary of bounded size."""
     w = language.tfidf(prepared(t).select("id", "ngrams"), "id", "ngrams", 2000)
-    return w.select("id", "term", "tf", "df", F.round("weight", 6).alias("weight"))
+    return w.select("id", "term", "tf", "df", steady("weight", 6).alias("weight"))
 
 
 DETECT = """letters AS (SELECT id, 'full' AS src, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM texts
@@ -240,14 +240,14 @@ def hybrid_sentiment(t: Tables):
 
 
 @query("sentiment_tails", polar_sql("""
-SELECT count(*) AS n, round(avg(CASE WHEN s < -0.25 THEN 1.0 ELSE 0.0 END), 6) AS very_negative,
-  round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0.0 END), 6) AS negative, round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive,
-  round(avg(CASE WHEN s > 0.25 THEN 1.0 ELSE 0.0 END), 6) AS very_positive
+SELECT count(*) AS n, round(round(avg(CASE WHEN s < -0.25 THEN 1.0 ELSE 0.0 END), 9), 6) AS very_negative,
+  round(round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0.0 END), 9), 6) AS negative, round(round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), 9), 6) AS positive,
+  round(round(avg(CASE WHEN s > 0.25 THEN 1.0 ELSE 0.0 END), 9), 6) AS very_positive
 FROM (SELECT CASE WHEN language = 'en' THEN with_context ELSE plain END AS s FROM scored)"""))
 def sentiment_tails(t: Tables):
     """Parts of texts in the tails of the hybrid score."""
     return stats.tail_shares(scored_texts(t), "hybrid", 0.25).select(
-        "n", *[F.round(c, 6).alias(c) for c in ("very_negative", "negative", "positive", "very_positive")]
+        "n", *[steady(c, 6).alias(c) for c in ("very_negative", "negative", "positive", "very_positive")]
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import series_models as sm
 from tallyloom.operators import stats
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import query, steady
 from tallyloom.plans.series import daily_series, hourly_series, rebuilt, rounded
 from tallyloom.plans.views import Tables, event_rows, with_views
 
@@ -21,15 +21,15 @@ def adf_test(t: Tables):
 
 
 @query("df_test", with_views("daily", """
-SELECT series, n AS nobs, CAST(0 AS INT) AS lags, round(b / se, 5) AS stat,
-  round(-3.43035 - 6.5393 / n - 16.786 / n ^ 2 - 79.433 / n ^ 3, 6) AS crit_1 FROM (
+SELECT series, n AS nobs, CAST(0 AS INT) AS lags, round(round(b / se, 9), 5) AS stat,
+  round(round(-3.43035 - 6.5393 / n - 16.786 / n ^ 2 - 79.433 / n ^ 3, 9), 6) AS crit_1 FROM (
   SELECT series, count(*) AS n, regr_slope(y - y1, y1) AS b,
     sqrt((regr_syy(y - y1, y1) - regr_sxy(y - y1, y1) ^ 2 / regr_sxx(y - y1, y1)) / (count(*) - 2) / regr_sxx(y - y1, y1)) AS se
   FROM lagged WHERE y1 IS NOT NULL GROUP BY 1)""", LAGGED))
 def df_test(t: Tables):
     """The unit-root test without lagged differences."""
     return sm.adf(daily_series(t), "series", max_lag=0).select(
-        "series", "nobs", "lags", F.round("stat", 5).alias("stat"), F.round("crit_1", 6).alias("crit_1")
+        "series", "nobs", "lags", steady("stat", 5).alias("stat"), steady("crit_1", 6).alias("crit_1")
     )
 
 
@@ -40,7 +40,7 @@ def pacf(t: Tables):
 
 
 @query("pacf_lag1", with_views("daily", """
-SELECT series, CAST(1 AS INT) AS lag, round(regr_slope(y, y1), 6) AS pacf FROM lagged WHERE y1 IS NOT NULL GROUP BY 1""", LAGGED))
+SELECT series, CAST(1 AS INT) AS lag, round(round(regr_slope(y, y1), 9), 6) AS pacf FROM lagged WHERE y1 IS NOT NULL GROUP BY 1""", LAGGED))
 def pacf_lag1(t: Tables):
     """The first lag, which is a plain regression slope."""
     return rounded(sm.pacf(daily_series(t), "series", max_lag=1).filter("lag = 1").drop("band"), "pacf")
@@ -53,8 +53,8 @@ def ar_fit(t: Tables):
 
 
 @query("ar1_fit", with_views("daily", """
-SELECT series, 'ar1' AS term, count(*) AS nobs, round(regr_slope(y, y1), 6) AS coef,
-  round(sqrt((regr_syy(y, y1) - regr_sxy(y, y1) ^ 2 / regr_sxx(y, y1)) / (count(*) - 2) / regr_sxx(y, y1)), 6) AS se
+SELECT series, 'ar1' AS term, count(*) AS nobs, round(round(regr_slope(y, y1), 9), 6) AS coef,
+  round(round(sqrt((regr_syy(y, y1) - regr_sxy(y, y1) ^ 2 / regr_sxx(y, y1)) / (count(*) - 2) / regr_sxx(y, y1)), 9), 6) AS se
 FROM lagged WHERE y1 IS NOT NULL GROUP BY 1""", LAGGED))
 def ar1_fit(t: Tables):
     """AR(1) with constant: slope and standard error."""
@@ -103,15 +103,15 @@ def hourly_deviations(t: Tables):
 
 @query("arma_11_fit", with_views("hourly", """
 SELECT series, count(*) AS nobs,
-  round((sum(d1 * d) * sum(e1 * e1) - sum(e1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2), 5) AS ar1,
-  round((sum(e1 * d) * sum(d1 * d1) - sum(d1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2), 5) AS ma1
+  round(round((sum(d1 * d) * sum(e1 * e1) - sum(e1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2), 9), 5) AS ar1,
+  round(round((sum(e1 * d) * sum(d1 * d1) - sum(d1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2), 9), 5) AS ma1
 FROM sl WHERE pos >= 3 GROUP BY 1""", ARMA11_SQL))
 def arma_11_fit(t: Tables):
     """ARMA(1, 1) without constant, shocks from an AR(2)."""
     s = sm.arma(hourly_deviations(t), "series", 1, 1, constant=False, long_order=2, y="d").summary
     return s.groupBy("series", "nobs").agg(
-        F.round(F.max(F.when(F.col("term") == "ar1", F.col("coef"))), 5).alias("ar1"),
-        F.round(F.max(F.when(F.col("term") == "ma1", F.col("coef"))), 5).alias("ma1"),
+        steady(F.max(F.when(F.col("term") == "ar1", F.col("coef"))), 5).alias("ar1"),
+        steady(F.max(F.when(F.col("term") == "ma1", F.col("coef"))), 5).alias("ma1"),
     )
 
 
@@ -145,18 +145,18 @@ def granger_test(t: Tables):
 
 
 @query("granger_lag1", with_views("hourly", """
-SELECT series, n - 3 AS df_den, round((r2u - r2r) / ((1 - r2u) / (n - 3)), 4) AS f_stat FROM (
+SELECT series, n - 3 AS df_den, round(round((r2u - r2r) / ((1 - r2u) / (n - 3)), 9), 4) AS f_stat FROM (
   SELECT series, n, a * a AS r2r, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS r2u FROM (
     SELECT series, count(*) AS n, corr(y, y1) AS a, corr(y, x1) AS b, corr(y1, x1) AS c
     FROM paired WHERE y1 IS NOT NULL GROUP BY 1))""", PAIRED))
 def granger_lag1(t: Tables):
     """The causality test at lag 1, where the two fits have a closed form."""
     g = sm.granger(hourly_pairs(t), "series", max_lag=1)
-    return g.select("series", "df_den", F.round("f_stat", 4).alias("f_stat"))
+    return g.select("series", "df_den", steady("f_stat", 4).alias("f_stat"))
 
 
 @query("walk_forward", with_views("hourly", """
-SELECT series, pos, round(CASE WHEN det > 1e-10 * yy * ee THEN (y0 * ee - e0 * ye) / det * d1 + (e0 * yy - y0 * ye) / det * e1 END, 5) AS forecast
+SELECT series, pos, round(round(CASE WHEN det > 1e-10 * yy * ee THEN (y0 * ee - e0 * ye) / det * d1 + (e0 * yy - y0 * ye) / det * e1 END, 9), 5) AS forecast
 FROM (SELECT *, yy * ee - ye * ye AS det FROM (
   SELECT series, pos, d1, e1, sum(d1 * d1) FILTER (e1 IS NOT NULL) OVER w AS yy, sum(d1 * e1) OVER w AS ye, sum(e1 * e1) OVER w AS ee,
     sum(d1 * d) FILTER (e1 IS NOT NULL) OVER w AS y0, sum(e1 * d) OVER w AS e0 FROM wl

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.plans.views import Tables
 
@@ -12,6 +13,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
+def steady(value, places: int = 6):
+    """Rounded for comparison. Two engines sum in different orders, so the last digits
+    are cut first; otherwise a value that ends in 5 could round either way."""
+    return F.round(F.round(value, 9), places)
+
+
 def query(name: str, sql: str | Callable[[], str] | None = None):
     """Register a function of :class:`Tables`; ``sql`` is its comparison text, if one exists."""
 

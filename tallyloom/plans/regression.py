@@ -6,7 +6,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tallyloom.operators import regression, stats
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, area_hourly, event_rows, occupancy_hourly, weather_hourly, with_views
 from tallyloom.sources.models import load_model, save_model
 from tallyloom.storage import scratch_path
@@ -36,24 +36,24 @@ COUNTS = ", ".join(f"count_{a}" for a in AREAS)
 
 
 @query("wide_feature_join", with_views(VIEWS, f"""
-SELECT strftime(w.ts, '%Y-%m-%d %H:%M') AS hour, round(temperature, 6) AS temperature, {COUNTS}
+SELECT strftime(w.ts, '%Y-%m-%d %H:%M') AS hour, round(round(temperature, 9), 6) AS temperature, {COUNTS}
 FROM wide w JOIN weather_hourly h ON h.ts = w.ts""", WIDE))
 def wide_feature_join(t: Tables):
     """Seven area counts beside the temperature: one pivot and one join."""
     w = wide(t).join(weather_hourly(t), "ts")
     return w.select(
-        F.date_format("ts", MINUTE).alias("hour"), F.round("temperature", 6).alias("temperature"), *FEATURES[1:]
+        F.date_format("ts", MINUTE).alias("hour"), steady("temperature", 6).alias("temperature"), *FEATURES[1:]
     )
 
 
 @query("reg_frame", with_views(VIEWS, f"""
-SELECT code, strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(label, 6) AS label, round(temperature, 6) AS temperature, {COUNTS}
+SELECT code, strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(round(label, 9), 6) AS label, round(round(temperature, 9), 6) AS temperature, {COUNTS}
 FROM frame""", WIDE))
 def reg_frame(t: Tables):
     """The frame the regressors see."""
     return frame(t).select(
-        "code", F.date_format("ts", MINUTE).alias("hour"), F.round("label", 6).alias("label"),
-        F.round("temperature", 6).alias("temperature"), *FEATURES[1:],
+        "code", F.date_format("ts", MINUTE).alias("hour"), steady("label", 6).alias("label"),
+        steady("temperature", 6).alias("temperature"), *FEATURES[1:],
     )
 
 
@@ -61,12 +61,12 @@ PAIRS = [("label", f) for f in FEATURES]
 
 
 @query("reg_corr", with_views(VIEWS, " UNION ALL ".join(
-    f"SELECT code, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM frame GROUP BY 1"
+    f"SELECT code, '{a}' AS a, '{b}' AS b, round(round(corr({a}, {b}), 9), 6) AS r FROM frame GROUP BY 1"
     for i, a in enumerate(["label", *FEATURES]) for b in ["label", *FEATURES][i + 1:]), WIDE))
 def reg_corr(t: Tables):
     """All correlations of label and features, per code, in one aggregation."""
     r = stats.pairwise_corr(frame(t), ["label", *FEATURES], "code")
-    return r.withColumn("r", F.round("r", 6))
+    return r.withColumn("r", steady("r", 6))
 
 
 @query("reg_split")
@@ -103,8 +103,8 @@ def linreg_training(t: Tables):
 
 
 @query("linreg_simple", with_views("event_rows", """
-SELECT round(regr_slope(value, k), 6) AS slope, round(regr_intercept(value, k), 6) AS intercept,
-  round(regr_r2(value, k), 6) AS r2, count(*) AS n FROM event_rows"""))
+SELECT round(round(regr_slope(value, k), 9), 6) AS slope, round(round(regr_intercept(value, k), 9), 6) AS intercept,
+  round(round(regr_r2(value, k), 9), 6) AS r2, count(*) AS n FROM event_rows"""))
 def linreg_simple(t: Tables):
     """One feature over all events: slope, intercept and R2."""
     data = regression.assembled(event_rows(t).select(F.col("value").alias("label"), F.col("k").cast("double").alias("k")), ["k"])
@@ -112,21 +112,21 @@ def linreg_simple(t: Tables):
     scored = model.transform(data)
     errors = stats.fit_errors(scored, "label", "prediction")
     return errors.select(
-        F.round(F.lit(float(model.coefficients[0])), 6).alias("slope"),
-        F.round(F.lit(float(model.intercept)), 6).alias("intercept"),
-        F.round("r2", 6).alias("r2"),
+        steady(F.lit(float(model.coefficients[0])), 6).alias("slope"),
+        steady(F.lit(float(model.intercept)), 6).alias("intercept"),
+        steady("r2", 6).alias("r2"),
         "n",
     )
 
 
 @query("linreg_per_key", with_views("event_rows", """
-SELECT series, round(regr_slope(value, k), 6) AS coef, count(*) AS nobs, round(regr_r2(value, k), 6) AS r2,
-  round(sqrt((regr_syy(value, k) - regr_sxy(value, k) ^ 2 / regr_sxx(value, k)) / (count(*) - 2) / regr_sxx(value, k)), 6) AS se
+SELECT series, round(round(regr_slope(value, k), 9), 6) AS coef, count(*) AS nobs, round(round(regr_r2(value, k), 9), 6) AS r2,
+  round(round(sqrt((regr_syy(value, k) - regr_sxy(value, k) ^ 2 / regr_sxx(value, k)) / (count(*) - 2) / regr_sxx(value, k)), 9), 6) AS se
 FROM event_rows GROUP BY 1"""))
 def linreg_per_key(t: Tables):
     """The same regression for every event type in one job."""
     fits = regression.linear_per_key(event_rows(t), "series", "value", ["k"]).filter("term = 'k'")
-    return fits.select("series", "nobs", *[F.round(c, 6).alias(c) for c in ("coef", "se", "r2")])
+    return fits.select("series", "nobs", *[steady(c, 6).alias(c) for c in ("coef", "se", "r2")])
 
 
 @query("linreg_features_per_key")
