@@ -16,9 +16,9 @@ CHUNK = 4096
 MONTH_SECONDS = 30 * 86_400
 
 
-def spread(df: DataFrame, pos: str, before: int, after: int = 0, chunk: int = CHUNK) -> DataFrame:
+def spread(df: DataFrame, pos: str, before: int, after: int = 0, chunk: int | None = None) -> DataFrame:
     """Add ``_chunk`` and ``_home``; rows near a border appear in two chunks."""
-    size = max(chunk, before, after, 1)
+    size = max(chunk or CHUNK, before, after, 1)
     p = F.col(pos)
     own = F.floor(p / size)
     where = F.array_distinct(F.array(own, F.floor((p + before) / size), F.floor((p - after) / size)))
@@ -47,10 +47,10 @@ def index_rows(df: DataFrame, keys: list[str], ts: str, seconds: int = MONTH_SEC
     return numbered.withColumn(name, place).drop("_bucket", "_base")
 
 
-def running_sums(df: DataFrame, keys: list[str], pos: str, cells: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], pos: str, cells: dict[str, Column], chunk: int | None = None) -> DataFrame:
     """Sums of the cells over all earlier rows of the key (the row itself is left out)."""
     own = df.withColumns({f"_x_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in cells.items()})
-    own = own.withColumn("_chunk", F.floor(F.col(pos) / chunk))
+    own = own.withColumn("_chunk", F.floor(F.col(pos) / (chunk or CHUNK)))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = own.groupBy(*keys, "_chunk").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in cells])
     base = totals.select(

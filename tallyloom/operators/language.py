@@ -32,13 +32,13 @@ def without_stop_words(
 
     A row whose language has no list is filtered by the ``default`` list, or kept whole.
     """
-    work, cases = df, None
+    work, cases, empty = df, None, F.array().cast("array<string>")
     known = list(lists)
     for i, (lang, stop) in enumerate(lists.items()):
         mine = F.col(language) == lang
         if lang == default:
             mine = mine | ~F.col(language).isin(known) | F.col(language).isNull()
-        work = work.withColumn(f"_in{i}", F.when(mine, F.col(words)).otherwise(F.array().cast("array<string>")))
+        work = work.withColumn(f"_in{i}", F.when(mine & F.col(words).isNotNull(), F.col(words)).otherwise(empty))
         remover = StopWordsRemover(inputCol=f"_in{i}", outputCol=f"_out{i}", stopWords=stop)
         work = remover.transform(work)
         cases = F.when(mine, F.col(f"_out{i}")) if cases is None else cases.when(mine, F.col(f"_out{i}"))

@@ -289,7 +289,7 @@ def solve_rows(df: DataFrame, order: int, out: str) -> DataFrame:
 
 
 def walk_forward(
-    df: DataFrame, key: str, start: int, long_order: int = 4, y: str = "y", pos: str = "pos", chunk: int = halo.CHUNK
+    df: DataFrame, key: str, start: int, long_order: int = 4, y: str = "y", pos: str = "pos", chunk: int | None = None
 ) -> DataFrame:
     """One-step forecasts of ARMA(1, 1) without constant, re-estimated before each step.
 

@@ -8,7 +8,7 @@ from tallyloom.functions import text as tx
 from tallyloom.functions import timeparts as tp
 from tallyloom.operators import cleaning
 from tallyloom.plans.registry import query, steady
-from tallyloom.plans.views import Tables, area_hourly, baskets, event_rows, posts, tag_strings, texts, with_views
+from tallyloom.plans.views import Tables, area_hourly, baskets, event_rows, posts, raw_pages, tag_strings, texts, with_views
 from tallyloom.sources import csvs, html, logs
 from tallyloom.storage import scratch_path
 
@@ -153,7 +153,7 @@ SELECT page_id, regexp_extract(h, '<title>(.*?)</title>', 1) AS title,
 FROM (SELECT page_id, replace(html, chr(10), '') AS h FROM pages)""")
 def html_extract(t: Tables):
     """Title, heading, links and visible text with and without anchors, for every page."""
-    f = html.page_fields(t.pages)
+    f = html.page_fields(raw_pages(t))
     return f.select(
         "page_id", "title", "heading", F.array_join("links", "|").alias("links"),
         F.md5("visible").alias("visible"), F.md5("unlinked").alias("unlinked"),

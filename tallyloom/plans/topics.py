@@ -15,8 +15,8 @@ TOPICS = 5
 
 
 def text_frame(t: Tables):
-    """Texts with their free words, spread by id so that a rerun sees the same order."""
-    return prepared(t).select("id", "language", "text", "stopWordFree").repartition("id").sortWithinPartitions("id")
+    """Texts with their free words."""
+    return prepared(t).select("id", "language", "text", "stopWordFree")
 
 
 def fitted(t: Tables, n: int = 2, k: int = TOPICS):

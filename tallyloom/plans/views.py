@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import tag_literal
 from tallyloom.session import pin
+from tallyloom.storage import use_all_cores
 
 
 class Tables:
@@ -64,13 +65,18 @@ def tag_strings(t: Tables) -> DataFrame:
 
 
 def texts(t: Tables) -> DataFrame:
-    return t.documents.select(
+    docs = t.documents.select(
         F.col("doc_id").alias("id"),
         "text",
         F.col("lang").alias("language"),
         F.col("source").alias("creator"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")).alias("day"),
     )
+    return use_all_cores(docs, "id")
+
+
+def raw_pages(t: Tables) -> DataFrame:
+    return use_all_cores(t.pages, "page_id")
 
 
 def vectors(t: Tables) -> DataFrame:

@@ -13,7 +13,7 @@ POST_COLUMNS = "id, creator, hashtags, timestamp, reshares, likes, num_replies,
 PARKING_COLUMNS = "name, free, weekday, month, day, year, hour".split(", ")
 
 # A quote inside a cell is doubled, and an empty cell is told from a missing one.
-DIALECT = {"quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "\\N"}
+DIALECT = {"quote": "\"", "escape": "\"", "nullValue": "\\N"}
 
 
 def write_csv(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
