@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.storage import small_side
-
 
 def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """Rows per key; rows with a null key are left out."""
@@ -114,8 +112,8 @@ def rows_of_band(df: DataFrame, key: str, low: int, high: int) -> DataFrame:
 
 
 def rows_of_keys(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of a list of keys; a short list is broadcast, a long one shuffles."""
-    return df.join(small_side(wanted.select(key).distinct()), key, "left_semi")
+    """Rows of a list of keys; Spark broadcasts the list when it turns out short."""
+    return df.join(wanted.select(key), key, "left_semi")
 
 
 def rows_at_group_max(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -131,8 +129,7 @@ def missing_categories(df: DataFrame, group: str, category: str, groups: Column)
     seen groups of a category are a set no longer than that array, so no product
     of the two lists is built.
     """
-    pairs = df.select(group, category).distinct()
-    seen = pairs.groupBy(category).agg(F.collect_set(group).alias("seen"))
+    seen = df.groupBy(category).agg(F.collect_set(group).alias("seen"))
     return seen.select(F.explode(F.array_except(groups, F.col("seen"))).alias(group), category)
 
 

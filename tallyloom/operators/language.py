@@ -74,28 +74,32 @@ def vocabulary(df: DataFrame, terms: str, size: int = 10_000, min_df: int = 2) -
 def tfidf(df: DataFrame, key: str, terms: str, size: int = 10_000, min_df: int = 2) -> DataFrame:
     """(key, term, tf, df, idf, weight) with idf = ln((m + 1) / (df + 1)).
 
-    The vocabulary never exceeds ``size`` rows, which bounds the broadcast.
+    The words are cut and counted once per (key, term); the vocabulary is taken
+    from the same shuffled counts. It never exceeds ``size`` rows, which bounds
+    the broadcast.
     """
     m = df.agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(df, terms, size, min_df).select("term", "df", F.log((m + 1) / (F.col("df") + 1)).alias("idf"))
-    used = df.select(key, F.explode(terms).alias("term")).join(F.broadcast(vocab), "term")
-    per = used.groupBy(key, "term", "df", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    return per.withColumn("weight", F.col("tf") * F.col("idf"))
+    per = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    used = per.groupBy("term").agg(F.sum("tf").alias("_uses"), F.count(F.lit(1)).alias("df"))
+    vocab = used.filter(F.col("df") >= min_df).orderBy(F.desc("_uses"), F.asc("term")).limit(size)
+    weighted = vocab.select("term", "df", F.log((m + 1) / (F.col("df") + 1)).alias("idf"))
+    return per.join(F.broadcast(weighted), "term").withColumn("weight", F.col("tf") * F.col("idf"))
 
 
 def language_hits(df: DataFrame, key: str, text: str, lists: DataFrame) -> DataFrame:
-    """Stop-word hits per (key, language); rows meet the broadcast lists, then are summed."""
-    words = df.select(key, F.explode(tokens(F.col(text), 1, LETTER_BREAK)).alias("word"))
-    return words.join(small_side(lists), "word").groupBy(key, "language").agg(F.count(F.lit(1)).alias("hits"))
+    """Stop-word hits per (key, language); words in no list count under a null language.
+
+    Words meet the broadcast lists and are summed before anything is shuffled.
+    """
+    words = df.select(key, F.explode_outer(tokens(F.col(text), 1, LETTER_BREAK)).alias("word"))
+    return words.join(small_side(lists), "word", "left").groupBy(key, "language").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def detect_language(df: DataFrame, key: str, text: str, lists: DataFrame, out: str = "detected") -> DataFrame:
     """(key, label): language with the most hits, first name on a tie, ``un`` without any hit."""
     hits = language_hits(df, key, text, lists)
-    best = hits.groupBy(key).agg(
-        F.min_by("language", F.struct((-F.col("hits")).alias("h"), F.col("language"))).alias(out)
-    )
-    return df.select(key).join(best, key, "left").withColumn(out, F.coalesce(out, F.lit(UNDECIDED)))
+    order = F.struct(F.col("language").isNull().alias("none"), (-F.col("hits")).alias("h"), F.col("language"))
+    return hits.groupBy(key).agg(F.coalesce(F.min_by("language", order), F.lit(UNDECIDED)).alias(out))
 
 
 def language_model(df: DataFrame, text: str, language: str, features: int = 1 << 16):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.least_squares import Fit
 from tallyloom.operators.stats import fit_errors
-from tallyloom.storage import cut_lineage, small_side
+from tallyloom.storage import cut_lineage
 
 SEED = 12345
 
@@ -31,8 +31,12 @@ def wide_counts(df: DataFrame, on: str, area: str, value: str, areas: list[int],
 
 
 def feature_frame(labels: DataFrame, counts: DataFrame, weather: DataFrame, on: str = "ts") -> DataFrame:
-    """Labels joined once with all area counts and with the weather of the hour (inner)."""
-    return labels.join(small_side(counts), on).join(small_side(weather), on)
+    """Labels joined once with all area counts and with the weather of the hour (inner).
+
+    Counts and weather hold a row per hour; Spark sees their size after the
+    aggregation and broadcasts them when they are small.
+    """
+    return labels.join(counts, on).join(weather, on)
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.storage import cut_lineage, small_side
+
 SPLITS = 64
 
 
 def with_group_row(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the one row of each group; without keys the single row is a scalar subquery."""
+    """Attach the one row of each group; without keys the single row is a scalar subquery.
+
+    The group rows are written once. A list that passes the size check is
+    broadcast, so the rows of a hot group are not shuffled; a longer one joins by
+    shuffle.
+    """
     if keys:
-        return df.join(per_group, keys)
+        return df.join(small_side(cut_lineage(per_group)), keys)
     row = per_group.select(F.struct("*")).scalar()
     return df.withColumn("_row", row).select("*", "_row.*").drop("_row")
 

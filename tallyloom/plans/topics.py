@@ -10,13 +10,14 @@ from tallyloom.operators import counts, entities, patterns, topics
 from tallyloom.plans.language import prepared, scored_texts
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, texts, vectors
+from tallyloom.storage import cut_lineage
 
 TOPICS = 5
 
 
 def text_frame(t: Tables):
     """Texts with their free words."""
-    return prepared(t).select("id", "language", "text", "stopWordFree")
+    return prepared(t).select("id", "language", "stopWordFree")
 
 
 def fitted(t: Tables, n: int = 2, k: int = TOPICS):
@@ -26,14 +27,23 @@ def fitted(t: Tables, n: int = 2, k: int = TOPICS):
 
 def with_topics(t: Tables):
     model, frame = fitted(t)
-    scored = model.transform(frame).select("id", "language", "text", as_array(F.col("topicDistribution")).alias("weights"))
-    return scored
+    return model.transform(frame).select("id", "language", as_array(F.col("topicDistribution")).alias("weights"))
 
 
 def topic_sentiment(t: Tables):
-    """(id, language, text, topic, weighted): topic weights times the hybrid score."""
+    """(id, language, topic, weighted): topic weights times the hybrid score."""
     joined = with_topics(t).join(scored_texts(t).select("id", "hybrid"), "id")
-    return topics.weighted_scores(joined, "weights", "hybrid", "id", "language", "text")
+    return topics.weighted_scores(joined, "weights", "hybrid", "id", "language")
+
+
+def tail_texts(t: Tables):
+    """Texts in the tails of each topic. Only the texts of tail rows are joined.
+
+    The scores feed both the bounds and the filter, so they are written once
+    instead of scoring all texts twice.
+    """
+    found = topics.tails(cut_lineage(topic_sentiment(t)), "topic", "weighted")
+    return found.join(texts(t).select("id", "text"), "id")
 
 
 @query("lda_topics")
@@ -96,7 +106,7 @@ def pca_2d(t: Tables):
 @query("topic_weighted_score")
 def topic_weighted_score(t: Tables):
     """Topic weights times the sentiment of the text, in long form."""
-    return topic_sentiment(t).drop("text")
+    return topic_sentiment(t)
 
 
 @query("vector_weighted_score", """
@@ -140,14 +150,12 @@ def tail_only_terms(t: Tables):
 @query("topic_tail_entities")
 def topic_tail_entities(t: Tables):
     """Names in the texts of each topic's tails, all topics in one pass."""
-    found = topics.tails(topic_sentiment(t), "topic", "weighted")
-    return entities.entity_counts(found, "text", "topic", "tail", "language")
+    return entities.entity_counts(tail_texts(t), "text", "topic", "tail", "language")
 
 
 @query("topic_tail_trigrams")
 def topic_tail_trigrams(t: Tables):
     """Frequent three-word runs in the negative tail of each topic."""
-    found = topics.tails(topic_sentiment(t), "topic", "weighted").filter("tail = 'negative'")
-    runs = patterns.run_baskets(found, "text", 3, "topic")
+    runs = patterns.run_baskets(tail_texts(t).filter("tail = 'negative'"), "text", 3, "topic")
     sets = patterns.mine_per_group(runs, "topic", "items", list(range(TOPICS)), 0.34, min_rows=5)
     return sets.select("topic", F.array_join("items", "|").alias("items"), "size", "freq")
