@@ -72,7 +72,7 @@ def daily_count_lang(t: Tables):
 
 
 @query("topk_group_share", with_views("posts", """
-SELECT month, language, n, CAST(rank AS INT) AS rank, round(round(percent, 9), 6) AS percent FROM (
+SELECT month, language, n, CAST(rank AS INT) AS rank, CAST(round(TRY_CAST(percent AS DECIMAL(28,9)), 6) AS DOUBLE) AS percent FROM (
   SELECT month, language, n, row_number() OVER (PARTITION BY month ORDER BY n DESC, language) AS rank,
          100.0 * n / sum(n) OVER (PARTITION BY month) AS percent
   FROM (SELECT month, language, count(*) AS n FROM posts GROUP BY 1, 2)) WHERE rank <= 3"""))
@@ -180,9 +180,9 @@ def terms_per_day(t: Tables):
 
 
 @query("tag_cardinality", with_views("tagged", """
-SELECT language, CAST(bucket AS INT) AS bucket, n, round(round(n / sum(n) OVER (PARTITION BY language), 9), 6) AS share,
+SELECT language, CAST(bucket AS INT) AS bucket, n, CAST(round(TRY_CAST(n / sum(n) OVER (PARTITION BY language) AS DECIMAL(28,9)), 6) AS DOUBLE) AS share,
   CASE WHEN bucket > 0 THEN
-    round(round(n / sum(CASE WHEN bucket > 0 THEN n END) OVER (PARTITION BY language), 9), 6) END AS share_tagged
+    CAST(round(TRY_CAST(n / sum(CASE WHEN bucket > 0 THEN n END) OVER (PARTITION BY language) AS DECIMAL(28,9)), 6) AS DOUBLE) END AS share_tagged
 FROM (SELECT language, least(size, 6) AS bucket, count(*) AS n
       FROM (SELECT id, language, count(tag) AS size FROM tagged GROUP BY 1, 2) GROUP BY 1, 2)"""))
 def tag_cardinality(t: Tables):
@@ -193,9 +193,9 @@ def tag_cardinality(t: Tables):
 
 @query("tag_replication", with_views("tagged", """
 SELECT language, posts, tags, distinct_tags,
-  round(round(tags / max(tags) OVER (), 9), 6) AS share_tags,
-  round(round(distinct_tags / max(CASE WHEN language = 'all' THEN distinct_tags END) OVER (), 9), 6) AS share_distinct,
-  round(round(tags / posts, 9), 6) AS tags_per_post, round(round(tags / distinct_tags, 9), 6) AS uses_per_tag
+  CAST(round(TRY_CAST(tags / max(tags) OVER () AS DECIMAL(28,9)), 6) AS DOUBLE) AS share_tags,
+  CAST(round(TRY_CAST(distinct_tags / max(CASE WHEN language = 'all' THEN distinct_tags END) OVER () AS DECIMAL(28,9)), 6) AS DOUBLE) AS share_distinct,
+  CAST(round(TRY_CAST(tags / posts AS DECIMAL(28,9)), 6) AS DOUBLE) AS tags_per_post, CAST(round(TRY_CAST(tags / distinct_tags AS DECIMAL(28,9)), 6) AS DOUBLE) AS uses_per_tag
 FROM (SELECT language, count(DISTINCT id) AS posts, count(tag) AS tags, count(DISTINCT tag) AS distinct_tags
       FROM tagged GROUP BY 1
       UNION ALL SELECT 'all', count(DISTINCT id), count(tag), count(DISTINCT tag) FROM tagged)"""))
@@ -232,7 +232,7 @@ def cluster_terms(t: Tables):
 
 
 @query("cluster_share", """
-SELECT label, count(*) AS n, round(round(count(*) / (SELECT count(*) FROM embeddings), 9), 6) AS share
+SELECT label, count(*) AS n, CAST(round(TRY_CAST(count(*) / (SELECT count(*) FROM embeddings) AS DECIMAL(28,9)), 6) AS DOUBLE) AS share
 FROM embeddings GROUP BY 1""")
 def cluster_share(t: Tables):
     return counts.share_of_total(t.embeddings, "label").withColumn("share", steady("share", 6))

@@ -322,7 +322,7 @@ def series_grid(t: Tables):
 
 
 @query("hourly_occupancy", with_views("event_rows", """
-SELECT series, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, round(round(avg(value), 9), 6) AS value FROM event_rows
+SELECT series, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, CAST(round(TRY_CAST(avg(value) AS DECIMAL(28,9)), 6) AS DOUBLE) AS value FROM event_rows
 WHERE month(ts) BETWEEN 1 AND 10 AND year(ts) = 2024 GROUP BY 1, 2"""))
 def hourly_occupancy(t: Tables):
     """Mean value per key and hour, inside a range of months of one year."""
@@ -332,7 +332,7 @@ def hourly_occupancy(t: Tables):
 
 
 @query("daily_area_mean", with_views("area_hourly", """
-SELECT cluster, CAST(ts AS DATE) AS day, round(round(avg(cnt), 9), 6) AS count FROM area_hourly GROUP BY 1, 2"""))
+SELECT cluster, CAST(ts AS DATE) AS day, CAST(round(TRY_CAST(avg(cnt) AS DECIMAL(28,9)), 6) AS DOUBLE) AS count FROM area_hourly GROUP BY 1, 2"""))
 def daily_area_mean(t: Tables):
     """Daily mean of hourly counts per area."""
     mean = cleaning.mean_per_day(area_hourly(t), ["cluster"], "ts", "count")

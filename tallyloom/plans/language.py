@@ -136,7 +136,7 @@ def vocabulary(t: Tables):
 
 
 @query("tfidf_terms", free_sql("words", """
-SELECT g.id, g.term, count(*) AS tf, v.df, round(round(count(*) * ln((m + 1) / (v.df + 1)), 9), 6) AS weight
+SELECT g.id, g.term, count(*) AS tf, v.df, CAST(round(TRY_CAST(count(*) * ln((m + 1) / (v.df + 1)) AS DECIMAL(28,9)), 6) AS DOUBLE) AS weight
 FROM grams g JOIN (SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM grams WHERE n = 1 GROUP BY 1
   HAVING count(DISTINCT id) >= 2 ORDER BY tf DESC, term LIMIT 2000) v ON v.term = g.term,
   (SELECT count(*) AS m FROM texts) WHERE g.n = 1 GROUP BY g.id, g.term, v.df, m""", GRAMS))
@@ -240,9 +240,9 @@ def hybrid_sentiment(t: Tables):
 
 
 @query("sentiment_tails", polar_sql("""
-SELECT count(*) AS n, round(round(avg(CASE WHEN s < -0.25 THEN 1.0 ELSE 0.0 END), 9), 6) AS very_negative,
-  round(round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0.0 END), 9), 6) AS negative, round(round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), 9), 6) AS positive,
-  round(round(avg(CASE WHEN s > 0.25 THEN 1.0 ELSE 0.0 END), 9), 6) AS very_positive
+SELECT count(*) AS n, CAST(round(TRY_CAST(avg(CASE WHEN s < -0.25 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS very_negative,
+  CAST(round(TRY_CAST(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS negative, CAST(round(TRY_CAST(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS positive,
+  CAST(round(TRY_CAST(avg(CASE WHEN s > 0.25 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS very_positive
 FROM (SELECT CASE WHEN language = 'en' THEN with_context ELSE plain END AS s FROM scored)"""))
 def sentiment_tails(t: Tables):
     """Parts of texts in the tails of the hybrid score."""

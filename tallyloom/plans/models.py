@@ -21,8 +21,8 @@ def adf_test(t: Tables):
 
 
 @query("df_test", with_views("daily", """
-SELECT series, n AS nobs, CAST(0 AS INT) AS lags, round(round(b / se, 9), 5) AS stat,
-  round(round(-3.43035 - 6.5393 / n - 16.786 / n ^ 2 - 79.433 / n ^ 3, 9), 6) AS crit_1 FROM (
+SELECT series, n AS nobs, CAST(0 AS INT) AS lags, CAST(round(TRY_CAST(b / se AS DECIMAL(28,9)), 5) AS DOUBLE) AS stat,
+  CAST(round(TRY_CAST(-3.43035 - 6.5393 / n - 16.786 / n ^ 2 - 79.433 / n ^ 3 AS DECIMAL(28,9)), 6) AS DOUBLE) AS crit_1 FROM (
   SELECT series, count(*) AS n, regr_slope(y - y1, y1) AS b,
     sqrt((regr_syy(y - y1, y1) - regr_sxy(y - y1, y1) ^ 2 / regr_sxx(y - y1, y1)) / (count(*) - 2) / regr_sxx(y - y1, y1)) AS se
   FROM lagged WHERE y1 IS NOT NULL GROUP BY 1)""", LAGGED))
@@ -40,7 +40,7 @@ def pacf(t: Tables):
 
 
 @query("pacf_lag1", with_views("daily", """
-SELECT series, CAST(1 AS INT) AS lag, round(round(regr_slope(y, y1), 9), 6) AS pacf FROM lagged WHERE y1 IS NOT NULL GROUP BY 1""", LAGGED))
+SELECT series, CAST(1 AS INT) AS lag, CAST(round(TRY_CAST(regr_slope(y, y1) AS DECIMAL(28,9)), 6) AS DOUBLE) AS pacf FROM lagged WHERE y1 IS NOT NULL GROUP BY 1""", LAGGED))
 def pacf_lag1(t: Tables):
     """The first lag, which is a plain regression slope."""
     return rounded(sm.pacf(daily_series(t), "series", max_lag=1).filter("lag = 1").drop("band"), "pacf")
@@ -53,8 +53,8 @@ def ar_fit(t: Tables):
 
 
 @query("ar1_fit", with_views("daily", """
-SELECT series, 'ar1' AS term, count(*) AS nobs, round(round(regr_slope(y, y1), 9), 6) AS coef,
-  round(round(sqrt((regr_syy(y, y1) - regr_sxy(y, y1) ^ 2 / regr_sxx(y, y1)) / (count(*) - 2) / regr_sxx(y, y1)), 9), 6) AS se
+SELECT series, 'ar1' AS term, count(*) AS nobs, CAST(round(TRY_CAST(regr_slope(y, y1) AS DECIMAL(28,9)), 6) AS DOUBLE) AS coef,
+  CAST(round(TRY_CAST(sqrt((regr_syy(y, y1) - regr_sxy(y, y1) ^ 2 / regr_sxx(y, y1)) / (count(*) - 2) / regr_sxx(y, y1)) AS DECIMAL(28,9)), 6) AS DOUBLE) AS se
 FROM lagged WHERE y1 IS NOT NULL GROUP BY 1""", LAGGED))
 def ar1_fit(t: Tables):
     """AR(1) with constant: slope and standard error."""
@@ -103,8 +103,8 @@ def hourly_deviations(t: Tables):
 
 @query("arma_11_fit", with_views("hourly", """
 SELECT series, count(*) AS nobs,
-  round(round((sum(d1 * d) * sum(e1 * e1) - sum(e1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2), 9), 5) AS ar1,
-  round(round((sum(e1 * d) * sum(d1 * d1) - sum(d1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2), 9), 5) AS ma1
+  CAST(round(TRY_CAST((sum(d1 * d) * sum(e1 * e1) - sum(e1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2) AS DECIMAL(28,9)), 5) AS DOUBLE) AS ar1,
+  CAST(round(TRY_CAST((sum(e1 * d) * sum(d1 * d1) - sum(d1 * d) * sum(d1 * e1)) / (sum(d1 * d1) * sum(e1 * e1) - sum(d1 * e1) ^ 2) AS DECIMAL(28,9)), 5) AS DOUBLE) AS ma1
 FROM sl WHERE pos >= 3 GROUP BY 1""", ARMA11_SQL))
 def arma_11_fit(t: Tables):
     """ARMA(1, 1) without constant, shocks from an AR(2)."""
@@ -145,7 +145,7 @@ def granger_test(t: Tables):
 
 
 @query("granger_lag1", with_views("hourly", """
-SELECT series, n - 3 AS df_den, round(round((r2u - r2r) / ((1 - r2u) / (n - 3)), 9), 4) AS f_stat FROM (
+SELECT series, n - 3 AS df_den, CAST(round(TRY_CAST((r2u - r2r) / ((1 - r2u) / (n - 3)) AS DECIMAL(28,9)), 4) AS DOUBLE) AS f_stat FROM (
   SELECT series, n, a * a AS r2r, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS r2u FROM (
     SELECT series, count(*) AS n, corr(y, y1) AS a, corr(y, x1) AS b, corr(y1, x1) AS c
     FROM paired WHERE y1 IS NOT NULL GROUP BY 1))""", PAIRED))
@@ -156,7 +156,7 @@ def granger_lag1(t: Tables):
 
 
 @query("walk_forward", with_views("hourly", """
-SELECT series, pos, round(round(CASE WHEN det > 1e-10 * yy * ee THEN (y0 * ee - e0 * ye) / det * d1 + (e0 * yy - y0 * ye) / det * e1 END, 9), 5) AS forecast
+SELECT series, pos, CAST(round(TRY_CAST(CASE WHEN det > 1e-10 * yy * ee THEN (y0 * ee - e0 * ye) / det * d1 + (e0 * yy - y0 * ye) / det * e1 END AS DECIMAL(28,9)), 5) AS DOUBLE) AS forecast
 FROM (SELECT *, yy * ee - ye * ye AS det FROM (
   SELECT series, pos, d1, e1, sum(d1 * d1) FILTER (e1 IS NOT NULL) OVER w AS yy, sum(d1 * e1) OVER w AS ye, sum(e1 * e1) OVER w AS ee,
     sum(d1 * d) FILTER (e1 IS NOT NULL) OVER w AS y0, sum(e1 * d) OVER w AS e0 FROM wl

@@ -15,8 +15,9 @@ ORACLES: dict[str, str | Callable[[], str]] = {}
 
 def steady(value, places: int = 6):
     """Rounded for comparison. Two engines sum in different orders, so the last digits
-    are cut first; otherwise a value that ends in 5 could round either way."""
-    return F.round(F.round(value, 9), places)
+    are cut by a decimal first; a value that ends in 5 then rounds the same way in both."""
+    cell = F.col(value) if isinstance(value, str) else value
+    return F.round(cell.try_cast("decimal(28,9)"), places).cast("double")
 
 
 def query(name: str, sql: str | Callable[[], str] | None = None):

@@ -36,7 +36,7 @@ COUNTS = ", ".join(f"count_{a}" for a in AREAS)
 
 
 @query("wide_feature_join", with_views(VIEWS, f"""
-SELECT strftime(w.ts, '%Y-%m-%d %H:%M') AS hour, round(round(temperature, 9), 6) AS temperature, {COUNTS}
+SELECT strftime(w.ts, '%Y-%m-%d %H:%M') AS hour, CAST(round(TRY_CAST(temperature AS DECIMAL(28,9)), 6) AS DOUBLE) AS temperature, {COUNTS}
 FROM wide w JOIN weather_hourly h ON h.ts = w.ts""", WIDE))
 def wide_feature_join(t: Tables):
     """Seven area counts beside the temperature: one pivot and one join."""
@@ -47,7 +47,7 @@ def wide_feature_join(t: Tables):
 
 
 @query("reg_frame", with_views(VIEWS, f"""
-SELECT code, strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(round(label, 9), 6) AS label, round(round(temperature, 9), 6) AS temperature, {COUNTS}
+SELECT code, strftime(ts, '%Y-%m-%d %H:%M') AS hour, CAST(round(TRY_CAST(label AS DECIMAL(28,9)), 6) AS DOUBLE) AS label, CAST(round(TRY_CAST(temperature AS DECIMAL(28,9)), 6) AS DOUBLE) AS temperature, {COUNTS}
 FROM frame""", WIDE))
 def reg_frame(t: Tables):
     """The frame the regressors see."""
@@ -61,7 +61,7 @@ PAIRS = [("label", f) for f in FEATURES]
 
 
 @query("reg_corr", with_views(VIEWS, " UNION ALL ".join(
-    f"SELECT code, '{a}' AS a, '{b}' AS b, round(round(corr({a}, {b}), 9), 6) AS r FROM frame GROUP BY 1"
+    f"SELECT code, '{a}' AS a, '{b}' AS b, CAST(round(TRY_CAST(corr({a}, {b}) AS DECIMAL(28,9)), 6) AS DOUBLE) AS r FROM frame GROUP BY 1"
     for i, a in enumerate(["label", *FEATURES]) for b in ["label", *FEATURES][i + 1:]), WIDE))
 def reg_corr(t: Tables):
     """All correlations of label and features, per code, in one aggregation."""
@@ -103,8 +103,8 @@ def linreg_training(t: Tables):
 
 
 @query("linreg_simple", with_views("event_rows", """
-SELECT round(round(regr_slope(value, k), 9), 6) AS slope, round(round(regr_intercept(value, k), 9), 6) AS intercept,
-  round(round(regr_r2(value, k), 9), 6) AS r2, count(*) AS n FROM event_rows"""))
+SELECT CAST(round(TRY_CAST(regr_slope(value, k) AS DECIMAL(28,9)), 6) AS DOUBLE) AS slope, CAST(round(TRY_CAST(regr_intercept(value, k) AS DECIMAL(28,9)), 6) AS DOUBLE) AS intercept,
+  CAST(round(TRY_CAST(regr_r2(value, k) AS DECIMAL(28,9)), 6) AS DOUBLE) AS r2, count(*) AS n FROM event_rows"""))
 def linreg_simple(t: Tables):
     """One feature over all events: slope, intercept and R2."""
     data = regression.assembled(event_rows(t).select(F.col("value").alias("label"), F.col("k").cast("double").alias("k")), ["k"])
@@ -120,8 +120,8 @@ def linreg_simple(t: Tables):
 
 
 @query("linreg_per_key", with_views("event_rows", """
-SELECT series, round(round(regr_slope(value, k), 9), 6) AS coef, count(*) AS nobs, round(round(regr_r2(value, k), 9), 6) AS r2,
-  round(round(sqrt((regr_syy(value, k) - regr_sxy(value, k) ^ 2 / regr_sxx(value, k)) / (count(*) - 2) / regr_sxx(value, k)), 9), 6) AS se
+SELECT series, CAST(round(TRY_CAST(regr_slope(value, k) AS DECIMAL(28,9)), 6) AS DOUBLE) AS coef, count(*) AS nobs, CAST(round(TRY_CAST(regr_r2(value, k) AS DECIMAL(28,9)), 6) AS DOUBLE) AS r2,
+  CAST(round(TRY_CAST(sqrt((regr_syy(value, k) - regr_sxy(value, k) ^ 2 / regr_sxx(value, k)) / (count(*) - 2) / regr_sxx(value, k)) AS DECIMAL(28,9)), 6) AS DOUBLE) AS se
 FROM event_rows GROUP BY 1"""))
 def linreg_per_key(t: Tables):
     """The same regression for every event type in one job."""

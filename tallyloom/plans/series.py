@@ -63,7 +63,7 @@ rolled AS (SELECT series, day, y, CASE WHEN count(*) OVER w = 14 THEN avg(y) OVE
 
 
 @query("rolling_stats", with_views("posts", """
-SELECT series, day, y, round(round(rolling_mean, 9), 6) AS rolling_mean, round(round(rolling_sd, 9), 6) AS rolling_sd FROM rolled""", ROLLED_SQL))
+SELECT series, day, y, CAST(round(TRY_CAST(rolling_mean AS DECIMAL(28,9)), 6) AS DOUBLE) AS rolling_mean, CAST(round(TRY_CAST(rolling_sd AS DECIMAL(28,9)), 6) AS DOUBLE) AS rolling_sd FROM rolled""", ROLLED_SQL))
 def rolling_stats(t: Tables):
     """Trailing mean and deviation over 14 rows; empty for the first 13."""
     return rounded(rolled(t).drop("pos"), "rolling_mean", "rolling_sd")
@@ -71,8 +71,8 @@ def rolling_stats(t: Tables):
 
 @query("rolling_long", with_views("posts", """
 SELECT series, day, 'y' AS type, y AS value FROM rolled
-UNION ALL SELECT series, day, 'rolling_mean', round(round(rolling_mean, 9), 6) FROM rolled
-UNION ALL SELECT series, day, 'rolling_sd', round(round(rolling_sd, 9), 6) FROM rolled""", ROLLED_SQL))
+UNION ALL SELECT series, day, 'rolling_mean', CAST(round(TRY_CAST(rolling_mean AS DECIMAL(28,9)), 6) AS DOUBLE) FROM rolled
+UNION ALL SELECT series, day, 'rolling_sd', CAST(round(TRY_CAST(rolling_sd AS DECIMAL(28,9)), 6) AS DOUBLE) FROM rolled""", ROLLED_SQL))
 def rolling_long(t: Tables):
     """The three rolling columns under each other, tagged."""
     long = series.long_form(rolled(t), ["series", "day"], ["y", "rolling_mean", "rolling_sd"], value="value")
@@ -101,7 +101,7 @@ def decomposition_sql(source: str, period: int, times: bool = False, one_sided:
 
 
 PARTS_OUT = """
-SELECT series, pos, y, round(round(trend, 9), 6) AS trend, round(round(seasonal, 9), 6) AS seasonal, round(round(resid, 9), 6) AS resid FROM parts"""
+SELECT series, pos, y, CAST(round(TRY_CAST(trend AS DECIMAL(28,9)), 6) AS DOUBLE) AS trend, CAST(round(TRY_CAST(seasonal AS DECIMAL(28,9)), 6) AS DOUBLE) AS seasonal, CAST(round(TRY_CAST(resid AS DECIMAL(28,9)), 6) AS DOUBLE) AS resid FROM parts"""
 
 
 def parts_out(df: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def seasonal_decompose_mult(t: Tables):
 
 
 @query("trend_extrapolate", with_views("daily", """
-SELECT d.series, d.pos, round(round(coalesce(d.trend, CASE WHEN d.pos < f.front THEN f.k1 * d.pos + f.c1 ELSE f.k2 * d.pos + f.c2 END), 9), 6) AS trend
+SELECT d.series, d.pos, CAST(round(TRY_CAST(coalesce(d.trend, CASE WHEN d.pos < f.front THEN f.k1 * d.pos + f.c1 ELSE f.k2 * d.pos + f.c2 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS trend
 FROM parts_t d JOIN fits f ON f.series = d.series""", decomposition_sql("daily", 7) + """,
 ends AS (SELECT series, min(pos) AS front, max(pos) AS back FROM parts_t WHERE trend IS NOT NULL GROUP BY 1),
 fits AS (SELECT e.series, e.front, e.back,
@@ -149,8 +149,8 @@ def trend_extrapolate(t: Tables):
 
 
 @query("acf", with_views("daily", """
-SELECT a.series, CAST(lags.k AS INT) AS lag, round(round(sum((a.y - m.mu) * (b.y - m.mu)) / any_value(m.n * m.v), 9), 6) AS acf,
-  round(round(1.96 / sqrt(any_value(m.n)), 9), 6) AS band
+SELECT a.series, CAST(lags.k AS INT) AS lag, CAST(round(TRY_CAST(sum((a.y - m.mu) * (b.y - m.mu)) / any_value(m.n * m.v) AS DECIMAL(28,9)), 6) AS DOUBLE) AS acf,
+  CAST(round(TRY_CAST(1.96 / sqrt(any_value(m.n)) AS DECIMAL(28,9)), 6) AS DOUBLE) AS band
 FROM daily a JOIN (SELECT unnest(range(0, 21)) AS k) lags ON true
 JOIN daily b ON b.series = a.series AND b.pos = a.pos - lags.k
 JOIN (SELECT series, avg(y) AS mu, var_pop(y) AS v, count(*) AS n FROM daily GROUP BY 1) m ON m.series = a.series
@@ -162,10 +162,10 @@ def acf(t: Tables):
 
 @query("series_align_corr", with_views("posts", """
 WITH d AS (SELECT day, language, count(*) AS n FROM posts GROUP BY 1, 2), al AS (SELECT day, count(*) AS n FROM posts GROUP BY 1)
-SELECT 'high-urgent' AS pair, round(round(corr(a.n, b.n), 9), 6) AS r, count(*) AS days
+SELECT 'high-urgent' AS pair, CAST(round(TRY_CAST(corr(a.n, b.n) AS DECIMAL(28,9)), 6) AS DOUBLE) AS r, count(*) AS days
   FROM d a JOIN d b USING (day) WHERE a.language = '1-URGENT' AND b.language = '2-HIGH'
-UNION ALL SELECT 'all-urgent', round(round(corr(a.n, al.n), 9), 6), count(*) FROM d a JOIN al USING (day) WHERE a.language = '1-URGENT'
-UNION ALL SELECT 'all-high', round(round(corr(a.n, al.n), 9), 6), count(*) FROM d a JOIN al USING (day) WHERE a.language = '2-HIGH'
+UNION ALL SELECT 'all-urgent', CAST(round(TRY_CAST(corr(a.n, al.n) AS DECIMAL(28,9)), 6) AS DOUBLE), count(*) FROM d a JOIN al USING (day) WHERE a.language = '1-URGENT'
+UNION ALL SELECT 'all-high', CAST(round(TRY_CAST(corr(a.n, al.n) AS DECIMAL(28,9)), 6) AS DOUBLE), count(*) FROM d a JOIN al USING (day) WHERE a.language = '2-HIGH'
 """).replace("\nWITH d AS", ",\nd AS"))
 def series_align_corr(t: Tables):
     """Correlations of daily series aligned on the day (inner)."""
@@ -206,14 +206,14 @@ def rebuilt(t: Tables) -> DataFrame:
 
 
 @query("series_rebuild", with_views("daily", """
-SELECT series, pos, round(round(fitted, 9), 6) AS fitted, round(round(rebuilt, 9), 6) AS rebuilt FROM built""", AR1_SQL))
+SELECT series, pos, CAST(round(TRY_CAST(fitted AS DECIMAL(28,9)), 6) AS DOUBLE) AS fitted, CAST(round(TRY_CAST(rebuilt AS DECIMAL(28,9)), 6) AS DOUBLE) AS rebuilt FROM built""", AR1_SQL))
 def series_rebuild(t: Tables):
     out = rebuilt(t).select("series", F.col("grid_pos").alias("pos"), "fitted", "rebuilt")
     return rounded(out, "fitted", "rebuilt")
 
 
 @query("series_rss", with_views("daily", """
-SELECT series, count(rebuilt) AS n, round(round(sum((y - rebuilt) ^ 2), 9), 4) AS rss, round(round(avg((y - rebuilt) ^ 2), 9), 6) AS mse
+SELECT series, count(rebuilt) AS n, CAST(round(TRY_CAST(sum((y - rebuilt) ^ 2) AS DECIMAL(28,9)), 4) AS DOUBLE) AS rss, CAST(round(TRY_CAST(avg((y - rebuilt) ^ 2) AS DECIMAL(28,9)), 6) AS DOUBLE) AS mse
 FROM built GROUP BY 1""", AR1_SQL))
 def series_rss(t: Tables):
     """Squared error of the rebuilt signal, per series."""
@@ -222,8 +222,8 @@ def series_rss(t: Tables):
 
 
 @query("series_long", with_views("daily", """
-SELECT series, pos, 'actual' AS type, round(round(resid, 9), 6) AS value FROM built
-UNION ALL SELECT series, pos, 'fitted', round(round(fitted, 9), 6) FROM built""", AR1_SQL))
+SELECT series, pos, 'actual' AS type, CAST(round(TRY_CAST(resid AS DECIMAL(28,9)), 6) AS DOUBLE) AS value FROM built
+UNION ALL SELECT series, pos, 'fitted', CAST(round(TRY_CAST(fitted AS DECIMAL(28,9)), 6) AS DOUBLE) FROM built""", AR1_SQL))
 def series_long(t: Tables):
     """Actual and fitted values under each other, tagged."""
     r = rebuilt(t).select("series", F.col("grid_pos").alias("pos"), F.col("rest").alias("actual"), "fitted")

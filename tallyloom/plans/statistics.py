@@ -14,15 +14,15 @@ def rounded(df, *columns, places: int = 6):
 
 
 @query("engagement_by_month", with_views("post_engagement", """
-SELECT month, CAST(sum(reshares) AS BIGINT) AS total, round(round(avg(reshares), 9), 6) AS mean,
-  round(round(stddev_samp(reshares), 9), 6) AS sd, max(reshares) AS max, min(reshares) AS min
+SELECT month, CAST(sum(reshares) AS BIGINT) AS total, CAST(round(TRY_CAST(avg(reshares) AS DECIMAL(28,9)), 6) AS DOUBLE) AS mean,
+  CAST(round(TRY_CAST(stddev_samp(reshares) AS DECIMAL(28,9)), 6) AS DOUBLE) AS sd, max(reshares) AS max, min(reshares) AS min
 FROM post_engagement GROUP BY 1"""))
 def engagement_by_month(t: Tables):
     return rounded(stats.engagement(post_engagement(t), "month", "reshares"), "mean", "sd")
 
 
 @query("pairwise_corr", with_views("post_engagement", """
-SELECT language, a, b, round(round(r, 9), 6) AS r FROM (
+SELECT language, a, b, CAST(round(TRY_CAST(r AS DECIMAL(28,9)), 6) AS DOUBLE) AS r FROM (
   SELECT language, 'reshares' AS a, 'num_replies' AS b, corr(reshares, num_replies) AS r FROM post_engagement GROUP BY 1
   UNION ALL SELECT language, 'reshares', 'likes', corr(reshares, CAST(likes AS DOUBLE)) FROM post_engagement GROUP BY 1
   UNION ALL SELECT language, 'num_replies', 'likes', corr(num_replies, CAST(likes AS DOUBLE))
@@ -34,9 +34,9 @@ def pairwise_corr(t: Tables):
 
 
 @query("describe_table", with_views("event_rows", """
-SELECT 'value' AS "column", count(value) AS n, round(round(avg(value), 9), 6) AS mean, round(round(stddev_samp(value), 9), 6) AS sd,
+SELECT 'value' AS "column", count(value) AS n, CAST(round(TRY_CAST(avg(value) AS DECIMAL(28,9)), 6) AS DOUBLE) AS mean, CAST(round(TRY_CAST(stddev_samp(value) AS DECIMAL(28,9)), 6) AS DOUBLE) AS sd,
   min(value) AS min, max(value) AS max FROM event_rows
-UNION ALL SELECT 'k', count(k), round(round(avg(k), 9), 6), round(round(stddev_samp(k), 9), 6), CAST(min(k) AS DOUBLE), CAST(max(k) AS DOUBLE)
+UNION ALL SELECT 'k', count(k), CAST(round(TRY_CAST(avg(k) AS DECIMAL(28,9)), 6) AS DOUBLE), CAST(round(TRY_CAST(stddev_samp(k) AS DECIMAL(28,9)), 6) AS DOUBLE), CAST(min(k) AS DOUBLE), CAST(max(k) AS DOUBLE)
 FROM event_rows"""))
 def describe_table(t: Tables):
     return rounded(stats.describe(event_rows(t), ["value", "k"]), "mean", "sd")
@@ -58,7 +58,7 @@ def boxplot_stats(t: Tables):
 
 
 @query("boxplot_likes", with_views("posts", """
-SELECT n, round(round(q1, 9), 4) AS q1, round(round(median, 9), 4) AS median, round(round(q3, 9), 4) AS q3,
+SELECT n, CAST(round(TRY_CAST(q1 AS DECIMAL(28,9)), 4) AS DOUBLE) AS q1, CAST(round(TRY_CAST(median AS DECIMAL(28,9)), 4) AS DOUBLE) AS median, CAST(round(TRY_CAST(q3 AS DECIMAL(28,9)), 4) AS DOUBLE) AS q3,
   min(v) FILTER (v BETWEEN lo AND hi) AS whisker_low, max(v) FILTER (v BETWEEN lo AND hi) AS whisker_high,
   min(v) AS min, max(v) AS max, CAST(count(*) FILTER (NOT v BETWEEN lo AND hi) AS BIGINT) AS outliers
 FROM (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
@@ -72,7 +72,7 @@ def boxplot_likes(t: Tables):
 
 
 @query("outlier_bounds", with_views("event_rows", """
-SELECT series, round(round(mean, 9), 6) AS mean, round(round(sd, 9), 6) AS sd, round(round(mean - 2 * sd, 9), 6) AS low, round(round(mean + 2 * sd, 9), 6) AS high
+SELECT series, CAST(round(TRY_CAST(mean AS DECIMAL(28,9)), 6) AS DOUBLE) AS mean, CAST(round(TRY_CAST(sd AS DECIMAL(28,9)), 6) AS DOUBLE) AS sd, CAST(round(TRY_CAST(mean - 2 * sd AS DECIMAL(28,9)), 6) AS DOUBLE) AS low, CAST(round(TRY_CAST(mean + 2 * sd AS DECIMAL(28,9)), 6) AS DOUBLE) AS high
 FROM (SELECT series, avg(value) AS mean, stddev_samp(value) AS sd FROM event_rows GROUP BY 1)"""))
 def outlier_bounds(t: Tables):
     return rounded(stats.mean_bounds(event_rows(t), "value", "series"), "mean", "sd", "low", "high")
@@ -101,10 +101,10 @@ def daily_outliers_lang(t: Tables):
 
 
 @query("score_tail_share", with_views("event_rows", """
-SELECT count(*) AS n, round(round(avg(CASE WHEN s < -0.97 THEN 1.0 ELSE 0.0 END), 9), 6) AS very_negative,
-  round(round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0.0 END), 9), 6) AS negative,
-  round(round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), 9), 6) AS positive,
-  round(round(avg(CASE WHEN s > 0.97 THEN 1.0 ELSE 0.0 END), 9), 6) AS very_positive
+SELECT count(*) AS n, CAST(round(TRY_CAST(avg(CASE WHEN s < -0.97 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS very_negative,
+  CAST(round(TRY_CAST(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS negative,
+  CAST(round(TRY_CAST(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS positive,
+  CAST(round(TRY_CAST(avg(CASE WHEN s > 0.97 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS very_positive
 FROM (SELECT (k - 50) / 50.0 AS s FROM event_rows)"""))
 def score_tail_share(t: Tables):
     """Parts of rows in the tails of a score in [-1, 1)."""
@@ -115,7 +115,7 @@ def score_tail_share(t: Tables):
 
 
 @query("daily_score_corr", with_views("event_rows", """
-SELECT round(round(corr(v, k), 9), 6) AS r_value_k, round(round(corr(v, n), 9), 6) AS r_value_n FROM (
+SELECT CAST(round(TRY_CAST(corr(v, k) AS DECIMAL(28,9)), 6) AS DOUBLE) AS r_value_k, CAST(round(TRY_CAST(corr(v, n) AS DECIMAL(28,9)), 6) AS DOUBLE) AS r_value_n FROM (
   SELECT CAST(ts AS DATE) AS day, avg(value) AS v, avg(k) AS k, count(*) AS n FROM event_rows GROUP BY 1)"""))
 def daily_score_corr(t: Tables):
     """Daily means of two measures and the daily count, then their correlations."""
@@ -127,9 +127,9 @@ def daily_score_corr(t: Tables):
 
 @query("regression_eval", """
 WITH p AS (SELECT l_returnflag AS key, l_extendedprice AS label, l_quantity * 1000 AS prediction FROM lineitem)
-SELECT key, count(*) AS n, round(round(sqrt(avg((label - prediction) ^ 2)), 9), 4) AS rmse,
-  round(round(avg((label - prediction) ^ 2), 9), 2) AS mse, round(round(avg(abs(label - prediction)), 9), 4) AS mae,
-  round(round(1 - sum((label - prediction) ^ 2) / (var_pop(label) * count(*)), 9), 6) AS r2 FROM p GROUP BY 1""")
+SELECT key, count(*) AS n, CAST(round(TRY_CAST(sqrt(avg((label - prediction) ^ 2)) AS DECIMAL(28,9)), 4) AS DOUBLE) AS rmse,
+  CAST(round(TRY_CAST(avg((label - prediction) ^ 2) AS DECIMAL(28,9)), 2) AS DOUBLE) AS mse, CAST(round(TRY_CAST(avg(abs(label - prediction)) AS DECIMAL(28,9)), 4) AS DOUBLE) AS mae,
+  CAST(round(TRY_CAST(1 - sum((label - prediction) ^ 2) / (var_pop(label) * count(*)) AS DECIMAL(28,9)), 6) AS DOUBLE) AS r2 FROM p GROUP BY 1""")
 def regression_eval(t: Tables):
     """Four error measures of a given prediction column, per key, in one aggregation."""
     p = t.lineitem.select(
@@ -145,8 +145,8 @@ def regression_eval(t: Tables):
 
 
 @query("residual_normality", with_views("event_rows", """
-SELECT series, n, round(round(g, 9), 6) AS skew, round(round(k, 9), 6) AS kurt, round(round(n / 6.0 * (g * g + k * k / 4), 9), 4) AS jb,
-  round(round(exp(-(n / 6.0 * (g * g + k * k / 4)) / 2), 9), 6) AS p_value
+SELECT series, n, CAST(round(TRY_CAST(g AS DECIMAL(28,9)), 6) AS DOUBLE) AS skew, CAST(round(TRY_CAST(k AS DECIMAL(28,9)), 6) AS DOUBLE) AS kurt, CAST(round(TRY_CAST(n / 6.0 * (g * g + k * k / 4) AS DECIMAL(28,9)), 4) AS DOUBLE) AS jb,
+  CAST(round(TRY_CAST(exp(-(n / 6.0 * (g * g + k * k / 4)) / 2) AS DECIMAL(28,9)), 6) AS DOUBLE) AS p_value
 FROM (SELECT series, count(*) AS n, avg((v - m) ^ 3) / avg((v - m) ^ 2) ^ 1.5 AS g,
         avg((v - m) ^ 4) / avg((v - m) ^ 2) ^ 2 - 3 AS k
       FROM (SELECT series, CAST(k AS DOUBLE) AS v, avg(k) OVER (PARTITION BY series) AS m FROM event_rows) GROUP BY 1)"""))

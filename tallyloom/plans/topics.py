@@ -89,8 +89,8 @@ def topk_vector_index(t: Tables):
 
 @query("cluster_centroids", """
 WITH flat AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
-SELECT label, CAST(dim AS INT) AS dim, round(round(avg(CAST(v AS DOUBLE)), 9), 6) AS mean FROM flat GROUP BY 1, 2
-UNION ALL SELECT NULL, CAST(dim AS INT), round(round(avg(CAST(v AS DOUBLE)), 9), 6) FROM flat GROUP BY 2""")
+SELECT label, CAST(dim AS INT) AS dim, CAST(round(TRY_CAST(avg(CAST(v AS DOUBLE)) AS DECIMAL(28,9)), 6) AS DOUBLE) AS mean FROM flat GROUP BY 1, 2
+UNION ALL SELECT NULL, CAST(dim AS INT), CAST(round(TRY_CAST(avg(CAST(v AS DOUBLE)) AS DECIMAL(28,9)), 6) AS DOUBLE) FROM flat GROUP BY 2""")
 def cluster_centroids(t: Tables):
     """Mean vector of each cluster and of all rows."""
     return topics.centroids(vectors(t), "label", "embedding").withColumn("mean", steady("mean", 6))
@@ -112,11 +112,11 @@ def topic_weighted_score(t: Tables):
 @query("vector_weighted_score", """
 WITH flat AS (SELECT vec_id, label, embedding AS e, generate_subscripts(embedding, 1) - 1 AS dim,
   unnest(embedding) AS v FROM embeddings)
-SELECT vec_id, CAST(dim AS INT) AS dim, round(round(CAST(v AS DOUBLE) * label, 9), 6) AS weighted FROM flat""")
+SELECT vec_id, CAST(dim AS INT) AS dim, CAST(v AS DOUBLE) * label + 0.0 AS weighted FROM flat""")
 def vector_weighted_score(t: Tables):
     """The same product for given vectors."""
     w = topics.weighted_scores(vectors(t), "embedding", "label", "vec_id", topic="dim")
-    return w.withColumn("weighted", steady("weighted", 6))
+    return w.withColumn("weighted", F.col("weighted") + 0.0)
 
 
 TAILS = """WITH flat AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
