@@ -10,7 +10,7 @@ from tallyloom.operators import cleaning
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, area_hourly, baskets, event_rows, posts, raw_pages, tag_strings, texts, with_views
 from tallyloom.sources import csvs, html, logs
-from tallyloom.storage import scratch_path
+from tallyloom.storage import scratch_path, use_all_cores
 
 DAY = "yyyy-MM-dd"
 MINUTE = "yyyy-MM-dd HH:mm"
@@ -232,7 +232,8 @@ def parse_post_time(t: Tables):
     month = F.element_at(F.array(*[F.lit(m) for m in tp.ITALIAN_MONTHS]), F.month("at"))
     raw = F.concat(F.date_format("at", "HH:mm - d "), month, F.date_format("at", " yyyy"))
     cell = F.when(F.col("id") % 10 < 8, raw).when(F.col("id") % 10 == 8, "").otherwise("yesterday")
-    cells = posts(t).withColumn("at", stamp).select("id", tp.normal_post_time(cell).alias("clock"))
+    spread = use_all_cores(posts(t).select("id", "ts"), "id")
+    cells = spread.withColumn("at", stamp).select("id", tp.normal_post_time(cell).alias("clock"))
     return cells.select(
         "id", F.date_format(tp.post_timestamp(F.col("clock")), MINUTE).alias("minute"),
         tp.post_date(F.col("clock")).alias("day"),

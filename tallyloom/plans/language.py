@@ -74,18 +74,20 @@ def free_sql(names: str, body: str, *more: str):
 
 
 @query("tokenize", with_views("words", """
-SELECT id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY pos)) AS words FROM words GROUP BY 1"""))
+SELECT x.id, count(w.word) AS n, md5(coalesce(string_agg(w.word, ' ' ORDER BY w.pos), '')) AS words
+FROM texts x LEFT JOIN words w ON w.id = x.id GROUP BY 1"""))
 def tokenize(t: Tables):
     """Lower-case words of two signs or more."""
-    cut = texts(t).select("id", tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    cut = texts(t).select("id", tokens(F.col("text")).alias("w"))
     return cut.select("id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("words"))
 
 
 @query("stopword_filter", free_sql("words", """
-SELECT id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY pos)) AS words FROM free GROUP BY 1"""))
+SELECT x.id, count(w.word) AS n, md5(coalesce(string_agg(w.word, ' ' ORDER BY w.pos), '')) AS words
+FROM texts x LEFT JOIN free w ON w.id = x.id GROUP BY 1"""))
 def stopword_filter(t: Tables):
     """Words left after the stop list of each row's own language."""
-    free = prepared(t).select("id", "stopWordFree").filter(F.size("stopWordFree") > 0)
+    free = prepared(t).select("id", "stopWordFree")
     return free.select(
         "id", F.size("stopWordFree").cast("bigint").alias("n"), F.md5(F.array_join("stopWordFree", " ")).alias("words")
     )
