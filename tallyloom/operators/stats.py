@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallyloom.storage import cut_lineage, small_side
 
 SPLITS = 64
-STEP = 8
 
 
 def with_group_row(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,6 +95,15 @@ def tail_shares(df: DataFrame, score: str, cut: float) -> DataFrame:
     )
 
 
+def count_below(points: Column, value: Column, splits: int) -> Column:
+    """How many of ``splits - 1`` ascending points are less than the value, by halving; splits is a power of 2."""
+    at, step = F.lit(0), splits // 2
+    while step:
+        at = at + F.when(F.get(points, at + F.lit(step - 1)) < value, step).otherwise(0)
+        step //= 2
+    return at
+
+
 def exact_quantiles(
     df: DataFrame, value: str, keys: list[str], probs: dict[str, float], splits: int = SPLITS
 ) -> DataFrame:
@@ -115,15 +123,8 @@ def exact_quantiles(
     edges = vc.groupBy(*keys).agg(
         F.percentile_approx("_v", cuts, F.lit(1000)).alias("_edges"), F.sum("_c").alias("n")
     )
-    # every eighth split point first, then the seven between: few comparisons per value
-    edges = edges.withColumn("_coarse", F.filter("_edges", lambda e, i: i % STEP == STEP - 1))
-    near = F.slice("_edges", F.col("_c8") * STEP + 1, STEP - 1)
-    marked = (
-        with_group_row(vc, edges, keys)
-        .withColumn("_c8", F.size(F.filter("_coarse", lambda e: e < F.col("_v"))))
-        .withColumn("_b", F.col("_c8") * STEP + F.size(F.filter(near, lambda e: e < F.col("_v"))))
-        .drop("_edges", "_coarse", "_c8")
-    )
+    marked = with_group_row(vc, edges, keys)
+    marked = marked.withColumn("_b", count_below(F.col("_edges"), F.col("_v"), splits)).drop("_edges")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         marked.groupBy(*keys, "_b")
