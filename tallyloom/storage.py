@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,21 +13,19 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``.
+    """The folder all executors see: ``spark.checkpoint.dir``, or the one set by setCheckpointDir().
 
-    Only a local session may fall back to a temporary folder; on a cluster a
-    missing setting is an error, because a machine-local folder loses data.
+    Where neither is set, a session of one machine (``local[...]``) gets a folder of its own; on a
+    cluster that is an error, because a machine-local folder loses data.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="tallyloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
