@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, minhash, packing
+from tallyloom.llm import decontaminate, langid, minhash, packing, pii
 from tallyloom.llm.common import keep
 from tallyloom.llm.queries import table, vocabulary
 
@@ -21,12 +21,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark`` (8)."""
+    return decontaminate.clean(docs, table(spark, folder, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents with personal data masked in the text (4)."""
+    return pii.mask(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of all remaining documents with their place in the sequences (1)."""
     return packing.pack(docs, vocabulary())
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("packing", pack)]
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, minhash, packing, quality, secrets, spans
+from tallyloom.llm import decontaminate, langid, minhash, packing, pii, quality, secrets, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,16 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.label(table(spark, folder, "documents"))
 
 
+@query
+def op4_personal(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(table(spark, folder, "documents")).select(
+        "doc_id",
+        *[spans.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        spans.digest(F.col("base"), pii.KINDS).alias("base_sha256"),
+        spans.written(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = F.col("spans")
@@ -57,6 +67,39 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.per_document(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# Containment by comparing every shingle of every item; the words and shingles are those of the operator.
+ORACLES["op8_decontamination"] = """
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') AS words FROM t),
+s AS (
+  SELECT DISTINCT side, id, unnest(CASE
+    WHEN len(words) = 0 THEN []
+    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+size AS (SELECT id, count(*) AS size FROM s WHERE side = 'b' GROUP BY id),
+hit AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared
+  FROM s d JOIN s b ON d.side = 'd' AND b.side = 'b' AND d.shingle = b.shingle GROUP BY 1, 2),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids,
+    max(shared / CAST(size AS DOUBLE)) AS containment
+  FROM hit JOIN size ON item_id = id WHERE shared * 100 >= size * 75 GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items,
+  coalesce(item_ids, '') AS item_ids, coalesce(containment, 0) AS containment
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
 @query
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).select(

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once per row, however often ``fn`` names it, also
+    inside functions over arrays."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def ordered(spans: Column, kinds: tuple[str, ...]) -> Column:
     """By start, then by the place of the kind in ``kinds``, then by end."""
     place = F.array(*[F.lit(k) for k in kinds])
