@@ -4,8 +4,8 @@ A document's set is hashed by PERMS functions. Runs of ROWS minima are band keys
 of every minimum are packed into a signature. Documents with equal sets are one class, and only one
 member of a class goes on. In a band's bucket each class is compared with the smallest class; the
 share of equal low bits, corrected for chance collisions, decides whether the pair is read in full.
-Buckets that still hold several components afterwards are compared in blocks, class by class, by bit
-counts inside the tasks, so that no link between members other than the smallest is lost.
+Buckets that still hold several components afterwards are compared in blocks on the full sets, inside
+the tasks, so that no link between members other than the smallest is lost.
 """
 
 from __future__ import annotations
@@ -171,12 +171,64 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def rest_pairs(bands: DataFrame, buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs inside buckets of three and more classes that are in different components so far.
+def full_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """set_key and set (its hashes, made again from the text) of the classes named by ``keys``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = shingles(Words(part.column(1)), SHINGLE)
+                # rows that share a doc_id bring several texts; only the one of the class counts
+                own = [i for i, k in enumerate(part.column(0).to_pylist()) if len(sets[i]) and set_key(sets[i]) == k % (1 << 64)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part.column(0)[i].as_py() for i in own], pa.int64()),
+                        pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64())),
+                    ],
+                    ["set_key", "set"],
+                )
+
+    named = classes.select("set_key", "doc_id").join(keys, "set_key")
+    texts = docs.filter("doc_id is not null").select("doc_id", "text")
+    rows = named.join(texts, "doc_id").select("set_key", "text")
+    return rows.mapInArrow(work, "set_key bigint, set array<bigint>").dropDuplicates(["set_key"])
+
+
+def forest(keys: np.ndarray, labels: np.ndarray, starts: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components of a group: as few as connect what similar sets connect.
+
+    ``values[starts[i] : starts[i + 1]]`` is the set of member i. Shared shingles are counted through
+    an index from shingle to members, one member against all later ones at a time; a member whose
+    component holds all of them is passed over.
+    """
+    sizes = np.diff(starts)
+    whose = np.repeat(np.arange(len(keys)), sizes)
+    order = np.argsort(values, kind="stable")
+    _, of, counts = np.unique(values, return_inverse=True, return_counts=True)
+    listed, begin = whose[order], np.cumsum(counts) - counts
+    root = np.unique(labels, return_inverse=True)[1]
+    out = []
+    for r in range(len(keys) - 1):
+        if (root == root[r]).all():
+            break
+        own = of[starts[r] : starts[r + 1]]
+        n = counts[own]
+        place = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(listed[place], minlength=len(keys))
+        linked = 100 * shared >= PERCENT * (sizes + sizes[r] - shared)
+        for k in r + 1 + np.flatnonzero(linked[r + 1 :] & (root[r + 1 :] != root[r])):
+            if root[k] != root[r]:
+                root[root == root[k]] = root[r]
+                out.append((int(keys[r]), int(keys[k])))
+    return out
+
+
+def rest_links(bands: DataFrame, buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links inside buckets of three and more classes that are in different components so far.
 
     A bucket is cut into blocks of about BLOCK classes and each pair of blocks is one group, so no
-    group grows with the bucket; inside, signatures are compared by bit counts and only likely pairs
-    leave the task.
+    group grows with the bucket. Full sets are compared inside the task, and a group gives at most
+    one link less than it has members.
     """
     rows = bands.join(buckets.filter("n > 2"), "band").select("band", "set_key", "least", "n")
     rows = rows.join(labels, rows["set_key"] == labels["node"], "left").select(
@@ -184,37 +236,28 @@ def rest_pairs(bands: DataFrame, buckets: DataFrame, classes: DataFrame, labels:
     )
     rows = keep(rows, "minhash-rows")
     mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("band")
-    rows = rows.join(mixed, "band").filter("set_key != least")
-    rows = rows.join(classes.select("set_key", F.col("n").alias("size"), "signature"), "set_key")
+    rows = keep(rows.join(mixed, "band").filter("set_key != least"), "minhash-mixed")
+    sets = keep(full_sets(rows.select("set_key").distinct(), classes, docs), "minhash-sets")
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_key", F.lit(3)), count).cast("int")
     spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    members = F.collect_list(F.struct("set_key", "label", "size", "own", "signature")).alias("members")
-    groups = spread.groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(members)
-    groups = groups.filter(F.size("members") > 1)
-    least, words = least_equal(), PERMS * BITS // 64
+    members = F.collect_list(F.struct("set_key", "label", "set")).alias("members")
+    groups = spread.join(sets, "set_key").groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    groups = groups.agg(members, F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("members")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for i, j, members in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                key, label, size, block = (np.array([m[x] for m in members]) for x in ("set_key", "label", "size", "own"))
-                signs = np.array([m["signature"] for m in members], np.int64).view(np.uint64)
-                for r in range(len(key) - 1):
-                    s = slice(r + 1, None)
-                    x = signs[s] ^ signs[r]
-                    x |= x >> np.uint64(2)
-                    x |= x >> np.uint64(1)
-                    equal = words * 16 - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
-                    fits = (equal >= least) & (label[s] != label[r])
-                    fits &= np.minimum(size[s], size[r]) * 100 >= np.maximum(size[s], size[r]) * PERCENT
-                    if i != j:  # pairs within one block are compared in its own group
-                        fits &= block[s] != block[r]
-                    found.update((int(min(key[r], k)), int(max(key[r], k))) for k in key[s][fits])
-            pairs = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return groups.select("i", "j", "members").mapInArrow(work, "a bigint, b bigint").distinct()
+            found: list[tuple[int, int]] = []
+            for row in range(batch.num_rows):
+                one = batch.column(0).slice(row, 1).flatten()
+                sets = one.field("set")
+                starts = sets.offsets.to_numpy().astype(np.int64)
+                values = sets.flatten().to_numpy(zero_copy_only=False)
+                key, label = (one.field(x).to_numpy(zero_copy_only=False) for x in ("set_key", "label"))
+                found += forest(key, label, starts - starts[0], values)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return groups.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,9 +274,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars, buckets = star_pairs(bands)
     links = keep(confirmed(keep(estimated(stars, classes), "minhash-pairs"), docs), "minhash-links")
     labels = components(links)
-    more = keep(estimated(rest_pairs(bands, buckets, classes, labels), classes), "minhash-pairs")
+    more = keep(rest_links(bands, buckets, classes, labels, docs), "minhash-links")
     if not more.isEmpty():
-        labels = components(links.union(confirmed(more, docs)))
+        labels = components(links.union(more))
     member = classes.select("set_key", "doc_id").join(labels, F.col("set_key") == F.col("node"), "left")
     member = member.select("set_key", "doc_id", F.coalesce("label", "set_key").alias("label"))
     first = member.groupBy("label").agg(F.min("doc_id").alias("component"))
