@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, langid, minhash, packing, pii, quality, secrets, spans
+from tallyloom.llm import decontaminate, langid, licenses, minhash, packing, pii, quality, secrets, spans, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.label(table(spark, folder, "documents"))
 
 
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 @query
 def op4_personal(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(table(spark, folder, "documents")).select(
@@ -105,3 +110,8 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).drop("spans")
