@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, langid, licenses, minhash, packing, pii, quality, secrets, spans, warc
+from tallyloom.llm import decontaminate, langid, licenses, minhash, packing, pii, quality, repeats, secrets, spans, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,14 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+    return repeats.kept_texts(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
