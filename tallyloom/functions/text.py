@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Handles, links and every sign that is no ASCII letter, digit, blank or tab.
-HANDLE = r"@[A-Za-z0-9]+"
-LINK = r"\w+:\/\/\S+"
-NOISE = r"[^0-9A-Za-z \t]"
+NOISE = r"(@[A-Za-z0-9]+)|([^0-9A-Za-z \t])|(\w+:\/\/\S+)"
 
 WORD_BREAK = r"\W+"
 LETTER_BREAK = r"[^\p{L}]+"
@@ -16,7 +14,7 @@ LETTER_BREAK = r"[^\p{L}]+"
 
 def clean_text(text: Column) -> Column:
     """Drop handles, links and signs, then squeeze blanks."""
-    bare = F.regexp_replace(text, f"({HANDLE})|({NOISE})|({LINK})", " ")
+    bare = F.regexp_replace(text, NOISE, " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

@@ -98,14 +98,17 @@ def pacf(df: DataFrame, key: str, max_lag: int = 20, y: str = "y", pos: str = "p
     return per_series(sums, key, solve, "lag int, pacf double, band double")
 
 
-def adf(df: DataFrame, key: str, max_lag: int, y: str = "y", pos: str = "pos") -> DataFrame:
+def adf(df: DataFrame, key: str, max_lag: int | None = None, y: str = "y", pos: str = "pos") -> DataFrame:
     """Unit-root test with a constant; the number of lagged differences is chosen by AIC.
 
-    ``max_lag`` bounds the search; a short series searches up to ceil(12 (n/100)^(1/4))
-    and no further than half its length. All candidates are compared on the same
+    A series searches up to ceil(12 (n/100)^(1/4)) and no further than half its length;
+    ``max_lag`` may bound that. Without it the longest series sets the width of the sums. All candidates are compared on the same
     rows, then the best is fitted on all rows that have its lags. The p-value is
     approximate.
     """
+    if max_lag is None:
+        longest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 1
+        max_lag = math.ceil(12 * (longest / 100) ** 0.25)
     rows = with_history(deviations(df, key, y), key, ["_d"], max_lag + 1, pos)
     sums = cross_products(rows, key, ["_d"], max_lag + 1, difference_design, pos)
 

@@ -72,13 +72,13 @@ def daily_count_lang(t: Tables):
 
 
 @query("topk_group_share", with_views("posts", """
-SELECT month, language, n, CAST(rank AS INT) AS rank, CAST(round(TRY_CAST(percent AS DECIMAL(28,9)), 6) AS DOUBLE) AS percent FROM (
-  SELECT month, language, n, row_number() OVER (PARTITION BY month ORDER BY n DESC, language) AS rank,
+SELECT month, creator, n, CAST(rank AS INT) AS rank, CAST(round(TRY_CAST(percent AS DECIMAL(28,9)), 6) AS DOUBLE) AS percent FROM (
+  SELECT month, creator, n, row_number() OVER (PARTITION BY month ORDER BY n DESC, creator) AS rank,
          100.0 * n / sum(n) OVER (PARTITION BY month) AS percent
-  FROM (SELECT month, language, count(*) AS n FROM posts GROUP BY 1, 2)) WHERE rank <= 3"""))
+  FROM (SELECT month, creator, count(*) AS n FROM posts GROUP BY 1, 2)) WHERE rank <= 5"""))
 def topk_group_share(t: Tables):
-    """The three most frequent languages of each month with their percentage."""
-    best = counts.top_share_in_group(posts(t), "month", "language", 3)
+    """The five most frequent creators of each month with their percentage."""
+    best = counts.top_share_in_group(posts(t), "month", "creator", 5)
     return best.withColumn("percent", steady("percent", 6))
 
 

@@ -10,7 +10,7 @@ from tallyloom.operators import cleaning
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, area_hourly, baskets, event_rows, posts, raw_pages, tag_strings, texts, with_views
 from tallyloom.sources import csvs, html, logs
-from tallyloom.storage import scratch_path, use_all_cores
+from tallyloom.storage import scratch_path
 
 DAY = "yyyy-MM-dd"
 MINUTE = "yyyy-MM-dd HH:mm"
@@ -37,8 +37,7 @@ SELECT CAST(x.id AS VARCHAR) AS id, x.creator, coalesce(b.tags, 0) AS tags,
   strftime(CAST(x.day AS TIMESTAMP) + to_minutes(x.id % 1440), '%Y-%m-%d %H:%M') AS minute,
   CAST(x.id % 11 AS INT) AS reshares, CAST(x.id % 13 AS INT) AS likes, CAST(x.id % 7 AS INT) AS num_replies"""
 
-CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(text,
-  '(@[A-Za-z0-9]+)|([^0-9A-Za-z \t])|(\w+:\/\/\S+)', ' ', 'g'), '\s+', ' ', 'g'))"""
+CLEAN_SQL = rf"""trim(regexp_replace(regexp_replace(text, '{tx.NOISE}', ' ', 'g'), '\s+', ' ', 'g'))"""
 
 
 @query("src_csv_roundtrip", with_views("texts basket_items", POST_ROWS_SQL + f""",
@@ -232,7 +231,7 @@ def parse_post_time(t: Tables):
     month = F.element_at(F.array(*[F.lit(m) for m in tp.ITALIAN_MONTHS]), F.month("at"))
     raw = F.concat(F.date_format("at", "HH:mm - d "), month, F.date_format("at", " yyyy"))
     cell = F.when(F.col("id") % 10 < 8, raw).when(F.col("id") % 10 == 8, "").otherwise("yesterday")
-    spread = use_all_cores(posts(t).select("id", "ts"), "id")
+    spread = posts(t).select("id", "ts")
     cells = spread.withColumn("at", stamp).select("id", tp.normal_post_time(cell).alias("clock"))
     return cells.select(
         "id", F.date_format(tp.post_timestamp(F.col("clock")), MINUTE).alias("minute"),

@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
-import pyspark
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import clean_text, tokens, word_grams
@@ -16,7 +10,25 @@ from tallyloom.plans.ingest import CLEAN_SQL
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, texts, with_views
 
-NAMES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
+# Short function words of each language and the words of the domain.
+STOPS = {
+    "en": [
+        "the", "and", "of", "to", "in", "is", "that", "it", "for", "with", "as", "are", "was", "be", "by", "on", "this",
+        "from", "at", "an", "or", "not", "he", "she", "they", "we", "you", "have", "had", "has", "but", "which",
+    ],
+    "fr": [
+        "le", "la", "les", "de", "des", "du", "et", "un", "une", "que", "qui", "dans", "pour", "par", "sur", "au", "aux",
+        "avec", "est", "en", "ne", "pas", "ce", "il", "elle", "nous", "vous", "ou", "son", "sa",
+    ],
+    "de": [
+        "der", "die", "das", "und", "zu", "den", "von", "mit", "ist", "des", "im", "dem", "nicht", "ein", "eine", "als",
+        "auch", "es", "an", "auf", "in", "sich", "er", "sie", "wir", "ihr", "bei", "aus", "nach", "wie",
+    ],
+    "es": [
+        "el", "la", "los", "las", "de", "del", "que", "y", "en", "un", "una", "por", "con", "para", "no", "es", "al", "lo",
+        "se", "su", "como", "pero", "sus", "le", "ya", "o", "este", "porque", "esta", "entre",
+    ],
+}
 DOMAIN = {"en": ["lake", "house"], "fr": ["lac"], "de": ["see"], "es": ["lago"]}
 
 # A word list for the test texts, which are invented prose: polarities are given to common words.
@@ -33,19 +45,13 @@ INTENSIFIERS = {"very": 1.5, "and": 1.3}
 
 
 def stop_lists() -> dict[str, list[str]]:
-    return {lang: language.default_stop_words(name, DOMAIN[lang]) for lang, name in NAMES.items()}
+    return {lang: words + DOMAIN[lang] for lang, words in STOPS.items()}
 
 
-@functools.cache
 def stop_values() -> str:
-    """The same public lists as SQL values, read from the jar next to the Python package."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    rows = set()
-    with zipfile.ZipFile(jar) as z:
-        for lang, name in NAMES.items():
-            listed = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8").split("\n")
-            rows |= {(lang, w.strip().lower()) for w in listed + DOMAIN[lang] if w.strip()}
-    cells = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in sorted(rows))
+    """The same lists as SQL values."""
+    rows = sorted({(lang, w) for lang, words in stop_lists().items() for w in words})
+    cells = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in rows)
     return f"stops AS (SELECT * FROM (VALUES {cells}) s(language, word))"
 
 
@@ -110,16 +116,16 @@ def prep_multilang(t: Tables):
 
 
 @query("ngram_counts", free_sql("words", """
-SELECT CAST(n AS INT) AS n, language, term, count(*) AS uses FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 3""", GRAMS))
+SELECT CAST(n AS INT) AS n, language, term, count(*) AS uses FROM grams GROUP BY 1, 2, 3""", GRAMS))
 def ngram_counts(t: Tables):
-    """Runs of one, two and three words that occur at least three times in a language."""
+    """Runs of one, two and three words in each language, with their uses."""
     p = prepared(t).select("language", "stopWordFree")
     sized = F.array(
         *[F.struct(F.lit(n).alias("n"), word_grams(F.col("stopWordFree"), n).alias("terms")) for n in (1, 2, 3)]
     )
     flat = p.select("language", F.inline(sized)).select("language", "n", F.explode("terms").alias("term"))
     counted = flat.groupBy("n", "language", "term").agg(F.count(F.lit(1)).alias("uses"))
-    return counted.filter(F.col("uses") >= 3)
+    return counted
 
 
 @query("doc_frequency", free_sql("words", """
@@ -131,20 +137,20 @@ def doc_frequency(t: Tables):
 
 @query("vocabulary", free_sql("words", """
 SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM grams WHERE n = 1 GROUP BY 1 HAVING count(DISTINCT id) >= 2
-ORDER BY tf DESC, term LIMIT 1000""", GRAMS))
+ORDER BY tf DESC, term LIMIT 10000""", GRAMS))
 def vocabulary(t: Tables):
-    """The thousand most used words found in two documents or more."""
-    return language.vocabulary(prepared(t), "ngrams", 1000)
+    """The ten thousand most used words found in two documents or more."""
+    return language.vocabulary(prepared(t), "ngrams", 10_000)
 
 
 @query("tfidf_terms", free_sql("words", """
 SELECT g.id, g.term, count(*) AS tf, v.df, CAST(round(TRY_CAST(count(*) * ln((m + 1) / (v.df + 1)) AS DECIMAL(28,9)), 6) AS DOUBLE) AS weight
 FROM grams g JOIN (SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM grams WHERE n = 1 GROUP BY 1
-  HAVING count(DISTINCT id) >= 2 ORDER BY tf DESC, term LIMIT 2000) v ON v.term = g.term,
+  HAVING count(DISTINCT id) >= 2 ORDER BY tf DESC, term LIMIT 10000) v ON v.term = g.term,
   (SELECT count(*) AS m FROM texts) WHERE g.n = 1 GROUP BY g.id, g.term, v.df, m""", GRAMS))
 def tfidf_terms(t: Tables):
     """Weighted terms of every text, over a vocabulary of bounded size."""
-    w = language.tfidf(prepared(t).select("id", "ngrams"), "id", "ngrams", 2000)
+    w = language.tfidf(prepared(t).select("id", "ngrams"), "id", "ngrams", 10_000)
     return w.select("id", "term", "tf", "df", steady("weight", 6).alias("weight"))
 
 

@@ -17,7 +17,7 @@ LAGGED = """lagged AS (SELECT *, lag(y) OVER (PARTITION BY series ORDER BY pos)
 @query("adf_test")
 def adf_test(t: Tables):
     """Unit-root test of every daily series."""
-    return sm.adf(daily_series(t), "series", max_lag=28)
+    return sm.adf(daily_series(t), "series")
 
 
 @query("df_test", with_views("daily", """

@@ -12,7 +12,7 @@ from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, texts, vectors
 from tallyloom.storage import cut_lineage
 
-TOPICS = 5
+TOPICS = 12
 
 
 def text_frame(t: Tables):
@@ -22,7 +22,7 @@ def text_frame(t: Tables):
 
 def fitted(t: Tables, n: int = 2, k: int = TOPICS):
     frame = text_frame(t)
-    return topics.fit_topics(frame, "stopWordFree", k, n=n, size=2000), frame
+    return topics.fit_topics(frame, "stopWordFree", k, n=n, size=10_000), frame
 
 
 def with_topics(t: Tables):
@@ -61,7 +61,7 @@ def topic_terms(t: Tables):
 @query("lda_sweep")
 def lda_sweep(t: Tables):
     """Likelihood and perplexity for word runs of one to three words and several topic counts."""
-    return topics.sweep(text_frame(t), "stopWordFree", [1, 2, 3], [2, 5], max_iter=10, size=2000)
+    return topics.sweep(text_frame(t), "stopWordFree", [1, 2, 3], [2, 5], max_iter=20, size=10_000)
 
 
 @query("topic_assign")
@@ -157,5 +157,5 @@ def topic_tail_entities(t: Tables):
 def topic_tail_trigrams(t: Tables):
     """Frequent three-word runs in the negative tail of each topic."""
     runs = patterns.run_baskets(tail_texts(t).filter("tail = 'negative'"), "text", 3, "topic")
-    sets = patterns.mine_per_group(runs, "topic", "items", list(range(TOPICS)), 0.34, min_rows=5)
+    sets = patterns.mine_per_group(runs, "topic", "items", list(range(TOPICS)), 0.34)
     return sets.select("topic", F.array_join("items", "|").alias("items"), "size", "freq")

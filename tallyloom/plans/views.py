@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import tag_literal
 from tallyloom.session import pin
-from tallyloom.storage import use_all_cores
 
 
 class Tables:
@@ -72,11 +71,11 @@ def texts(t: Tables) -> DataFrame:
         F.col("source").alias("creator"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")).alias("day"),
     )
-    return use_all_cores(docs, "id")
+    return docs
 
 
 def raw_pages(t: Tables) -> DataFrame:
-    return use_all_cores(t.pages, "page_id")
+    return t.pages
 
 
 def vectors(t: Tables) -> DataFrame:

@@ -9,8 +9,8 @@ from tallyloom.functions.text import parse_tags, real_tags, tag_literal
 from tallyloom.functions.timeparts import POST_FORMAT, count_or_zero, leading_hour, post_timestamp
 
 # The columns of the posts file and of the prepared parking file, in file order.
-POST_COLUMNS = "id, creator, hashtags, timestamp, reshares, likes, num_replies, text, clean_text".split(", ")
-PARKING_COLUMNS = "name, free, weekday, month, day, year, hour".split(", ")
+POST_COLUMNS = ["id", "creator", "hashtags", "timestamp", "reshares", "likes", "num_replies", "text", "clean_text"]
+PARKING_COLUMNS = ["name", "free", "weekday", "month", "day", "year", "hour"]
 
 # A quote inside a cell is doubled, and an empty cell is told from a missing one.
 DIALECT = {"quote": "\"", "escape": "\"", "nullValue": "\\N"}

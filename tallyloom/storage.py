@@ -53,15 +53,3 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     seen = df.limit(max_rows + 1).count()
     return F.broadcast(df) if seen <= max_rows else df
-
-
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer partitions than the session has cores.
-
-    Text work is bound by the processor, and a small file is read by one task. A
-    big input has more partitions than cores and is returned untouched, so no
-    text is shuffled there. Meant for scans: asking a shuffled frame for its
-    partitions would already run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
