@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import keep, plain
-from tallyloom.llm.spans import bound, ordered
+from tallyloom.llm.spans import bound, ordered, sums_before
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -38,23 +38,20 @@ SPAN = "struct<kind:string,start:int,end:int,value:string,left:string,right:stri
 def places(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost matches that do not overlap: kind, start, end (code points), value, and the text
     beside them up to the next match. The text between matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = lambda between: F.transform(
-        found,
-        lambda v, i: F.struct(v.alias("v"), F.get(between, i).alias("before"), F.get(between, i + 1).alias("after")),
-    )
-    rows = bound(F.split(text, pattern, -1), parts)
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        own = F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["v"])).alias("end"), x["v"].alias("value"),
-            F.right(x["before"], F.lit(NEAR)).alias("left"), F.left(x["after"], F.lit(NEAR)).alias("right"),
+    both = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def told(x: Column) -> Column:
+        sizes = F.zip_with(F.slice(x["between"], 1, F.size(x["found"])), x["found"], lambda p, v: F.length(p) + F.length(v))
+        return bound(sums_before(sizes), lambda before: F.transform(x["found"], lambda v, i: span(x["between"], v, i, before)))
+
+    def span(between: Column, v: Column, i: Column, before: Column) -> Column:
+        start = F.get(before, i) + F.length(F.get(between, i))
+        return F.struct(
+            F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"),
+            F.right(F.get(between, i), F.lit(NEAR)).alias("left"), F.left(F.get(between, i + 1), F.lit(NEAR)).alias("right"),
         )
-        return F.struct((start + F.length(x["v"])).alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
 
-    return F.aggregate(rows, none, add, lambda acc: acc["out"])
+    return bound(both, told)
 
 
 def digits(value: Column) -> Column:

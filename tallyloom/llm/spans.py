@@ -14,6 +14,26 @@ def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+STEP = 256
+
+
+def sums_before(values: Column) -> Column:
+    """For each entry of an array of whole numbers the sum of those before it, block by block, so
+    that long arrays take about STEP steps per entry and no entry copies all before it."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+
+    def by_block(own: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / STEP).cast("int")), lambda b: F.slice(own, b * STEP + 1, STEP))
+        return bound(cut, lambda blocks: bound(F.transform(blocks, total), lambda sums: joined(blocks, sums)))
+
+    def joined(blocks: Column, sums: Column) -> Column:
+        inside = lambda x, base: F.transform(x, lambda y, j: base + total(F.slice(x, 1, j)))
+        each = F.transform(blocks, lambda x, b: bound(total(F.slice(sums, 1, b)), lambda base: inside(x, base)))
+        return F.flatten(each)
+
+    return bound(values, lambda own: F.when(F.size(own) > 0, by_block(own)).otherwise(F.array().cast("array<int>")))
+
+
 def ordered(spans: Column, kinds: tuple[str, ...]) -> Column:
     """By start, then by the place of the kind in ``kinds``, then by end."""
     place = F.array(*[F.lit(k) for k in kinds])
