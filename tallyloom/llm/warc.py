@@ -250,7 +250,9 @@ def read(entries: DataFrame, folder: str) -> DataFrame:
                 "page_id payload_bytes payload_digest record_type refers_to".split(),
             )
 
-    ordered = entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # a stated number of parts: entries are short and Spark would put them together, but what they name is long
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = entries.select("file", "offset", "length").repartition(parts, "file").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(work, RESULT)
 
 
