@@ -54,8 +54,13 @@ def to_local(ts: Column, zone: str) -> Column:
 
 
 def count_or_zero(cell: Column) -> Column:
-    """Counter text, with the empty counter standing for 0."""
-    return F.coalesce(F.nullif(F.trim(cell), F.lit("")), F.lit("0")).cast("int")
+    """Counter text, with the empty counter standing for 0.
+
+    Signs that group the digits (``1.234``, ``1,234``, ``1 234``) are dropped; text that is no
+    whole number gives null.
+    """
+    plain = F.regexp_replace(F.trim(cell), r"(?<=[0-9])[.,'\s\u00a0\u202f](?=[0-9]{3}(?![0-9]))", "")
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lit("0")).try_cast("int")
 
 
 def null_if_unknown(cell: Column, sentinel: str = "TimeNotAvailable") -> Column:

@@ -2,7 +2,7 @@
 
 Rows carry their recent history as an array. Each task turns its rows into
 cross-product sums per series; the sums of a series meet in one small group and
-are solved there. Sums are kept per history length (up to the longest lag), so
+are solved there, after a first round of adding up in parts of the series. Sums are kept per history length (up to the longest lag), so
 every regression can use exactly the rows that have all its lags.
 """
 
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from tallyloom.operators import halo
 
 BLOCK = 2048
+#: Sums (series and history length) that a task holds before it hands them on.
+HELD = 1024
+#: Parts in which the sums of a series are added up first.
+PARTS = 64
 
 Design = Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
 
@@ -32,15 +36,6 @@ def with_history(df: DataFrame, key: str, columns: list[str], max_lag: int, pos:
     return halo.home(near.withColumns(cells))
 
 
-def matrix(cells: pd.Series, width: int) -> np.ndarray:
-    """Array cells as a matrix with NaN for null."""
-    out = np.full((len(cells), width), np.nan)
-    for i, cell in enumerate(cells):
-        values = np.asarray(cell, dtype=float)
-        out[i, : len(values)] = values
-    return out
-
-
 def cross_products(
     df: DataFrame, key: str, columns: list[str], max_lag: int, design: Design, pos: str = "pos", skip: int = 0
 ) -> DataFrame:
@@ -49,16 +44,30 @@ def cross_products(
     ``design`` maps positions and histories to the regressors with the target in
     the last column. A NaN regressor counts as 0: a row of depth d only enters
     regressions whose longest lag is at most d. ``skip`` leaves out the first rows.
+
+    A task adds up all its rows, so what it hands on does not grow with the length of a series.
     """
     kind = dict(df.dtypes)[key]
+    cells = {c: [f"_h_{c}_{k}" for k in range(max_lag + 1)] for c in columns}
+
+    def table(held: dict) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                key: [name for name, _ in held],
+                "depth": np.array([depth for _, depth in held], np.int32),
+                "n": np.array([n for n, _ in held.values()], np.int64),
+                "products": [m.ravel() for _, m in held.values()],
+            }
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
         for batch in batches:
             batch = batch[batch[pos] >= skip]
             if not len(batch):
                 continue
             places = batch[pos].to_numpy()
-            hist = {c: matrix(batch[f"_h_{c}"], max_lag + 1) for c in columns}
+            hist = {c: batch[names].to_numpy(dtype=float) for c, names in cells.items()}
             rows = np.nan_to_num(design(places, hist))
             depth = np.minimum(places, max_lag + skip)
             codes, names = pd.factorize(batch[key])
@@ -71,17 +80,36 @@ def cross_products(
                 x = rows[part]
                 sums = np.add.reduceat(x[:, :, None] * x[:, None, :], heads, axis=0)
                 sizes = np.diff(np.r_[heads, len(s)])
-                yield pd.DataFrame(
-                    {
-                        key: names[s[heads] // (max_lag + skip + 1)],
-                        "depth": (s[heads] % (max_lag + skip + 1)).astype("int32"),
-                        "n": sizes.astype("int64"),
-                        "products": [m.ravel() for m in sums],
-                    }
-                )
-
-    lean = df.select(key, pos, *[f"_h_{c}" for c in columns])
-    return lean.mapInPandas(run, f"{key} {kind}, depth int, n bigint, products array<double>")
+                for place, n, m in zip(s[heads], sizes, sums):
+                    name = (names[place // (max_lag + skip + 1)], int(place % (max_lag + skip + 1)))
+                    before = held.get(name, (0, 0.0))
+                    held[name] = (before[0] + int(n), before[1] + m)
+                if len(held) > HELD:
+                    yield table(held)
+                    held = {}
+        if held:
+            yield table(held)
+
+    lags = [F.get(f"_h_{c}", F.lit(k)).cast("double").alias(name) for c, all_ in cells.items() for k, name in enumerate(all_)]
+    lean = df.select(key, pos, *lags)
+    return added_up(lean.mapInPandas(run, f"{key} {kind}, depth int, n bigint, products array<double>"), key)
+
+
+def added_up(products: DataFrame, key: str) -> DataFrame:
+    """The sums of each series added up in PARTS parts, so that the last group of a series stays
+    small however many tasks it came from."""
+    schema = products.schema
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        depths, at = np.unique(group["depth"].to_numpy(), return_inverse=True)
+        rows = np.stack(group["products"].to_list())
+        sums, n = np.zeros((len(depths), rows.shape[1])), np.zeros(len(depths), np.int64)
+        np.add.at(sums, at, rows)
+        np.add.at(n, at, group["n"].to_numpy())
+        return pd.DataFrame({key: [group[key].iloc[0]] * len(depths), "depth": depths, "n": n, "products": list(sums)})
+
+    parted = products.withColumn("_part", F.spark_partition_id() % PARTS)
+    return parted.groupBy(key, "_part").applyInPandas(add, schema)
 
 
 class Sums:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import halo
+from tallyloom.storage import cut_lineage, small_side
 
 
 def rolling(df: DataFrame, keys: list[str], y: str = "y", pos: str = "pos", width: int = 14) -> DataFrame:
@@ -45,11 +46,15 @@ def rebuild(df: DataFrame, parts: list[str], name: str = "rebuilt") -> DataFrame
 
 
 def centred(df: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
-    """Add the mean, the population variance and the length of each series."""
+    """Add the mean, the population variance and the length of each series.
+
+    They are a row per series, computed once and sent to the rows where few, so that a long series
+    is not brought together by its key.
+    """
     stats = df.groupBy(*keys).agg(
         F.avg(y).alias("_mean"), F.var_pop(y).alias("_var"), F.count(y).alias("_n")
     )
-    return df.join(stats, keys)
+    return df.join(small_side(cut_lineage(stats)), keys)
 
 
 def acf(df: DataFrame, keys: list[str], max_lag: int = 20, y: str = "y", pos: str = "pos") -> DataFrame:
@@ -109,7 +114,7 @@ def extrapolate_trend(
         return [F.regr_slope(t, x), F.regr_intercept(t, x)]
 
     fits = (
-        known.join(ends, keys)
+        known.join(small_side(cut_lineage(ends)), keys)
         .groupBy(*keys, "_front", "_back")
         .agg(*[c.alias(n) for c, n in zip(line(front) + line(back), ("_k1", "_c1", "_k2", "_c2"))])
     )
@@ -117,7 +122,7 @@ def extrapolate_trend(
         p > F.col("_back"), F.col("_k2") * p + F.col("_c2")
     )
     return (
-        df.join(fits, keys, "left")
+        df.join(small_side(cut_lineage(fits)), keys, "left")
         .withColumn(trend, F.coalesce(F.col(trend), filled))
         .drop("_front", "_back", "_k1", "_c1", "_k2", "_c2")
     )
@@ -136,23 +141,26 @@ def seasonal_decompose(
     """Add trend, seasonal, resid and nobs.
 
     ``extrapolate`` > 0 fills the trend's ends from that many points plus one. A
-    null value, or a value <= 0 in the multiplicative model, stops the job.
+    null, NaN or infinite value, or a value <= 0 in the multiplicative model, stops the job.
     """
     times = model.startswith("m")
-    sound = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
+    value = F.col(y).cast("double")
+    sound = F.col(y).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
     if times:
         sound = sound & (F.col(y) > 0)
     checked = df.withColumn(y, F.when(sound, F.col(y)).otherwise(F.raise_error(F.lit(f"unfit value in {y}"))))
-    out = moving_trend(checked, keys, period, two_sided, y, pos)
+    # written once: the ends, the phases and the result all read it
+    out = cut_lineage(moving_trend(checked, keys, period, two_sided, y, pos))
     if extrapolate > 0:
         out = extrapolate_trend(out, keys, extrapolate + 1, pos=pos)
     detrended = F.col(y) / F.col("trend") if times else F.col(y) - F.col("trend")
     out = out.withColumn("_phase", F.col(pos) % period)
     phases = out.groupBy(*keys, "_phase").agg(F.avg(detrended).alias("_avg"), F.count(F.lit(1)).alias("_c"))
-    levels = phases.groupBy(*keys).agg(F.avg("_avg").alias("_level"), F.sum("_c").alias("nobs"))
     shift = F.col("_avg") / F.col("_level") if times else F.col("_avg") - F.col("_level")
-    season = phases.join(levels, keys).select(*keys, "_phase", shift.alias("seasonal"), "nobs")
-    joined = out.join(season, [*keys, "_phase"]).drop("_phase")
+    phases = cut_lineage(phases)
+    levels = phases.groupBy(*keys).agg(F.avg("_avg").alias("_level"), F.sum("_c").alias("nobs"))
+    season = phases.join(small_side(cut_lineage(levels)), keys).select(*keys, "_phase", shift.alias("seasonal"), "nobs")
+    joined = out.join(small_side(season), [*keys, "_phase"]).drop("_phase")
     resid = (
         F.col(y) / F.col("seasonal") / F.col("trend")
         if times

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import halo
 from tallyloom.operators.least_squares import Fit, Sums, cross_products, per_series, with_history
 from tallyloom.operators.series import centred
+from tallyloom.storage import cut_lineage, small_side
 
 # MacKinnon's published response surface for the unit-root test with a
 # constant (one variable). Critical value = b0 + b1/n + b2/n^2 + b3/n^3.
@@ -249,14 +250,14 @@ def arma(
         rows = with_history(base, key, ["_d"], skip, pos)
         first = coefficients(rows, key, skip, 0, [], constant, skip, pos, 0).select(key, F.col("coef").alias("_coef"))
         shock = F.when(F.col(pos) >= skip, F.col("_d") - linear(skip, 0, [], constant))
-        base = rows.join(first, key).withColumn("_e", shock).drop("_coef", "_h__d")
+        base = rows.join(small_side(cut_lineage(first)), key).withColumn("_e", shock).drop("_coef", "_h__d")
     lags = max(p, q, 1)
     hist = ["_d"] + (["_e"] if q else [])
     rows = with_history(base, key, hist, lags, pos)
     wide = rows.withColumns({f"_h_{x}": F.array(F.col(x)) for x in exog})
-    coef = coefficients(wide, key, p, q, exog, constant, lags, pos, skip)
+    coef = cut_lineage(coefficients(wide, key, p, q, exog, constant, lags, pos, skip))
     ready = F.col(pos) >= skip + max(p, q)
-    joined = rows.join(coef.select(key, F.col("coef").alias("_coef")), key, "left")
+    joined = rows.join(small_side(coef.select(key, F.col("coef").alias("_coef"))), key, "left")
     fitted = joined.withColumn("fitted", F.when(ready, F.col("_mean") + linear(p, q, exog, constant)))
     fitted = fitted.withColumn("resid", F.col(y) - F.col("fitted"))
     return ArmaResult(coef, fitted.select(*df.columns, "fitted", "resid"), key)

@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import drop_anchors, strip_tags, text_content
-from tallyloom.functions.timeparts import normal_post_time, null_if_unknown, post_timestamp
+from tallyloom.functions.timeparts import count_or_zero, normal_post_time, null_if_unknown, post_timestamp
 
 # Marks of one post in a saved result page.
-POST_START = '<li class="js-stream-item'
+POST_START = r'<li\b[^>]*?\sclass="js-stream-item'
 ID_MARK = r'data-item-id="([^"]*)"'
 CREATOR_MARK = r'data-screen-name="([^"]*)"'
 TAG_MARK = r'(?s)<a[^>]*href="/hashtag[^"]*"[^>]*>(.*?)</a>'
-TEXT_MARK = r'(?s)<div class="js-tweet-text-container">(.*?)</div>'
-TIME_MARK = r'<a[^>]*class="tweet-timestamp[^"]*"[^>]*title="([^"]*)"'
-COUNT_MARK = (
-    r'(?s)class="[^"]*ProfileTweet-action--{}.*?<span class="ProfileTweet-actionCountForPresentation">(.*?)</span>'
-)
+TEXT_MARK = r'<div\b[^>]*?\sclass="js-tweet-text-container"[^>]*>'
+TIME_MARK = r'<a\b(?=[^>]*\sclass="tweet-timestamp)[^>]*?\stitle="([^"]*)"'
+ACTION_MARK = r'<div\b[^>]*?\sclass="[^"]*ProfileTweet-action--'
+COUNT_MARK = r'(?s)<span\b[^>]*?\sclass="ProfileTweet-actionCountForPresentation"[^>]*>(.*?)</span>'
 
 
 def read_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -44,9 +43,29 @@ def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def counter(fragment: Column, action: str) -> Column:
-    """Counter of one action, 0 when it is empty or absent."""
-    text = F.trim(F.regexp_extract(fragment, COUNT_MARK.format(action), 1))
-    return F.coalesce(text.try_cast("int"), F.lit(0))
+    """Counter of one action, 0 when it is empty or absent; grouped digits count as one number."""
+    blocks = F.split(fragment, ACTION_MARK)
+    own = F.filter(blocks, lambda b: b.startswith(action) & F.regexp_like(b, F.lit(COUNT_MARK)))
+    return count_or_zero(F.regexp_extract(F.coalesce(F.get(own, F.lit(0)), F.lit("")), COUNT_MARK, 1))
+
+
+def block_content(fragment: Column, opening: str) -> Column:
+    """What the first ``div`` that matches ``opening`` holds, blocks inside it included; empty without one.
+
+    The rest of the fragment is cut before each open and close tag, and the pieces are counted until
+    the block is closed.
+    """
+    rest = F.coalesce(F.get(F.split(fragment, opening, 2), F.lit(1)), F.lit(""))
+    pieces = F.split(rest, r"(?=<div\b|</div\s*>)")
+
+    def step(acc: Column, piece: Column) -> Column:
+        turn = F.when(piece.startswith("<div"), 1).when(piece.startswith("</div"), -1).otherwise(0)
+        depth = F.when(acc["depth"] > 0, acc["depth"] + turn).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n"))
+
+    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    held = F.aggregate(pieces, begin, step, lambda acc: acc["n"])
+    return F.array_join(F.slice(pieces, F.lit(1), held), "")
 
 
 def posts_of_pages(pages: DataFrame, html: str = "html", greedy: bool = False) -> DataFrame:
@@ -55,8 +74,8 @@ def posts_of_pages(pages: DataFrame, html: str = "html", greedy: bool = False) -
     others = [c for c in pages.columns if c != html]
     f = F.col("_fragment")
     split = pages.select(*others, F.explode(F.slice(parts, 1, F.size(parts))).alias("_fragment"))
-    text = F.regexp_extract(f, TEXT_MARK, 1)
-    return split.filter(f.startswith(POST_START)).select(
+    text = block_content(f, TEXT_MARK)
+    return split.filter(F.regexp_like(f, F.lit(f"^{POST_START}"))).select(
         *others,
         F.regexp_extract(f, ID_MARK, 1).alias("id"),
         F.regexp_extract(f, CREATOR_MARK, 1).alias("creator"),
