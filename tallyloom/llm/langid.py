@@ -155,6 +155,24 @@ def word_scores(found: Letters, model: dict) -> np.ndarray:
     return scores
 
 
+def judged(texts: list[str], model: dict, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the place of its language among those of the model (one past the last for none) and
+    the probability of that language (0 for none)."""
+    rows = len(texts)
+    best, score = np.full(rows, len(model["langs"])), np.zeros(rows)
+    found = Letters(texts, letter)
+    if model["langs"] and len(found.start):
+        words = word_scores(found, model)
+        n = np.bincount(found.row, minlength=rows)
+        sums = np.stack([np.bincount(found.row, words[:, i], rows) for i in range(words.shape[1])], 1)
+        sums = sums / np.sqrt(np.maximum(n, 1))[:, None]
+        chance = np.exp(sums - sums.max(1, keepdims=True))
+        chance /= chance.sum(1, keepdims=True)
+        best = np.where(n > 0, chance.argmax(1), best)
+        score = np.where(n > 0, chance.max(1), 0)
+    return best, score
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score of every row.
 
@@ -170,18 +188,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         langs = np.array([*known["langs"], "und"], object)
         for batch in batches:
             for part in chunks(batch, "text"):
-                rows = part.num_rows
-                best, score = np.full(rows, len(langs) - 1), np.zeros(rows)
-                found = Letters(texts_of(part, "text"), letter)
-                if len(langs) > 1 and len(found.start):
-                    words = word_scores(found, known)
-                    n = np.bincount(found.row, minlength=rows)
-                    sums = np.stack([np.bincount(found.row, words[:, i], rows) for i in range(words.shape[1])], 1)
-                    sums = sums / np.sqrt(np.maximum(n, 1))[:, None]
-                    chance = np.exp(sums - sums.max(1, keepdims=True))
-                    chance /= chance.sum(1, keepdims=True)
-                    best = np.where(n > 0, chance.argmax(1), best)
-                    score = np.where(n > 0, chance.max(1), 0)
+                best, score = judged(texts_of(part, "text"), known, letter)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(langs[best].tolist(), pa.string()), pa.array(score)],
                     ["doc_id", "lang_pred", "score"],
@@ -205,26 +212,21 @@ def label(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> DataFrame:
 def with_language(docs: DataFrame, min_score: float = 0.0, max_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` whose language can be told: not ``und`` and with at least ``min_score``.
 
-    The text itself goes through the workers once, with all columns of ``docs``.
+    Only the text goes to the workers, a batch at a time; all columns of ``docs`` are kept.
     """
     model = learn(plain(docs, "doc_id", "text", "lang").filter(~held_out()), max_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred string, score double>")
-    def told(texts: pd.Series) -> pd.DataFrame:
+    def told(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letter, known = letter_table(), sent.value
         langs = np.array([*known["langs"], "und"], object)
-        out = []
-        for text in texts:
-            found = Letters([text or ""], letter)
-            if len(langs) == 1 or not len(found.start):
-                out.append(("und", 0.0))
-                continue
-            sums = word_scores(found, known).sum(0) / np.sqrt(len(found.start))
-            chance = np.exp(sums - sums.max())
-            best = int(chance.argmax())
-            out.append((langs[best], float(chance[best] / chance.sum())))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        for texts in columns:
+            batch = pa.RecordBatch.from_arrays([pa.array(texts.tolist(), pa.large_string())], ["text"])
+            found = [judged(texts_of(part, "text"), known, letter) for part in chunks(batch, "text")]
+            best = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int64)
+            score = np.concatenate([x[1] for x in found]) if found else np.zeros(0)
+            yield pd.DataFrame({"lang_pred": langs[best], "score": score})
 
     return (
         docs.withColumn("_told", told(F.col("text")))
