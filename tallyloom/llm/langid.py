@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import BASE, chunks, mix, plain, powers
+from tallyloom.llm.common import BASE, chunks, keep, mix, plain, powers
 
 #: Rows a model is learned from, at most (about; they are picked by a hash of the id).
 TRAIN_ROWS = 20_000
@@ -118,6 +118,8 @@ def learn(docs: DataFrame, max_rows: int = TRAIN_ROWS, features: int = FEATURES)
     model: dict = {"langs": langs, "tables": []}
     if not langs:
         return model
+    # written once: the tables of all lengths are taken from it
+    per = keep(per, "language-counts")
     for size in range(LONGEST + 1):
         top = per.filter(F.col("size") == size).orderBy(F.desc("all"), "h").limit(features)
         got = top.drop("size", "all").toPandas().fillna(0)
