@@ -268,3 +268,9 @@ def test_grid_and_gaps(spark):
     assert len(grid) == 48 and grid["y"].isna().sum() == 3
     assert cleaning.gaps(df, ["k"], "ts", "1 HOUR").count() == 3
     assert cleaning.on_grid(df, ["k"], "ts", "y", "1 HOUR", fill=0).agg(F.sum("y")).first()[0] == 45
+
+
+def test_decomposition_refuses_infinite_values(spark):
+    rows = [("s", i, float("inf") if i == 5 else float(i)) for i in range(21)]
+    with pytest.raises(Exception, match="unfit value"):
+        series.seasonal_decompose(spark.createDataFrame(rows, "series string, pos int, y double"), ["series"], 7).collect()

@@ -194,3 +194,19 @@ def test_language_model(spark):
     model, names = language.language_model(df, "text", "language")
     got = language.predict_language(df, "text", model, names)
     assert got.filter("language <> predicted").count() == 0
+
+
+NESTED = """<ol><li data-item-id="79" class="js-stream-item stream-item"><div data-screen-name="cy" class="tweet">
+<span class="ProfileTweet-action--retweet u-hidden"><span class="ProfileTweet-actionCount">x</span></span>
+<a title="10:05 - 12 giu 2016" class="tweet-timestamp y" data-original-title="none">t</a>
+<div dir="ltr" class="js-tweet-text-container"><div><div>one</div> two</div> three</div><div>not this</div>
+<div class="ProfileTweet-action ProfileTweet-action--reply"><span data-x="1" class="ProfileTweet-actionCountForPresentation">1.234</span></div>
+<div class="ProfileTweet-action ProfileTweet-action--retweet"><span class="ProfileTweet-actionCountForPresentation">12,345,678</span></div>
+</div></li></ol>"""
+
+
+def test_nested_blocks_grouped_counters_and_attribute_order(spark):
+    row = html.posts_of_pages(spark.createDataFrame([("u", NESTED)], "url string, html string")).first()
+    assert (row["id"], row["creator"], str(row["ts"])) == ("79", "cy", "2016-06-12 10:05:00")
+    assert row["text"].split() == ["one", "two", "three"]
+    assert (row["num_replies"], row["reshares"], row["likes"]) == (1234, 12345678, 0)
