@@ -70,8 +70,19 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the value at each place, and the first place of each value."""
+    codes, values = pd.factorize(h)
+    first = np.zeros(len(values), np.int64)
+    first[codes[::-1]] = np.arange(len(h))[::-1]
+    return codes, first
+
+
 def feature_counts(docs: DataFrame) -> DataFrame:
-    """How often each word (size 0) and each character run (size 1 to LONGEST) occurs per language."""
+    """How often each word (size 0) and each character run (size 1 to LONGEST) occurs per language.
+
+    Runs are cut from each distinct word of a language once and count as often as the word.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = letter_table()
@@ -79,12 +90,19 @@ def feature_counts(docs: DataFrame) -> DataFrame:
             for part in chunks(batch, "text"):
                 found = Letters(texts_of(part, "text"), letter)
                 langs = pd.factorize(np.array(part.column(1).to_pylist(), object))
-                lang_of = langs[0][found.row]
-                every = np.arange(len(found.start))
+                every, h = np.arange(len(found.start)), found.hashes(found.start, found.end)
+                lang, times = langs[0][found.row].astype(np.uint64), np.ones(len(every), np.int64)
+                words = every
                 for n in range(LONGEST + 1):
-                    h, whose = (found.hashes(found.start, found.end), every) if n == 0 else found.runs(every, n)
-                    own = pd.DataFrame({"lang": lang_of[whose], "h": h.view(np.int64)})
-                    own = own.groupby(["lang", "h"], sort=False).size().reset_index(name="n")
+                    if n:
+                        h, whose = found.runs(words, n)
+                    else:
+                        whose = every
+                    codes, first = distinct(h ^ mix(lang[whose] + np.uint64(1)))
+                    sums = np.bincount(codes, times[whose], len(first)).astype(np.int64)
+                    own = pd.DataFrame({"lang": lang[whose[first]].astype(np.int64), "h": h[first].view(np.int64), "n": sums})
+                    if not n:
+                        words, lang, times = first, lang[first], sums
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(langs[1].take(own["lang"].to_numpy()).tolist(), pa.string()),
@@ -139,15 +157,15 @@ def looked_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.n
     return logs[at], keys[at] == h
 
 
-def word_scores(found: Letters, model: dict) -> np.ndarray:
-    """Per word and language the log frequency, by the word or by its longest known runs."""
-    scores, known = looked_up(model["tables"][0], found.hashes(found.start, found.end))
+def word_scores(found: Letters, model: dict, words: np.ndarray) -> np.ndarray:
+    """Per numbered word and language the log frequency, by the word or by its longest known runs."""
+    scores, known = looked_up(model["tables"][0], found.hashes(found.start[words], found.end[words]))
     scores = np.where(known[:, None], scores, 0).astype(np.float64)
     left = np.flatnonzero(~known)
     for n in range(LONGEST, 0, -1):
         if not len(left):
             break
-        h, whose = found.runs(left, n)
+        h, whose = found.runs(words[left], n)
         logs, hit = looked_up(model["tables"][n], h)
         hits = np.bincount(whose[hit], minlength=len(left))
         sums = np.stack([np.bincount(whose[hit], logs[hit, i], len(left)) for i in range(logs.shape[1])], 1)
@@ -164,7 +182,9 @@ def judged(texts: list[str], model: dict, letter: np.ndarray) -> tuple[np.ndarra
     best, score = np.full(rows, len(model["langs"])), np.zeros(rows)
     found = Letters(texts, letter)
     if model["langs"] and len(found.start):
-        words = word_scores(found, model)
+        # a word that occurs often is looked up once
+        codes, first = distinct(found.hashes(found.start, found.end))
+        words = word_scores(found, model, first)[codes]
         n = np.bincount(found.row, minlength=rows)
         sums = np.stack([np.bincount(found.row, words[:, i], rows) for i in range(words.shape[1])], 1)
         sums = sums / np.sqrt(np.maximum(n, 1))[:, None]
