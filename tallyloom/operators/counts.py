@@ -133,9 +133,9 @@ def missing_categories(df: DataFrame, group: str, category: str, groups: Column)
     return seen.select(F.explode(F.array_except(groups, F.col("seen"))).alias(group), category)
 
 
-def exclusive_terms(df: DataFrame, group: str, term: str) -> DataFrame:
-    """Terms found in exactly one group."""
-    spread = df.groupBy(term).agg(F.min(group).alias(group), F.max(group).alias("_last"))
+def exclusive_terms(df: DataFrame, group: str, *terms: str) -> DataFrame:
+    """Terms (or combinations of several columns) found in exactly one group, with that group."""
+    spread = df.groupBy(*terms).agg(F.min(group).alias(group), F.max(group).alias("_last"))
     return spread.filter(F.col(group) == F.col("_last")).drop("_last")
 
 

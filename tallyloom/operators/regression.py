@@ -117,32 +117,55 @@ def importance_table(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(w)) for f, w in zip(features, weights)], "feature string, weight double")
 
 
-def compare(
-    frame: DataFrame, key: str, values: list, features: list[str], families: list[str], row_keys: list[str], workers: int = 3
-) -> DataFrame:
-    """(key, family, n, rss, mse, rmse, mae, r2) on the held-out rows of each key.
+def fit_each(data: DataFrame, key: str, fits: dict[str, Callable], workers: int = 3) -> dict[tuple, object]:
+    """Models by (key value, fit name), each learned from the rows of one key; no rows, no models.
 
-    ``values`` is the short list of keys that get their own models. The frame is
-    written once, and a few fits run at a time.
+    The key values are read from the data and meant to be few (areas, codes): every one starts
+    fits of its own, a few at a time. ``data`` is read by every fit, so hand in a written frame.
+    For many keys see ``linear_per_key``.
     """
-    data = cut_lineage(assembled(frame, features).select(key, "label", "features", in_training(row_keys).alias("_train")))
+    values = sorted(r[0] for r in data.select(key).filter(F.col(key).isNotNull()).distinct().collect())
+    jobs = [(value, name) for value in values for name in fits]
 
-    def one(job: tuple) -> DataFrame:
-        value, family = job
-        part = data.filter(F.col(key) == value)
-        model = FAMILIES[family](part.filter("_train"))
-        scored = model.transform(part.filter("NOT _train"))
-        errors = fit_errors(scored, "label", "prediction", key)
-        return errors.withColumn("family", F.lit(family))
+    def one(job: tuple):
+        value, name = job
+        return fits[name](data.filter(F.col(key) == value).select("label", "features"))
 
     with ThreadPoolExecutor(workers) as pool:
-        tables = list(pool.map(one, [(v, f) for v in values for f in families]))
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
+        return dict(zip(jobs, pool.map(one, jobs)))
+
+
+def predictions(models: dict[tuple, object], data: DataFrame, key: str) -> DataFrame | None:
+    """The rows of each key with ``family`` and the ``prediction`` of every model of the key."""
+    out = None
+    for (value, family), model in models.items():
+        scored = model.transform(data.filter(F.col(key) == value)).withColumn("family", F.lit(family))
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        out = data.select("*", F.lit("").alias("family"), F.lit(0.0).alias("prediction")).filter(F.lit(False))
+    return out
+
+
+def keyed(models: dict[tuple, object], key: str, table: Callable[[object], DataFrame], empty: DataFrame) -> DataFrame:
+    """The tables of all models, with their key and family; ``empty`` gives the columns where no model is."""
+    out = empty.select(F.lit("").alias(key), F.lit("").alias("family"), "*").filter(F.lit(False))
+    for (value, family), model in models.items():
+        out = out.unionByName(table(model).select(F.lit(value).alias(key), F.lit(family).alias("family"), "*"))
     return out
 
 
+def compare(
+    frame: DataFrame, key: str, features: list[str], families: list[str], row_keys: list[str], workers: int = 3
+) -> DataFrame:
+    """(key, family, n, rss, mse, rmse, mae, r2) on the held-out rows of each key.
+
+    The frame is written once, and a few fits run at a time.
+    """
+    data = cut_lineage(assembled(frame, features).select(key, "label", "features", in_training(row_keys).alias("_train")))
+    models = fit_each(data.filter("_train"), key, {f: FAMILIES[f] for f in families}, workers)
+    return fit_errors(predictions(models, data.filter("NOT _train"), key), "label", "prediction", key, "family")
+
+
 def linear_per_key(df: DataFrame, key: str, label: str, features: list[str]) -> DataFrame:
     """(key, term, coef, se, t, nobs, r2): ordinary least squares of every key in one job.
 

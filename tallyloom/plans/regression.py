@@ -9,11 +9,10 @@ from tallyloom.operators import regression, stats
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, area_hourly, event_rows, occupancy_hourly, weather_hourly, with_views
 from tallyloom.sources.models import load_model, save_model
-from tallyloom.storage import scratch_path
+from tallyloom.storage import cut_lineage, scratch_path
 
 AREAS = [1, 2, 3, 4, 5, 6, 7]
 FEATURES = ["temperature", *[f"count_{a}" for a in AREAS]]
-CODES = ["click", "error", "purchase", "signup", "view"]
 MINUTE = "yyyy-MM-dd HH:mm"
 
 
@@ -76,30 +75,58 @@ def reg_split(t: Tables):
     return frame(t).select("code", mark).groupBy("code", "train").agg(F.count(F.lit(1)).alias("n"))
 
 
-def training(t: Tables, code: str = "purchase"):
-    data = regression.assembled(frame(t).filter(F.col("code") == code), FEATURES)
-    return data.withColumn("_train", regression.in_training(["code", "ts"]))
+def training(t: Tables):
+    """The frame of all codes with its features and the split, written once for the fits."""
+    data = regression.assembled(frame(t), FEATURES).withColumn("_train", regression.in_training(["code", "ts"]))
+    return cut_lineage(data)
+
+
+def held_out(t: Tables, family: str):
+    """Predictions and residuals of the rows kept from training, every code by its own model."""
+    data = training(t)
+    models = regression.fit_each(data.filter("_train"), "code", {family: regression.FAMILIES[family]})
+    scored = regression.predictions(models, data.filter("NOT _train"), "code")
+    return scored.select(
+        "code", F.date_format("ts", MINUTE).alias("hour"), "label", "prediction", (F.col("prediction") - F.col("label")).alias("res")
+    )
+
+
+def plain_fit(data):
+    return LinearRegression(solver="normal").fit(data)
+
+
+def no_rows(t: Tables, columns: str):
+    return t.spark.createDataFrame([], columns)
 
 
 @query("linreg_grid")
 def linreg_grid(t: Tables):
-    """Validation error of twelve linear settings."""
-    model = regression.linear_grid(training(t).filter("_train").select("label", "features"))
-    return regression.grid_table(model, t.spark)
+    """Validation error of twelve linear settings for every code."""
+    models = regression.fit_each(training(t).filter("_train"), "code", {"linear": regression.linear_grid})
+    empty = no_rows(t, "reg_param double, intercept boolean, elastic_net double, rmse double")
+    return regression.keyed(models, "code", lambda m: regression.grid_table(m, t.spark), empty).drop("family")
 
 
 @query("linreg_summary")
 def linreg_summary(t: Tables):
-    """Coefficients with errors and p-values of a plain linear fit."""
-    model = LinearRegression(solver="normal").fit(training(t).select("label", "features"))
-    return regression.summary_table(model, FEATURES, t.spark)
+    """Coefficients with errors and p-values of a plain linear fit of every code."""
+    models = regression.fit_each(training(t), "code", {"linear": plain_fit})
+    empty = no_rows(t, "term string, coef double, se double, t double, p_value double")
+    return regression.keyed(models, "code", lambda m: regression.summary_table(m, FEATURES, t.spark), empty).drop("family")
 
 
 @query("linreg_training")
 def linreg_training(t: Tables):
-    """Training metrics of a plain linear fit."""
-    model = LinearRegression(solver="normal").fit(training(t).select("label", "features"))
-    return regression.training_table(model, t.spark)
+    """Training metrics of a plain linear fit of every code."""
+    models = regression.fit_each(training(t), "code", {"linear": plain_fit})
+    empty = no_rows(t, "metric string, value double")
+    return regression.keyed(models, "code", lambda m: regression.training_table(m, t.spark), empty).drop("family")
+
+
+@query("linreg_reg")
+def linreg_reg(t: Tables):
+    """Held-out predictions and residuals of the best linear setting of every code."""
+    return held_out(t, "linear")
 
 
 @query("linreg_simple", with_views("event_rows", """
@@ -137,49 +164,43 @@ def linreg_features_per_key(t: Tables):
 
 @query("tree_reg")
 def tree_reg(t: Tables):
-    """Held-out predictions and residuals of a decision tree."""
-    data = training(t)
-    model = regression.FAMILIES["tree"](data.filter("_train").select("label", "features"))
-    scored = model.transform(data.filter("NOT _train"))
-    return scored.select(F.date_format("ts", MINUTE).alias("hour"), "label", "prediction", (F.col("prediction") - F.col("label")).alias("res"))
+    """Held-out predictions and residuals of a decision tree for every code."""
+    return held_out(t, "tree")
 
 
 @query("gbt_reg")
 def gbt_reg(t: Tables):
-    """Held-out predictions and residuals of boosted trees."""
-    data = training(t)
-    model = regression.FAMILIES["gbt"](data.filter("_train").select("label", "features"))
-    scored = model.transform(data.filter("NOT _train"))
-    return scored.select(F.date_format("ts", MINUTE).alias("hour"), "label", "prediction", (F.col("prediction") - F.col("label")).alias("res"))
+    """Held-out predictions and residuals of boosted trees for every code."""
+    return held_out(t, "gbt")
 
 
 @query("feature_importance")
 def feature_importance(t: Tables):
-    """Weights of the features in the boosted model."""
-    model = regression.FAMILIES["gbt"](training(t).filter("_train").select("label", "features"))
-    return regression.importance_table(model, FEATURES, t.spark)
+    """Weights of the features in the tree and boosted models of every code."""
+    fits = {f: regression.FAMILIES[f] for f in ("tree", "gbt")}
+    models = regression.fit_each(training(t).filter("_train"), "code", fits)
+    empty = no_rows(t, "feature string, weight double")
+    return regression.keyed(models, "code", lambda m: regression.importance_table(m, FEATURES, t.spark), empty)
 
 
 @query("model_compare")
 def model_compare(t: Tables):
     """Three model families for each code, by held-out error."""
-    return regression.compare(frame(t), "code", CODES, FEATURES, ["linear", "tree", "gbt"], ["code", "ts"])
+    return regression.compare(frame(t), "code", FEATURES, ["linear", "tree", "gbt"], ["code", "ts"])
 
 
 @query("model_roundtrip")
 def model_roundtrip(t: Tables):
-    """Each family saved, loaded and applied again: rows and unequal predictions."""
-    data = training(t).select("label", "features")
+    """Every model of every code saved, loaded and applied again: rows and unequal predictions."""
+    data = training(t).select("code", "label", "features")
     root = scratch_path(t.spark, "models")
-    out = None
-    for family, fit in regression.FAMILIES.items():
-        model = fit(data)
-        save_model(model, root, family, code="purchase")
-        again = load_model(root, family, code="purchase")
-        first = model.transform(data).withColumnRenamed("prediction", "first")
-        both = again.transform(first)
-        row = both.agg(
-            F.lit(family).alias("family"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") != F.col("prediction")).alias("unequal")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    models = regression.fit_each(data, "code", regression.FAMILIES)
+    out = data.select("code", F.lit("").alias("family"), F.lit(0.0).alias("first"), F.lit(0.0).alias("prediction")).filter(F.lit(False))
+    for (code, family), model in models.items():
+        save_model(model, root, family, code=code)
+        first = model.transform(data.filter(F.col("code") == code)).withColumnRenamed("prediction", "first")
+        both = load_model(root, family, code=code).transform(first)
+        out = out.unionByName(both.select("code", F.lit(family).alias("family"), "first", "prediction"))
+    return out.groupBy("code", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") != F.col("prediction")).alias("unequal")
+    )

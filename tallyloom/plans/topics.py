@@ -61,7 +61,7 @@ def topic_terms(t: Tables):
 @query("lda_sweep")
 def lda_sweep(t: Tables):
     """Likelihood and perplexity for word runs of one to three words and several topic counts."""
-    return topics.sweep(text_frame(t), "stopWordFree", [1, 2, 3], [2, 5], max_iter=20, size=10_000)
+    return topics.sweep(text_frame(t), "stopWordFree", [1, 2, 3], list(range(2, 14)), max_iter=20, size=10_000)
 
 
 @query("topic_assign")
@@ -138,13 +138,13 @@ def vector_tails_query(t: Tables):
 
 @query("tail_only_terms", TAILS + """,
 terms AS (SELECT DISTINCT dim, tail, source FROM tail JOIN documents ON vec_id = doc_id)
-SELECT CAST(dim AS INT) AS dim, source FROM terms n WHERE tail = 'negative' AND NOT EXISTS (
-  SELECT 1 FROM terms p WHERE p.dim = n.dim AND p.source = n.source AND p.tail = 'positive')""")
+SELECT CAST(dim AS INT) AS dim, source, tail FROM terms n WHERE NOT EXISTS (
+  SELECT 1 FROM terms p WHERE p.dim = n.dim AND p.source IS NOT DISTINCT FROM n.source AND p.tail <> n.tail)""")
 def tail_only_terms(t: Tables):
-    """Terms of the negative tail that the positive tail of the same dimension lacks."""
+    """Terms of each tail that the other tail of the same dimension lacks, both sides in one pass."""
     docs = t.documents.select(F.col("doc_id").alias("vec_id"), "source")
     found = vector_tails(t).join(docs, "vec_id")
-    return counts.terms_not_in(found.filter("tail = 'negative'"), found.filter("tail = 'positive'"), ["dim", "source"])
+    return counts.exclusive_terms(found, "tail", "dim", "source").select("dim", "source", "tail")
 
 
 @query("topic_tail_entities")
@@ -153,6 +153,13 @@ def topic_tail_entities(t: Tables):
     return entities.entity_counts(tail_texts(t), "text", "topic", "tail", "language")
 
 
+@query("topic_tail_only_entities")
+def topic_tail_only_entities(t: Tables):
+    """Names found in one tail of a topic only, with that tail."""
+    found = entities.entities(tail_texts(t), "text", "topic", "tail")
+    return counts.exclusive_terms(found, "tail", "topic", "entity").select("topic", "entity", "tail")
+
+
 @query("topic_tail_trigrams")
 def topic_tail_trigrams(t: Tables):
     """Frequent three-word runs in the negative tail of each topic."""

@@ -45,6 +45,7 @@ def test_itemset_tables(baskets):
     assert patterns.in_band(sets, 0, 10**6).count() == sets.count()
     per = {r["size"]: r["n"] for r in patterns.size_stats(sets).collect()}
     assert per[1] == 8
+    assert per[None] == sets.count()
 
 
 def test_mine_per_group(baskets):
@@ -119,7 +120,7 @@ def test_split_is_stable(linear):
 
 
 def test_compare_and_grid(linear, spark):
-    got = {(r["code"], r["family"]): r for r in regression.compare(linear, "code", ["p", "q"], ["a", "b"], ["linear", "tree"], ["id"]).collect()}
+    got = {(r["code"], r["family"]): r for r in regression.compare(linear, "code", ["a", "b"], ["linear", "tree"], ["id"]).collect()}
     assert len(got) == 4
     assert got["p", "linear"]["r2"] > 0.99 > got["p", "tree"]["r2"] > 0.5
     data = regression.assembled(linear.filter("code = 'p'"), ["a", "b"]).select("label", "features")
@@ -129,6 +130,21 @@ def test_compare_and_grid(linear, spark):
     assert best["intercept"] and best["rmse"] < 0.2
 
 
+def test_each_key_has_its_model(linear):
+    data = regression.assembled(linear, ["a", "b"])
+    models = regression.fit_each(data, "code", {"tree": regression.FAMILIES["tree"]})
+    assert sorted(models) == [("p", "tree"), ("q", "tree")]
+    assert regression.predictions(models, data, "code").count() == linear.count()
+
+
+def test_no_rows_give_no_models(linear):
+    empty = linear.filter("false")
+    data = regression.assembled(empty, ["a", "b"])
+    assert regression.fit_each(data, "code", regression.FAMILIES) == {}
+    assert regression.predictions({}, data, "code").count() == 0
+    assert regression.compare(empty, "code", ["a", "b"], ["linear"], ["id"]).count() == 0
+
+
 def test_models_by_name(linear, spark):
     data = regression.assembled(linear, ["a", "b"]).select("label", "features")
     root = scratch_path(spark, "m")

@@ -34,7 +34,7 @@ def test_entry(spark):
 
 LIGHT = (
     "adf_test pacf ar_fit ar_fitted ma_fit arma_fit armax_fit granger_test walk_forward_error pca_2d "
-    "freq_itemsets_all reg_split tree_reg linreg_summary linreg_training linreg_features_per_key"
+    "reg_split linreg_reg tree_reg linreg_summary linreg_training linreg_features_per_key"
 ).split()
 
 
