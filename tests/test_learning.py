@@ -74,6 +74,14 @@ def test_sweep(spark):
     assert all(r["log_likelihood"] < 0 < r["log_perplexity"] for r in got)
 
 
+def test_perplexity_is_likelihood_per_term(spark):
+    df = spark.createDataFrame([(i, ["x", "y", "z", "w"] if i % 2 else ["p", "q", "r", "s"]) for i in range(20)], "id int, words array<string>")
+    frame = topics.fit_topics(df, "words", 2, max_iter=3, n=1).transform(df).select("features")
+    model = topics.lda(2, 3).fit(frame)
+    total = sum(r["features"].toArray().sum() for r in frame.collect())
+    assert -model.logLikelihood(frame) / total == pytest.approx(model.logPerplexity(frame), rel=1e-3)
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=200)
