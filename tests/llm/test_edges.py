@@ -178,3 +178,20 @@ def test_thresholds_follow_groups(spark):
     rows = [(i, "plain words only here again " * 8 + f"{i} extra", "en", "a") for i in range(5)]
     out = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
     assert all(r["base_failed"] for r in out)
+
+
+def test_feature_counts_are_those_of_all_words(spark):
+    """Distinct words are cut once, and their runs count as often as the words (brute force)."""
+    from collections import Counter
+
+    texts = [(1, "ab ab abc", "x"), (2, "ab Ab cde", "x"), (3, "ab zz, zz", "y"), (4, "", "y"), (5, None, "y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    want = Counter()
+    for _, text, lang in texts:
+        for word in (text or "").lower().replace(",", " ").split():
+            want[0, word, lang] += 1
+            for n in range(1, langid.LONGEST + 1):
+                for i in range(len(word) - n + 1):
+                    want[n, word[i : i + n], lang] += 1
+    found = langid.feature_counts(docs).collect()
+    assert sorted((r["size"], r["lang"], r["n"]) for r in found) == sorted((k, lang, n) for (k, _, lang), n in want.items())
