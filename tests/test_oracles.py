@@ -28,7 +28,7 @@ def test_names():
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["month", "language", "n", "rank", "percent"]
+    assert df.columns == ["month", "creator", "n", "rank", "percent"]
     assert df.count() > 0
 
 
