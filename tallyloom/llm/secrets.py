@@ -1,9 +1,9 @@
 """Secrets in texts: plain patterns, and structures that are decoded before they are reported.
 
-The method takes long base64 and hex stretches as candidates, decodes them and reports one only if
-its bytes parse: nested lengths of a DER structure that fill it exactly, the length-led fields of a
-public key line, the magic of a private key container, or a signed token whose header and payload
-are JSON objects and whose header names an algorithm.
+The method takes long base64 and hex stretches as candidates, also behind ``NAME=`` and ``0x``,
+decodes them and reports one only if its bytes parse: nested lengths of a DER structure that fill it
+exactly, the length-led fields of a public key line, the magic of a private key container, or a
+signed token whose header and payload are JSON objects and whose header names an algorithm.
 """
 
 from __future__ import annotations
@@ -31,7 +31,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates have this many characters at least.
 LEAST = 24
 TOKEN = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-LONG = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+#: Stretches of base64 with their pad signs: both alphabets, then each alone (a name joined by a sign of
+#: the other alphabet does not hide the key); and stretches of hex.
+LONG = tuple(re.compile(rf"{signs}{{24,}}={{0,2}}") for signs in ("[A-Za-z0-9+/_-]", "[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
+LONG_HEX = re.compile(r"[0-9a-fA-F]{24,}")
 #: First fields of a key line that are accepted.
 KEY_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
@@ -141,11 +144,14 @@ def find(text: str) -> list[tuple[str, int, int]]:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(len(w) >= LEAST for w in text.split()):
-        for pattern in (TOKEN, LONG):
-            for m in pattern.finditer(text):
-                kind = confirmed(m.group()) if m.end() - m.start() >= LEAST else None
-                if kind:
-                    out.append((kind, m.start(), m.end()))
+        tried = {m.span() for pattern in (TOKEN, *LONG, LONG_HEX) for m in pattern.finditer(text)}
+        told: list[tuple[str, int, int]] = []
+        for start, end in sorted(tried, key=lambda x: (x[0], -x[1])):
+            kind = confirmed(text[start:end]) if end - start >= LEAST else None
+            # of stretches inside each other the longest is reported
+            if kind and not any(k == kind and s <= start and end <= e for k, s, e in told[-1:]):
+                told.append((kind, start, end))
+        out += told
     if "-----BEGIN " in text:
         for start, end, body in blocks(text):
             kind = confirmed(body)

@@ -159,6 +159,24 @@ def test_structures():
     assert kinds(base64.b64encode(der[:-1]).decode()) == [] and kinds("A" * 80) == []
 
 
+def test_structures_behind_names():
+    number = b"\x02\x20" + bytes(range(1, 33))
+    der = b"\x30" + bytes([len(number) * 2 + 4]) + number * 2 + b"\x04\x02ab"
+    key = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
+    plain, ssh = base64.b64encode(der).decode(), base64.b64encode(key).decode()
+    assert plain.endswith("=")
+    names = ["SIGNING_KEY=", "cert=", "A_NAME_AS_LONG_AS_A_CANDIDATE_IS=", "some-prefix-", "x0=="]
+    for name in names:
+        for kind, body in (("der", plain), ("ssh", ssh)):
+            text = f"set {name}{body} and on"
+            found = [x for x in secrets.find(text) if x[0] in ("der", "ssh")]
+            assert found == [(kind, text.index(body), text.index(body) + len(body))], (name, kind)
+    for body in (der.hex(), der.hex().upper()):
+        assert ("der", 2, 2 + len(body)) in secrets.find("0x" + body)
+    # one report of a stretch that several patterns see
+    assert [k for k, *_ in secrets.find(plain) if k == "der"] == ["der"]
+
+
 def test_license_islands(spark):
     text = dict((b, a) for a, b in licenses.TEMPLATES)["isc"].split()
     edited = " ".join(text[:9] + ["really"] + text[9:])
