@@ -184,6 +184,23 @@ def test_license_islands(spark):
     assert got == {1: "isc", 2: ""}
 
 
+def test_licenses_by_their_telling_words(spark):
+    gnu, cc = "Licensed under the GNU {}General Public License, version {}.", "Licensed under a Creative Commons Attribution{} 4.0 International License."
+    redistribute = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    texts = {
+        gnu.format("", "3"): "gpl-3", gnu.format("", "2"): "gpl-2", gnu.format("", "1"): "", gnu.format("Lesser ", "3"): "lgpl-3", gnu.format("Affero ", "3"): "agpl-3",
+        cc.format(""): "cc-by", cc.format("-NonCommercial"): "cc-by-nc", cc.format("-ShareAlike"): "cc-by-sa", cc.format("-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+        redistribute.format(""): "gpl", redistribute.format("Lesser "): "lgpl", redistribute.format("Affero "): "agpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == list(texts.values())
+    own = licenses.scan(spark.createDataFrame([(1, "you may use our words for one year only"), (2, "you may use our words for two year only")], "doc_id bigint, text string"),
+                        templates=[("you may use our words for one year only", "ours")], telling={"ours": ["for one year"]})
+    assert {r["doc_id"]: r["labels"] for r in own.collect()} == {1: "ours", 2: ""}
+
+
 def test_containment_in_long_texts(spark):
     item = [f"q{i}" for i in range(60)]
     rows = [(1, LONG + " " + " ".join(item) + " " + LONG), (2, LONG), (3, " ".join(item[:50])), (4, " ".join(item[:30]))]
