@@ -3,7 +3,9 @@
 Each text gives whole-number measures. Their spread per language and source is kept in a mergeable
 quantile sketch: counts of values in buckets whose width is about a sixteenth of the value, so that
 sketches add up by adding counts. A group's thresholds are its upper quartile plus a multiple of its
-quartile distance; a group with few texts takes the sketch of its language, or else that of all.
+quartile distance, or of a bucket's width where the quartiles meet; a group with few texts takes the
+sketch of its language, or else that of all. No fixed threshold has a say. A single event (one line seen
+again, one window found twice) is no evidence in a short text, so it is taken off before comparing.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from tallyloom.llm.common import Words, chunks, keep, plain
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: Rules: name, part and whole of the measure (in thousandths), and the least threshold.
+#: Rules: name, part and whole of the measure (in thousandths), and the size of a single event of the part.
 MEASURES = (
-    ("symbols", "n_symbols", "word_chars", 60),
-    ("dup_lines", "n_dup_lines", "n_lines", 500),
-    ("repeats", "n_repeat_words", "n_words", 200),
-    ("stutter", "n_stutter", "n_words", 100),
-    ("capitals", "n_capitals", "word_chars", 400),
+    ("symbols", "n_symbols", "word_chars", 1),
+    ("dup_lines", "n_dup_lines", "n_lines", 1),
+    ("repeats", "n_repeat_words", "n_words", 2 * WINDOW),
+    ("stutter", "n_stutter", "n_words", 1),
+    ("capitals", "n_capitals", "word_chars", 1),
 )
 #: Quartile distances above the upper quartile that are still accepted.
 FENCE = 8
@@ -94,15 +96,20 @@ def measure(docs: DataFrame) -> DataFrame:
     return plain(docs, "doc_id", "lang", "source", "text").mapInArrow(work, SCHEMA)
 
 
-def share(part: str, whole: str) -> Column:
-    """Thousandths of the whole; 0 where the whole is 0."""
-    return F.when(F.col(whole) > 0, F.floor(F.col(part) * 1000 / F.col(whole))).otherwise(F.lit(0)).cast("bigint")
+def share(part: str, whole: str, less: int = 0) -> Column:
+    """Thousandths of the whole, the part without ``less``; 0 where the whole is 0."""
+    left = F.greatest(F.col(part) - less, F.lit(0))
+    return F.when(F.col(whole) > 0, F.floor(left * 1000 / F.col(whole))).otherwise(F.lit(0)).cast("bigint")
+
+
+def width(value: Column) -> Column:
+    """The width of a value's bucket."""
+    return F.when(value < 32, F.lit(1)).otherwise(F.pow(F.lit(2), F.floor(F.log2(value + F.lit(0.5))) - 4)).cast("bigint")
 
 
 def bucket(value: Column) -> Column:
     """Whole numbers below 32 have a bucket each, larger ones one for each sixteenth of a power of two."""
-    wide = F.pow(F.lit(2), F.floor(F.log2(value + F.lit(0.5))) - 4)
-    return F.when(value < 32, value).otherwise(F.floor(value / wide) * wide).cast("bigint")
+    return (F.floor(value / width(value)) * width(value)).cast("bigint")
 
 
 def sketch(measures: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,8 +131,7 @@ def thresholds(sketches: DataFrame, keys: list[str]) -> DataFrame:
     run = sketches.withColumn("total", F.sum("n").over(group)).withColumn("sum", F.sum("n").over(group.orderBy("bucket")))
     quartile = lambda q: F.min(F.when(F.col("sum") * 4 >= F.col("total") * q, F.col("bucket")))
     cut = run.groupBy(*keys, "measure").agg(F.max("total").alias("n"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(low)) for m, _, _, low in MEASURES])
-    limit = F.greatest(F.col("q3") + FENCE * (F.col("q3") - F.col("q1")), least)
+    limit = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), width(F.col("q3")))
     return cut.select(*keys, "measure", "n", limit.alias("limit"))
 
 
@@ -149,14 +155,15 @@ def judge(docs: DataFrame) -> DataFrame:
     """Every row with its counts, base_failed and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of them in repeated windows. kept: not so, and
-    no measure above the accepted maximum of the row's language and source (nulls are a group too).
+    no measure, less a single event, above the accepted maximum of the row's language and source (nulls
+    are a group too).
     """
     rows = keep(measure(docs), "quality-counts")
     top = limits(rows)
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     within = F.lit(True)
-    for m, a, b, _ in MEASURES:
-        within = within & (share(a, b) <= F.col(f"max_{m}"))
+    for m, a, b, event in MEASURES:
+        within = within & (share(a, b, event) <= F.col(f"max_{m}"))
     joined = rows.alias("r").join(top.alias("t"), F.expr("r.lang <=> t.lang and r.source <=> t.source"), "left")
     counts = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words".split()
     return joined.select(

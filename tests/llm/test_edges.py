@@ -215,6 +215,29 @@ def test_thresholds_follow_groups(spark):
     assert all(r["base_failed"] for r in out)
 
 
+def test_thresholds_come_from_the_group(spark):
+    """The same text is an outlier of a group of even texts and none of a group of uneven ones."""
+    draw = random.Random(4)
+
+    def text(capitals, symbols=0):
+        words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in draw.sample(range(676), 100)]
+        words[:capitals] = [w.upper() for w in words[:capitals]]
+        return " ".join(words + ["#"] * symbols)
+
+    rows = [(i, text(1 + i % 2), "en", "even") for i in range(300)] + [(1000 + i, text(i % 21), "en", "uneven") for i in range(300)]
+    mid, bad = text(25), text(1, symbols=30)
+    rows += [(5000, mid, "en", "even"), (5001, mid, "en", "uneven"), (5002, bad, "en", "even"), (5003, bad, "en", "uneven")]
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not out[5000]["kept"] and out[5001]["kept"]
+    assert not out[5002]["kept"] and not out[5003]["kept"]
+    assert all(out[i]["kept"] for i in [*range(300), *range(1000, 1300)])
+    # single events are no evidence: one repeated line among even texts stays
+    lines = "\n".join(text(1) for _ in range(4))
+    rows.append((5004, lines + "\n" + "a b c\n" * 2, "en", "even"))
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert out[5004]["kept"]
+
+
 def test_feature_counts_are_those_of_all_words(spark):
     """Distinct words are cut once, and their runs count as often as the words (brute force)."""
     from collections import Counter
