@@ -25,8 +25,10 @@ EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: Tokens that may be identifiers: six signs or more, one a digit.
-TOKEN = rf"(?:(?<![@{LOCAL}])|\G)(?=[@._%+A-Za-z-]*+[0-9])[@{LOCAL}]{{6,}}+"
+#: What may be an identifier: signs on both sides of an @, digits in groups by spaces, brackets or dashes, or
+#: a token of six signs or more, one a digit. Whether it is one is left to its contexts.
+PARTS = (rf"[{LOCAL}]++@[@{LOCAL}]++", r"[(+]*+[0-9]++(?:[ ()-]{1,3}+[0-9]++)++", rf"(?=[@._%+A-Za-z-]*+[0-9])[@{LOCAL}]{{6,}}+")
+TOKEN = rf"(?:(?<![@{LOCAL}])|\G)(?:{'|'.join(PARTS)})"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 NEAR = 40
 ROUNDS = 3
@@ -81,11 +83,11 @@ def seeds(text: Column) -> Column:
 
 
 def others(text: Column, known: Column) -> Column:
-    """Identifier-like tokens with four digits or more that touch no base span."""
+    """Identifier-like stretches (TOKEN) that touch no base span."""
     empty = F.array().cast(f"array<{SPAN}>")
     free = lambda x: ~F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
-    looked = F.filter(places(text, TOKEN, "other"), lambda x: (F.length(digits(x["value"])) >= 4) & free(x))
-    return F.when(F.regexp_like(text, F.lit("[0-9]")), looked).otherwise(empty)
+    looked = F.filter(places(text, TOKEN, "other"), free)
+    return F.when(F.regexp_like(text, F.lit("[0-9@]")), looked).otherwise(empty)
 
 
 def contexts(x: Column) -> Column:

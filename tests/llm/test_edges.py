@@ -146,6 +146,20 @@ def test_learned_patterns(spark):
     assert got[100] == ["phone"] and got[101] == [] and got[3] == ["phone"]
 
 
+def test_learned_patterns_without_long_tokens(spark):
+    """Emails without a dot and digits in groups are reported where their contexts are sure, and only there."""
+    rows = [(i, f"please call desk phone +1 (555) 555-{1000 + i} now") for i in range(40)]
+    rows += [(50 + i, f"write to mail box user{chr(97 + i % 26)}{i}@site.example today") for i in range(40)]
+    odd = {100: ("please call desk phone 0199 284 555 now", "phone"), 101: ("please call desk phone (0199) 284-555 now", "phone")}
+    odd |= {102: ("write to mail box jane@intranet today", "email"), 103: ("an order of 0199 284 555 pieces", ""), 104: ("the mark jane@intranet stood there", "")}
+    rows += [(i, t) for i, (t, _) in odd.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: ",".join(s["kind"] for s in r["spans"]) for r in pii.scan(docs).collect()}
+    assert {i: got[i] for i in odd} == {i: kind for i, (_, kind) in odd.items()}
+    text = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
+    assert text[100] == "please call desk phone [PHONE] now" and text[102] == "write to mail box [EMAIL] today"
+
+
 def test_structures():
     body = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
     token = f"{body({'alg': 'HS256', 'typ': 'JWT'})}.{body({'sub': 'someone', 'n': 1})}.{'a' * 43}"
