@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import BASE, chunks, keep, mix, plain, powers
 
-#: Rows a model is learned from, at most (about; they are picked by a hash of the id).
+#: Rows a model is learned from, at most (about; they are spread over the languages and picked by a hash of the id).
 TRAIN_ROWS = 20_000
-#: Most frequent words, and runs of each length, that a model keeps.
+#: Most frequent words, and runs of each length, that a model keeps of each language.
 FEATURES = 60_000
 LONGEST = 4
 #: Added to each count, so that a feature unseen in a language is unlikely and not impossible.
@@ -117,30 +117,58 @@ def feature_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("size", "h", "lang").agg(F.sum("n").alias("n"))
 
 
+def shares(sizes: dict[str, int], total: int) -> dict[str, int]:
+    """Rows to take of each language: all of the small ones, and equal parts of the rest for the others."""
+    out = {}
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(1, min(n, (total - sum(out.values())) // (len(sizes) - i)))
+    return out
+
+
+def most_frequent(counts: DataFrame, features: int) -> DataFrame:
+    """The rows of ``counts`` of about the ``features`` most frequent words and runs of each length in any
+    language, with their counts in all languages.
+
+    The lowest count that is kept comes from how often each count occurs, so no task sorts a language.
+    Of the words and runs with that count, those are kept that a hash picks.
+    """
+    levels = counts.groupBy("size", "lang", "n").agg(F.count("*").alias("many")).toPandas()
+    cuts = []
+    for (size, lang), own in levels.sort_values("n", ascending=False).groupby(["size", "lang"]):
+        before = own["many"].cumsum() - own["many"]
+        last = int((before < features).sum()) - 1
+        cuts.append((int(size), lang, int(own["n"].iloc[last]), int(own["many"].iloc[last]), int(features - before.iloc[last])))
+    cut = counts.sparkSession.createDataFrame(cuts, "size int, lang string, least bigint, many bigint, room bigint")
+    above = (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("h"), F.col("many")) < F.col("room")))
+    return counts.join(F.broadcast(cut), ["size", "lang"]).select("size", "h", "lang", "n", above.alias("above"))
+
+
 def learn(docs: DataFrame, max_rows: int = TRAIN_ROWS, features: int = FEATURES) -> dict:
     """The model of the rows of ``docs`` with text and lang.
 
-    At most about ``max_rows`` rows are read (picked evenly by a hash of doc_id), and the
-    ``features`` most frequent words and runs of each length are kept, so the model and what the
-    driver sees are bounded. No labelled row gives a model without languages.
+    At most about ``max_rows`` rows are read (spread over the languages and picked evenly by a hash of
+    doc_id), and of each language about the ``features`` most frequent words and runs of each length are
+    kept, so the model and what the driver sees are bounded, and a language with many rows takes
+    nothing from one with few. No labelled row gives a model without languages.
     """
     docs = docs.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    total = docs.count()
-    if total > max_rows:
-        docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < max_rows)
-    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
-    counts = feature_counts(docs)
-    per = counts.groupBy("size", "h").agg(
-        F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{i}") for i, x in enumerate(langs)]
-    )
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
     model: dict = {"langs": langs, "tables": []}
     if not langs:
         return model
-    # written once: the tables of all lengths are taken from it
-    per = keep(per, "language-counts")
+    if sum(sizes.values()) > max_rows:
+        part = shares(sizes, max_rows)
+        wanted = docs.sparkSession.createDataFrame([(x, sizes[x], part[x]) for x in langs], "lang string, _rows bigint, _part bigint")
+        docs = docs.join(F.broadcast(wanted), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.col("_rows")) < F.col("_part")).select("doc_id", "text", "lang")
+    # written once: the cuts and the tables of all lengths are taken from it
+    counts = keep(feature_counts(docs), "language-counts")
+    per = most_frequent(counts, features).groupBy("size", "h").agg(
+        F.max("above").alias("above"), *[F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{i}") for i, x in enumerate(langs)]
+    )
+    per = keep(per.filter("above").drop("above"), "language-features")
     for size in range(LONGEST + 1):
-        top = per.filter(F.col("size") == size).orderBy(F.desc("all"), "h").limit(features)
-        got = top.drop("size", "all").toPandas().fillna(0)
+        got = per.filter(F.col("size") == size).drop("size").toPandas().fillna(0)
         sums = got.drop(columns="h").to_numpy(np.float64) + SMOOTH
         key = got["h"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(key)

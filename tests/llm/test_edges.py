@@ -252,6 +252,19 @@ def test_thresholds_come_from_the_group(spark):
     assert out[5004]["kept"]
 
 
+def test_small_languages_keep_their_words(spark):
+    """A language with most rows takes neither the sample nor the table of one with few."""
+    rows = [(i, " ".join(f"big{chr(97 + j)}{chr(97 + i % 26)}" for j in range(20)), "big") for i in range(2000)]
+    rows += [(5000 + i, "tiny words here", "small") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.learn(docs, max_rows=100, features=50)
+    assert model["langs"] == ["big", "small"]
+    found = langid.Letters(["tiny words here"], langid.letter_table())
+    assert langid.looked_up(model["tables"][0], found.hashes(found.start, found.end))[1].all()
+    assert 50 <= len(model["tables"][0][0]) <= 100
+    assert langid.shares({"a": 2, "b": 1000, "c": 50}, 100) == {"a": 2, "c": 49, "b": 49}
+
+
 def test_feature_counts_are_those_of_all_words(spark):
     """Distinct words are cut once, and their runs count as often as the words (brute force)."""
     from collections import Counter
