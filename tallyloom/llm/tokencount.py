@@ -31,9 +31,12 @@ FRAGMENT = 4096
 #: Maps composed by one step of the tree.
 FAN = 16
 #: Compiled transitions, judged pairs and counted words a worker remembers before it starts afresh.
-TRANSITIONS, PAIRS, WORDS = 400_000, 400_000, 400_000
+TRANSITIONS, PAIRS, WORDS = 1_000_000, 1_000_000, 600_000
 #: A fragment's runs are compared, and equal ones merged, after so many characters.
 STRIDE = 64
+#: A transition is one number: the next state, and below it in SHIFT bits the tokens emitted.
+SHIFT = 16
+LOW = (1 << SHIFT) - 1
 ROOT, ANY = 0, 0
 COLUMNS = (
     "row bigint, doc_id bigint, n_bytes bigint, unit int, frag int, "
@@ -89,7 +92,7 @@ class Transducer:
     def forget(self) -> None:
         self.states: dict[tuple, int] = {}
         self.content: list[tuple] = []
-        self.moves: list[dict[str, tuple[int, int]]] = []
+        self.moves: list[dict[str, int]] = []
         self.final: list[int | None] = []
         self.pairs: dict[tuple[int, int], bool] = {}
         self.histories: dict[int, list[tuple[float, str, str]] | None] = {}
@@ -156,8 +159,8 @@ class Transducer:
             else:
                 return True
 
-    def move(self, state: int, c: str) -> tuple[int, int]:
-        """Compile the transition: the next state and the tokens emitted."""
+    def move(self, state: int, c: str) -> int:
+        """Compile the transition: the next state and the tokens emitted, in one number."""
         out: dict[tuple[int, int], int] = {}
         if c in self.known:
             for node, last, ahead in self.content[state]:
@@ -174,7 +177,8 @@ class Transducer:
             if ahead is not None:
                 out[ROOT, ANY] = ahead + len(c.encode("utf-8", "surrogatepass"))
         least = min(out.values(), default=0)
-        found = self.state(tuple(sorted((node, last, n - least) for (node, last), n in out.items()))), least
+        after = self.state(tuple(sorted((node, last, n - least) for (node, last), n in out.items())))
+        found = after << SHIFT | least
         self.moves[state][c] = found
         self.compiled += 1
         return found
@@ -186,8 +190,8 @@ class Transducer:
             step = moves[state].get(c)
             if step is None:
                 step = self.move(state, c)
-            state = step[0]
-            total += step[1]
+            state = step >> SHIFT
+            total += step & LOW
         return state, total
 
     def count(self, text: str) -> int:
