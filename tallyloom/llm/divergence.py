@@ -25,7 +25,7 @@ from tallyloom.llm.common import chunks, keep, plain, spans_of_bytes
 #: Text bytes counted together before counts are handed to Spark.
 BATCH = 8 << 20
 #: Entries (words x sources) of one block of the comparison of sources.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 LETTER = np.ones(256, bool)
 LETTER[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
