@@ -338,6 +338,13 @@ class Counter:
 COUNTERS: dict[str, Counter] = {}
 
 
+def counter(path: str) -> Counter:
+    """The worker's counter of the model, kept from task to task."""
+    if path not in COUNTERS:
+        COUNTERS[path] = Counter(path)
+    return COUNTERS[path]
+
+
 def composed(maps: Column) -> Column:
     """One state map out of an array of neighbouring ones: exits meet equal entries."""
     both = lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b"), (x["n"] + y["n"]).alias("n"))
@@ -357,11 +364,10 @@ def count(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in COUNTERS:
-            COUNTERS[path] = Counter(path)
+        own = counter(path)
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield COUNTERS[path].batch(part)
+                yield own.batch(part)
 
     own = plain(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     found = keep(own.mapInArrow(run, COLUMNS), "token-maps")
