@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import chunks, keep, plain, spans_of_bytes
 
 #: Text bytes counted together before counts are handed to Spark.
-BATCH = 8 << 20
+BATCH = 4 << 20
 #: Entries (words x sources) of one block of the comparison of sources.
 BLOCK = 1 << 16
 LETTER = np.ones(256, bool)
@@ -36,12 +36,16 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, letters A-Z lower-cased, and the row of each."""
     raw, borders = spans_of_bytes(column)
     inside = LETTER[raw]
-    before = np.zeros(len(raw), bool)
-    before[1:] = inside[:-1]
-    before[borders[:-1][borders[:-1] < len(raw)]] = False
-    starts = np.flatnonzero(inside & ~before)
+    edges = borders[(borders > 0) & (borders < len(raw))]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    opens[edges] = inside[edges]
+    closes[:-1] &= ~inside[1:]
+    closes[edges - 1] = inside[edges - 1]
+    starts = np.flatnonzero(opens)
     data = LOWER[raw[inside]]
-    offsets = np.append(np.cumsum(inside)[starts] - 1, len(data)).astype(np.int64)
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.flatnonzero(closes) + 1 - starts, out=offsets[1:])
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     return words, np.searchsorted(borders, starts, side="right") - 1
 
