@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators import linear_models, trees
 from tallyloom.operators.least_squares import Fit
 from tallyloom.operators.stats import fit_errors
-from tallyloom.storage import cut_lineage
 
 SEED = 12345
 
@@ -48,122 +45,47 @@ def in_training(keys: list[str], percent: int = 80, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(100)) < percent
 
 
-def linear_grid(
-    train: DataFrame, max_iter: int = 10, parallelism: int = 4, label: str = "label", seed: int = SEED
-):
-    """Linear regression over twelve settings, chosen on a validation part by RMSE."""
-    lr = LinearRegression(maxIter=max_iter, labelCol=label, featuresCol="features")
-    grid = (
-        ParamGridBuilder()
-        .addGrid(lr.regParam, [0.1, 0.01])
-        .addGrid(lr.fitIntercept, [False, True])
-        .addGrid(lr.elasticNetParam, [0.0, 0.5, 1.0])
-        .build()
-    )
-    search = TrainValidationSplit(
-        estimator=lr,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-        trainRatio=0.8,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    return search.fit(train)
-
-
-def grid_table(model, spark) -> DataFrame:
-    """(reg_param, intercept, elastic_net, rmse) of every setting tried."""
-    rows = []
-    for setting, rmse in zip(model.getEstimatorParamMaps(), model.validationMetrics):
-        named = {p.name: v for p, v in setting.items()}
-        rows.append((named["regParam"], named["fitIntercept"], named["elasticNetParam"], float(rmse)))
-    return spark.createDataFrame(rows, "reg_param double, intercept boolean, elastic_net double, rmse double")
-
-
-FAMILIES: dict[str, Callable] = {
-    "linear": lambda train: linear_grid(train).bestModel,
-    "tree": lambda train: DecisionTreeRegressor(seed=SEED).fit(train),
-    "gbt": lambda train: GBTRegressor(maxIter=10, seed=SEED).fit(train),
-}
-
-
-def summary_table(model, features: list[str], spark) -> DataFrame:
-    """(term, coef, se, t, p_value) of an unpenalised linear model."""
-    s = model.summary
-    names = [*features, "intercept"]
-    coef = [*model.coefficients.toArray().tolist(), model.intercept]
-    rows = list(zip(names, coef, s.coefficientStandardErrors, s.tValues, s.pValues))
-    return spark.createDataFrame(
-        [(n, *map(float, r)) for n, *r in rows], "term string, coef double, se double, t double, p_value double"
-    )
-
-
-def training_table(model, spark) -> DataFrame:
-    """(metric, value) of the training summary."""
-    s = model.summary
-    values = {
-        "r2": s.r2,
-        "explained_variance": s.explainedVariance,
-        "rmse": s.rootMeanSquaredError,
-        "mse": s.meanSquaredError,
-        "mae": s.meanAbsoluteError,
-    }
-    return spark.createDataFrame([(k, float(v)) for k, v in values.items()], "metric string, value double")
-
+FAMILIES = ("linear", "tree", "gbt")
+ROUNDS = {"tree": 0, "gbt": 10}
 
-def importance_table(model, features: list[str], spark) -> DataFrame:
-    """(feature, weight) of a tree or boosted model."""
-    weights = model.featureImportances.toArray()
-    return spark.createDataFrame([(f, float(w)) for f, w in zip(features, weights)], "feature string, weight double")
 
+def fit(df: DataFrame, key: str, label: str, features: list[str], family: str, row_keys: list[str]) -> DataFrame:
+    """The models of one family for all keys, a row per key: ``coef`` or ``trees``.
 
-def fit_each(data: DataFrame, key: str, fits: dict[str, Callable], workers: int = 3) -> dict[tuple, object]:
-    """Models by (key value, fit name), each learned from the rows of one key; no rows, no models.
-
-    The key values are read from the data and meant to be few (areas, codes): every one starts
-    fits of its own, a few at a time. ``data`` is read by every fit, so hand in a written frame.
-    For many keys see ``linear_per_key``.
+    The linear one is the best of the twelve settings of the grid by its error on validation rows.
     """
-    values = sorted(r[0] for r in data.select(key).filter(F.col(key).isNotNull()).distinct().collect())
-    jobs = [(value, name) for value in values for name in fits]
-
-    def one(job: tuple):
-        value, name = job
-        return fits[name](data.filter(F.col(key) == value).select("label", "features"))
+    if family == "linear":
+        return linear_models.best(linear_models.grid(df, key, label, features, row_keys), key)
+    return trees.fit(df, key, label, features, ROUNDS[family])
 
-    with ThreadPoolExecutor(workers) as pool:
-        return dict(zip(jobs, pool.map(one, jobs)))
 
+def predict(df: DataFrame, models: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """The rows of keys that have a model, with its ``prediction``."""
+    kind = linear_models if "coef" in models.columns else trees
+    return kind.predict(df, models, key, features)
 
-def predictions(models: dict[tuple, object], data: DataFrame, key: str) -> DataFrame | None:
-    """The rows of each key with ``family`` and the ``prediction`` of every model of the key."""
-    out = None
-    for (value, family), model in models.items():
-        scored = model.transform(data.filter(F.col(key) == value)).withColumn("family", F.lit(family))
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        out = data.select("*", F.lit("").alias("family"), F.lit(0.0).alias("prediction")).filter(F.lit(False))
-    return out
 
-
-def keyed(models: dict[tuple, object], key: str, table: Callable[[object], DataFrame], empty: DataFrame) -> DataFrame:
-    """The tables of all models, with their key and family; ``empty`` gives the columns where no model is."""
-    out = empty.select(F.lit("").alias(key), F.lit("").alias("family"), "*").filter(F.lit(False))
-    for (value, family), model in models.items():
-        out = out.unionByName(table(model).select(F.lit(value).alias(key), F.lit(family).alias("family"), "*"))
-    return out
+def predictions(
+    train: DataFrame, test: DataFrame, key: str, label: str, features: list[str], families: Iterable[str], row_keys: list[str]
+) -> DataFrame:
+    """The rows of ``test`` with ``family`` and ``prediction`` of models learned from ``train``."""
+    each = []
+    for family in families:
+        models = fit(train, key, label, features, family, row_keys)
+        each.append(predict(test, models, key, features).withColumn("family", F.lit(family)))
+    return reduce(DataFrame.unionByName, each)
 
 
 def compare(
-    frame: DataFrame, key: str, features: list[str], families: list[str], row_keys: list[str], workers: int = 3
+    frame: DataFrame, key: str, features: list[str], families: Iterable[str], row_keys: list[str]
 ) -> DataFrame:
     """(key, family, n, rss, mse, rmse, mae, r2) on the held-out rows of each key.
 
-    The frame is written once, and a few fits run at a time.
+    Each family is fitted for all keys together; the frame is written once.
     """
-    data = cut_lineage(assembled(frame, features).select(key, "label", "features", in_training(row_keys).alias("_train")))
-    models = fit_each(data.filter("_train"), key, {f: FAMILIES[f] for f in families}, workers)
-    return fit_errors(predictions(models, data.filter("NOT _train"), key), "label", "prediction", key, "family")
+    data = trees.written(frame.withColumn("_train", in_training(row_keys)), "frame")
+    scored = predictions(data.filter("_train"), data.filter("NOT _train"), key, "label", features, families, row_keys)
+    return fit_errors(scored, "label", "prediction", key, "family")
 
 
 def linear_per_key(df: DataFrame, key: str, label: str, features: list[str]) -> DataFrame:

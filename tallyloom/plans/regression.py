@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators import regression, stats
+from tallyloom.operators import linear_models, regression, stats, trees
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, area_hourly, event_rows, occupancy_hourly, weather_hourly, with_views
-from tallyloom.sources.models import load_model, save_model
-from tallyloom.storage import cut_lineage, scratch_path
+from tallyloom.sources.models import load_model, load_models, save_model, save_models
+from tallyloom.storage import scratch_path
 
 AREAS = [1, 2, 3, 4, 5, 6, 7]
 FEATURES = ["temperature", *[f"count_{a}" for a in AREAS]]
@@ -75,52 +80,42 @@ def reg_split(t: Tables):
     return frame(t).select("code", mark).groupBy("code", "train").agg(F.count(F.lit(1)).alias("n"))
 
 
+ROW = ["code", "ts"]
+
+
 def training(t: Tables):
-    """The frame of all codes with its features and the split, written once for the fits."""
-    data = regression.assembled(frame(t), FEATURES).withColumn("_train", regression.in_training(["code", "ts"]))
-    return cut_lineage(data)
+    """The frame of all codes and the split, written once for the fits."""
+    return trees.written(frame(t).withColumn("_train", regression.in_training(ROW)), "frame")
 
 
 def held_out(t: Tables, family: str):
     """Predictions and residuals of the rows kept from training, every code by its own model."""
     data = training(t)
-    models = regression.fit_each(data.filter("_train"), "code", {family: regression.FAMILIES[family]})
-    scored = regression.predictions(models, data.filter("NOT _train"), "code")
+    scored = regression.predictions(
+        data.filter("_train"), data.filter("NOT _train"), "code", "label", FEATURES, [family], ROW
+    )
     return scored.select(
         "code", F.date_format("ts", MINUTE).alias("hour"), "label", "prediction", (F.col("prediction") - F.col("label")).alias("res")
     )
 
 
-def plain_fit(data):
-    return LinearRegression(solver="normal").fit(data)
-
-
-def no_rows(t: Tables, columns: str):
-    return t.spark.createDataFrame([], columns)
-
-
 @query("linreg_grid")
 def linreg_grid(t: Tables):
-    """Validation error of twelve linear settings for every code."""
-    models = regression.fit_each(training(t).filter("_train"), "code", {"linear": regression.linear_grid})
-    empty = no_rows(t, "reg_param double, intercept boolean, elastic_net double, rmse double")
-    return regression.keyed(models, "code", lambda m: regression.grid_table(m, t.spark), empty).drop("family")
+    """Validation error of twelve linear settings for every code, all from one pass over the rows."""
+    train = frame(t).filter(regression.in_training(ROW))
+    return linear_models.grid(train, "code", "label", FEATURES, ROW).drop("coef")
 
 
 @query("linreg_summary")
 def linreg_summary(t: Tables):
     """Coefficients with errors and p-values of a plain linear fit of every code."""
-    models = regression.fit_each(training(t), "code", {"linear": plain_fit})
-    empty = no_rows(t, "term string, coef double, se double, t double, p_value double")
-    return regression.keyed(models, "code", lambda m: regression.summary_table(m, FEATURES, t.spark), empty).drop("family")
+    return linear_models.summary(frame(t), "code", "label", FEATURES)
 
 
 @query("linreg_training")
 def linreg_training(t: Tables):
     """Training metrics of a plain linear fit of every code."""
-    models = regression.fit_each(training(t), "code", {"linear": plain_fit})
-    empty = no_rows(t, "metric string, value double")
-    return regression.keyed(models, "code", lambda m: regression.training_table(m, t.spark), empty).drop("family")
+    return linear_models.training(frame(t), "code", "label", FEATURES)
 
 
 @query("linreg_reg")
@@ -177,30 +172,40 @@ def gbt_reg(t: Tables):
 @query("feature_importance")
 def feature_importance(t: Tables):
     """Weights of the features in the tree and boosted models of every code."""
-    fits = {f: regression.FAMILIES[f] for f in ("tree", "gbt")}
-    models = regression.fit_each(training(t).filter("_train"), "code", fits)
-    empty = no_rows(t, "feature string, weight double")
-    return regression.keyed(models, "code", lambda m: regression.importance_table(m, FEATURES, t.spark), empty)
+    data = training(t).filter("_train")
+    each = [
+        trees.importances(regression.fit(data, "code", "label", FEATURES, f, ROW), "code", FEATURES).withColumn("family", F.lit(f))
+        for f in ("tree", "gbt")
+    ]
+    return each[0].unionByName(each[1])
 
 
 @query("model_compare")
 def model_compare(t: Tables):
     """Three model families for each code, by held-out error."""
-    return regression.compare(frame(t), "code", FEATURES, ["linear", "tree", "gbt"], ["code", "ts"])
+    return regression.compare(frame(t), "code", FEATURES, regression.FAMILIES, ROW)
 
 
 @query("model_roundtrip")
 def model_roundtrip(t: Tables):
-    """Every model of every code saved, loaded and applied again: rows and unequal predictions."""
-    data = training(t).select("code", "label", "features")
+    """Every model of every code, and a pipeline over all codes, saved, loaded and applied again."""
+    data = training(t).drop("_train")
     root = scratch_path(t.spark, "models")
-    models = regression.fit_each(data, "code", regression.FAMILIES)
-    out = data.select("code", F.lit("").alias("family"), F.lit(0.0).alias("first"), F.lit(0.0).alias("prediction")).filter(F.lit(False))
-    for (code, family), model in models.items():
-        save_model(model, root, family, code=code)
-        first = model.transform(data.filter(F.col("code") == code)).withColumnRenamed("prediction", "first")
-        both = load_model(root, family, code=code).transform(first)
-        out = out.unionByName(both.select("code", F.lit(family).alias("family"), "first", "prediction"))
-    return out.groupBy("code", "family").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") != F.col("prediction")).alias("unequal")
+    first, again = F.col("prediction").alias("first"), F.col("prediction").alias("again")
+    each = []
+    for family in regression.FAMILIES:
+        models = trees.written(regression.fit(data, "code", "label", FEATURES, family, ROW), "models")
+        save_models(models, root, family, "code")
+        loaded = load_models(t.spark, root, family, models.schema)
+        own, other = (regression.predict(data, m, "code", FEATURES) for m in (models, loaded))
+        pair = own.select("code", "ts", first).join(other.select("code", "ts", again), ["code", "ts"])
+        each.append(pair.withColumn("family", F.lit(family)))
+    vector = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
+    fitted = Pipeline(stages=[vector, LinearRegression(solver="normal")]).fit(data)
+    save_model(fitted, root, "pipeline", codes="all")
+    loaded = load_model(root, "pipeline", codes="all")
+    pair = fitted.transform(data).select("code", "ts", first).join(loaded.transform(data).select("code", "ts", again), ["code", "ts"])
+    each.append(pair.withColumn("family", F.lit("pipeline")))
+    return reduce(DataFrame.unionByName, each).groupBy("code", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("first").eqNullSafe(F.col("again"))).alias("unequal")
     )

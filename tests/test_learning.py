@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tallyloom.functions.vectors import as_array
@@ -127,40 +128,22 @@ def test_split_is_stable(linear):
     assert a == b and 0.7 < len(a) / 400 < 0.9
 
 
-def test_compare_and_grid(linear, spark):
+def test_compare(linear):
     got = {(r["code"], r["family"]): r for r in regression.compare(linear, "code", ["a", "b"], ["linear", "tree"], ["id"]).collect()}
     assert len(got) == 4
     assert got["p", "linear"]["r2"] > 0.99 > got["p", "tree"]["r2"] > 0.5
-    data = regression.assembled(linear.filter("code = 'p'"), ["a", "b"]).select("label", "features")
-    grid = regression.grid_table(regression.linear_grid(data), spark)
-    assert grid.count() == 12
-    best = grid.orderBy("rmse").first()
-    assert best["intercept"] and best["rmse"] < 0.2
-
-
-def test_each_key_has_its_model(linear):
-    data = regression.assembled(linear, ["a", "b"])
-    models = regression.fit_each(data, "code", {"tree": regression.FAMILIES["tree"]})
-    assert sorted(models) == [("p", "tree"), ("q", "tree")]
-    assert regression.predictions(models, data, "code").count() == linear.count()
-
-
-def test_no_rows_give_no_models(linear):
     empty = linear.filter("false")
-    data = regression.assembled(empty, ["a", "b"])
-    assert regression.fit_each(data, "code", regression.FAMILIES) == {}
-    assert regression.predictions({}, data, "code").count() == 0
-    assert regression.compare(empty, "code", ["a", "b"], ["linear"], ["id"]).count() == 0
+    assert regression.compare(empty, "code", ["a", "b"], regression.FAMILIES, ["id"]).count() == 0
 
 
 def test_models_by_name(linear, spark):
     data = regression.assembled(linear, ["a", "b"]).select("label", "features")
     root = scratch_path(spark, "m")
-    model = regression.linear_grid(data)
+    model = LinearRegression().fit(data)
     path = save_model(model, root, "linear", code=7)
     assert path == model_path(root, "linear", code=7)
     again = load_model(root, "linear", code=7)
-    np.testing.assert_allclose(again.coefficients, model.bestModel.coefficients)
+    np.testing.assert_allclose(again.coefficients, model.coefficients)
     with pytest.raises(ValueError):
         model_path(root, "linearRegression", code=7)
     with pytest.raises(TypeError):
