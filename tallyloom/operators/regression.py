@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import linear_models, trees
 from tallyloom.operators.least_squares import Fit
 from tallyloom.operators.stats import fit_errors
+from tallyloom.storage import written
 
 SEED = 12345
 
@@ -83,7 +84,7 @@ def compare(
 
     Each family is fitted for all keys together; the frame is written once.
     """
-    data = trees.written(frame.withColumn("_train", in_training(row_keys)), "frame")
+    data = written(frame.withColumn("_train", in_training(row_keys)), "frame")
     scored = predictions(data.filter("_train"), data.filter("NOT _train"), key, "label", features, families, row_keys)
     return fit_errors(scored, "label", "prediction", key, "family")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.storage import scratch_path
+from tallyloom.storage import written
 
 #: Rows of a key that one task may hold.
 HELD = 200_000
@@ -29,12 +29,6 @@ ENTRIES = 1 << 20
 TREE = "struct<rate: double, feature: array<int>, threshold: array<double>, value: array<double>, weight: array<double>>"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cut_points(values: np.ndarray, counts: np.ndarray, bins: int) -> list[float]:
     """At most ``bins - 1`` cuts between neighbouring values: all, or those nearest to equal shares."""
     middle = (values[1:] + values[:-1]) / 2

@@ -14,7 +14,7 @@ from tallyloom.operators import linear_models, regression, stats, trees
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, area_hourly, event_rows, occupancy_hourly, weather_hourly, with_views
 from tallyloom.sources.models import load_model, load_models, save_model, save_models
-from tallyloom.storage import scratch_path
+from tallyloom.storage import scratch_path, written
 
 AREAS = [1, 2, 3, 4, 5, 6, 7]
 FEATURES = ["temperature", *[f"count_{a}" for a in AREAS]]
@@ -85,7 +85,7 @@ ROW = ["code", "ts"]
 
 def training(t: Tables):
     """The frame of all codes and the split, written once for the fits."""
-    return trees.written(frame(t).withColumn("_train", regression.in_training(ROW)), "frame")
+    return written(frame(t).withColumn("_train", regression.in_training(ROW)), "frame")
 
 
 def held_out(t: Tables, family: str):
@@ -194,7 +194,7 @@ def model_roundtrip(t: Tables):
     first, again = F.col("prediction").alias("first"), F.col("prediction").alias("again")
     each = []
     for family in regression.FAMILIES:
-        models = trees.written(regression.fit(data, "code", "label", FEATURES, family, ROW), "models")
+        models = written(regression.fit(data, "code", "label", FEATURES, family, ROW), "models")
         save_models(models, root, family, "code")
         loaded = load_models(t.spark, root, family, models.schema)
         own, other = (regression.predict(data, m, "code", FEATURES) for m in (models, loaded))

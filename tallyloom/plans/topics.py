@@ -13,6 +13,7 @@ from tallyloom.plans.views import Tables, texts, vectors
 from tallyloom.storage import cut_lineage
 
 TOPICS = 12
+RUN_SUPPORT = 0.02
 
 
 def text_frame(t: Tables):
@@ -162,7 +163,11 @@ def topic_tail_only_entities(t: Tables):
 
 @query("topic_tail_trigrams")
 def topic_tail_trigrams(t: Tables):
-    """Frequent three-word runs in the negative tail of each topic."""
-    runs = patterns.run_baskets(tail_texts(t).filter("tail = 'negative'"), "text", 3, "topic")
-    sets = patterns.mine_per_group(runs, "topic", "items", list(range(TOPICS)), 0.34)
-    return sets.select("topic", F.array_join("items", "|").alias("items"), "size", "freq")
+    """Closed frequent sets of three-word runs in each tail of each topic."""
+    marked = tail_texts(t).withColumn("place", F.concat_ws(":", F.col("topic").cast("string"), "tail"))
+    runs = patterns.run_baskets(marked, "text", 3, "place")
+    sets = patterns.closed_sets(runs, "place", "items", RUN_SUPPORT)
+    place = F.split("place", ":")
+    return sets.select(
+        place[0].cast("int").alias("topic"), place[1].alias("tail"), F.array_join("items", "|").alias("items"), "size", "freq"
+    )

@@ -49,9 +49,38 @@ def test_itemset_tables(baskets):
     assert per[None] == sets.count()
 
 
-def test_mine_per_group(baskets):
-    got = patterns.mine_per_group(baskets, "g", "items", [0, 1, 9], 0.3)
-    assert {r["g"] for r in got.select("g").distinct().collect()} == {0, 1}
+def plain_closed(rows, support):
+    """Closed sets of each group as the distinct intersections of its baskets."""
+    out = set()
+    for g in {g for g, _ in rows}:
+        own = [frozenset(i.lower() for i in b or [] if i and i.strip()) for h, b in rows if h == g]
+        closed = set()
+        for b in own:
+            closed |= {b} | {b & c for c in closed}
+        for c in closed - {frozenset()}:
+            n = sum(c <= b for b in own)
+            if n >= support * len(own):
+                out.add((g, tuple(sorted(c)), len(c), n))
+    return out
+
+
+@pytest.mark.parametrize("support", [0.05, 0.3])
+def test_closed_sets(spark, support):
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for i in range(160):
+        items = [c for c in "abcdef" if rng.random() < 0.4]
+        items += passage if i % 3 == 0 else passage[:200] if i % 7 == 0 else []
+        items += ["X", "x", "y", ""] if rng.random() < 0.4 else []
+        rows.append((["u", "v", None][i % 3 if i > 20 else 0], [str(x) for x in rng.permutation(items)]))
+    rows += [("w", None), ("w", []), ("all", ["k", "l"]), ("all", ["l", "k"]), ("all", ["k", "l", "m"])]
+    df = spark.createDataFrame(rows, "g string, items array<string>")
+    got = patterns.closed_sets(df.repartition(6), "g", "items", support).collect()
+    found = [(r["g"], tuple(r["items"]), r["size"], r["freq"]) for r in got]
+    assert len(found) == len(set(found))
+    assert set(found) == plain_closed(rows, support)
+    assert patterns.closed_sets(df.limit(0), "g", "items", support).count() == 0
 
 
 def test_planted_topics(spark):
