@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tallyloom.functions.vectors import as_array, top_index, top_indices
-from tallyloom.operators import counts, entities, patterns, topics
+from tallyloom.operators import counts, entities, patterns, topic_sweep, topics
 from tallyloom.plans.language import prepared, scored_texts
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, texts, vectors
@@ -61,8 +61,8 @@ def topic_terms(t: Tables):
 
 @query("lda_sweep")
 def lda_sweep(t: Tables):
-    """Likelihood and perplexity for word runs of one to three words and several topic counts."""
-    return topics.sweep(text_frame(t), "stopWordFree", [1, 2, 3], [2, 5], max_iter=20, size=10_000)
+    """Likelihood and perplexity for word runs of one to three words and two to thirteen topics."""
+    return topic_sweep.sweep(text_frame(t), "stopWordFree", [1, 2, 3], list(range(2, 14)), max_iter=20, size=10_000)
 
 
 @query("topic_assign")

@@ -1,6 +1,8 @@
 """Item sets, topics and regressors on planted data."""
 
 import itertools
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tallyloom.functions.vectors import as_array
-from tallyloom.operators import patterns, regression, topics
+from tallyloom.operators import patterns, regression, topic_sweep, topics
 from tallyloom.sources.models import load_model, model_path, save_model
 from tallyloom.storage import scratch_path, small_side
 
@@ -97,19 +99,62 @@ def test_planted_topics(spark):
     assert len({first[i] for i in range(0, 60, 2)}) == 1 and first[0] != first[1]
 
 
-def test_sweep(spark):
-    df = spark.createDataFrame([(i, ["x", "y", "z", "w"] if i % 2 else ["p", "q", "r", "s"]) for i in range(20)], "id int, words array<string>")
-    got = topics.sweep(df, "words", [1, 2], [2, 3], max_iter=3).collect()
-    assert sorted((r["n"], r["k"]) for r in got) == [(1, 2), (1, 3), (2, 2), (2, 3)]
-    assert all(r["log_likelihood"] < 0 < r["log_perplexity"] for r in got)
-
-
-def test_perplexity_is_likelihood_per_term(spark):
-    df = spark.createDataFrame([(i, ["x", "y", "z", "w"] if i % 2 else ["p", "q", "r", "s"]) for i in range(20)], "id int, words array<string>")
-    frame = topics.fit_topics(df, "words", 2, max_iter=3, n=1).transform(df).select("features")
-    model = topics.lda(2, 3).fit(frame)
-    total = sum(r["features"].toArray().sum() for r in frame.collect())
-    assert -model.logLikelihood(frame) / total == pytest.approx(model.logPerplexity(frame), rel=1e-3)
+def plain_bound(docs, k, size, weights, passes, updates):
+    """Variational inference text by text; the bound of the fitted model."""
+    prior = 1 / k
+    for last in [False] * passes + [True]:
+        elog = topic_sweep.digamma(weights) - topic_sweep.digamma(weights.sum(axis=1, keepdims=True))
+        new, bound = np.full((k, size), prior), 0.0
+        for doc in docs:
+            gamma = np.full(k, prior + sum(doc.values()) / k)
+            for _ in range(updates + 1):
+                theta = np.exp(topic_sweep.digamma(gamma) - topic_sweep.digamma(gamma.sum()))
+                phi = {w: theta * np.exp(elog[:, w]) for w in doc}
+                after = prior + sum(c * phi[w] / phi[w].sum() for w, c in doc.items())
+                if _ == updates:
+                    break
+                gamma = after
+            for w, c in doc.items():
+                new[:, w] += c * phi[w] / phi[w].sum()
+            lg = topic_sweep.log_gamma
+            bound += sum(c * np.log(phi[w].sum()) for w, c in doc.items())
+            bound += ((prior - gamma) * np.log(theta) + lg(gamma) - lg(prior)).sum() + lg(1.0) - lg(gamma.sum())
+        if last:
+            lg = topic_sweep.log_gamma
+            bound += ((prior - weights) * elog + lg(weights) - lg(prior)).sum() + (lg(size * prior) - lg(weights.sum(axis=1))).sum()
+            return bound
+        weights = new
+
+
+def test_sweep_is_the_plain_inference(spark, monkeypatch):
+    monkeypatch.setattr(topic_sweep, "TERMS", 15)
+    monkeypatch.setattr(topic_sweep, "BLOCK", 3)
+    monkeypatch.setattr(topic_sweep, "CLOSE", 0.0)
+    texts = [["x", "y", "z", "w", "x"] if i % 2 else ["p", "q", "r", "x"] for i in range(12)] + [[], ["rare"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, words array<string>").repartition(3)
+    got = {(r["n"], r["k"]): r for r in topic_sweep.sweep(df, "words", [1, 2, 3], [2, 3], max_iter=3).collect()}
+    assert sorted(got) == [(n, k) for n in (1, 2, 3) for k in (2, 3)]
+    for n in (1, 2):
+        grams = [[" ".join(t[i : i + n]) for i in range(len(t) - n + 1)] for t in texts]
+        total, per = Counter(g for t in grams for g in t), Counter(g for t in grams for g in set(t))
+        words = sorted([g for g in total if per[g] >= 2], key=lambda g: (-total[g], g))
+        weight = {g: np.log((len(texts) + 1) / (per[g] + 1)) for g in words}
+        docs = [{words.index(g): c * weight[g] for g, c in Counter(t).items() if g in weight} for t in grams]
+        docs = [d for d in docs if d]
+        models = topic_sweep.Models([2, 3], len(words), 1)
+        for k, at in ((2, 0), (3, 2)):
+            want = plain_bound(docs, k, len(words), models.weights[at : at + k], 3, topic_sweep.UPDATES)
+            assert got[n, k]["log_likelihood"] == pytest.approx(want, rel=1e-9)
+            assert got[n, k]["log_perplexity"] == pytest.approx(-want / sum(sum(d.values()) for d in docs), rel=1e-9)
+    assert topic_sweep.sweep(df.limit(0), "words", [1], [2], max_iter=2).count() == 0
+
+
+def test_gamma_functions():
+    x = np.array([0.05, 0.5, 1.0, 2.5, 7.0, 40.0, 1e4])
+    assert topic_sweep.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-9)
+    step = 1e-5
+    slope = [(math.lgamma(v + step * v) - math.lgamma(v - step * v)) / (2 * step * v) for v in x]
+    assert topic_sweep.digamma(x) == pytest.approx(slope, rel=1e-5, abs=1e-5)
 
 
 def test_components(spark):
