@@ -30,7 +30,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates have this many characters at least.
 LEAST = 24
-TOKEN = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Runs are taken whole and begin where a run begins, so a run without dots is read once.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
 #: Stretches of base64 with their pad signs: both alphabets, then each alone (a name joined by a sign of
 #: the other alphabet does not hide the key); and stretches of hex.
 LONG = tuple(re.compile(rf"{signs}{{24,}}={{0,2}}") for signs in ("[A-Za-z0-9+/_-]", "[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
@@ -161,7 +162,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and the spans of every row; null and empty texts have none, repeated rows are repeated.
+    """doc_id and the spans of every row; null and empty texts have none, repeated rows are repeated,
+    an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names.
 
     ``kind`` is one of KINDS. ASCII letters match in either case where case is free.
     """
