@@ -1,10 +1,13 @@
-"""Personal data in texts: plain patterns as seeds, and contexts that the seeds teach.
-
-Only DataFrame functions. Each kind has a pattern and a test; what passes is a seed. The words around
-seeds, and around other tokens that look like identifiers, are lexical patterns. Patterns and values
-form a graph, kept as counted edges: a pattern scores by the share of its values that are of a kind,
-a value that is no seed by the patterns it is seen with, in turn and a fixed number of times. Patterns
-that are seen often and score high report the tokens in their place.
+"""Personal data in texts: plain patterns as seeds, and lexical patterns that the seeds teach.
+
+Only DataFrame functions. Each kind has a pattern and a test; what passes is a seed. Seeds, and other
+stretches that look like identifiers, induce lexical patterns of several widths: the word, the two
+words or the label before them, the words on both sides, and the shape of the value itself. Patterns
+and values form a graph. A pattern scores by the share of its different values that are of a kind,
+drawn towards the share of that kind among all values, so that a pattern with few values says little.
+A value that is no seed scores by its patterns, and counts as a seed in the next round if one of them
+is sure. After a fixed number of rounds sure patterns report the stretches in their place, unless the
+kind's own pattern fits the stretch and its test refuses it.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ TOKEN = rf"(?:(?<![@{LOCAL}])|\G)(?:{'|'.join(PARTS)})"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 NEAR = 40
 ROUNDS = 3
-#: Weight of a pattern's unseen values, lowest score and least number of seeds of one that reports.
-PRIOR, SURE, SEEN = 2.0, 0.8, 10
+#: A pattern's score is drawn to the kind's overall share as if by so many more values; from SURE on it reports.
+PRIOR, SURE = 8.0, 0.8
+#: A stretch of digit groups is looked at as a whole and by all runs of so many groups.
+GROUPS = 4
 SPAN = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
 
 
@@ -82,21 +87,56 @@ def seeds(text: Column) -> Column:
     return F.concat(*found)
 
 
+def pieces(x: Column) -> Column:
+    """A stretch as a whole and all its runs of up to GROUPS groups between spaces, with their places.
+    The words beside it are those of the whole; its runs are told by their shape alone."""
+    words = F.split(x["value"], " ")
+
+    def cut(own: Column) -> Column:
+        sizes = F.transform(own, lambda w: F.length(w) + 1)
+        return bound(F.struct(own.alias("own"), sums_before(sizes).alias("at")), runs)
+
+    def runs(y: Column) -> Column:
+        every = F.flatten(F.transform(y["own"], lambda _, i: F.transform(F.array(*[F.lit(k) for k in range(1, GROUPS + 1)]), lambda k: run(y, i, k))))
+        return F.filter(every, lambda r: (F.length(r["value"]) >= 6) & (r["value"] != x["value"]))
+
+    def run(y: Column, i: Column, k: Column) -> Column:
+        # runs that would pass the end are empty and dropped by their length
+        inside = i + k <= F.size(y["own"])
+        value = F.when(inside, F.array_join(F.slice(y["own"], i + 1, k), " ")).otherwise(F.lit(""))
+        start = x["start"] + F.get(y["at"], i)
+        return F.struct(
+            x["kind"].alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
+            F.lit("").alias("left"), F.lit("").alias("right"),
+        )
+
+    return F.when(F.contains(x["value"], F.lit(" ")), F.concat(F.array(x), bound(words, cut))).otherwise(F.array(x))
+
+
 def others(text: Column, known: Column) -> Column:
-    """Identifier-like stretches (TOKEN) that touch no base span."""
+    """Identifier-like stretches (TOKEN) and their parts, as far as they touch no base span."""
     empty = F.array().cast(f"array<{SPAN}>")
     free = lambda x: ~F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
-    looked = F.filter(places(text, TOKEN, "other"), free)
+    looked = F.filter(F.flatten(F.transform(places(text, TOKEN, "other"), pieces)), free)
     return F.when(F.regexp_like(text, F.lit("[0-9@]")), looked).otherwise(empty)
 
 
+def shape(value: Column) -> Column:
+    """The value with letters as a and digits as 9, runs of letters as one."""
+    return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "9")
+
+
 def contexts(x: Column) -> Column:
-    """The lexical patterns of a span: the two words before it, and the words on both sides."""
+    """The lexical patterns of a span. Kinds of pattern are told apart by their first word."""
     before = F.regexp_extract_all(F.lower(x["left"]), F.lit(r"\p{L}+"), F.lit(0))
     after = F.regexp_extract(F.lower(x["right"]), r"^[^\p{L}]*(\p{L}+)", 1)
+    label = F.regexp_extract(F.lower(x["left"]), r"(\p{L}+ ?[:=#(])[ \"']*$", 1)
     last = F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit(""))
     two = F.concat_ws(" ", F.coalesce(F.try_element_at(before, F.lit(-2)), F.lit("")), last)
-    return F.array(F.concat(two, F.lit(" _")), F.concat_ws(" _ ", last, after))
+    form = shape(x["value"])
+    parts = {"one": last, "two": two, "both": F.concat_ws(" _ ", last, after), "label": label, "form": form, "class": F.regexp_replace(form, "9+", "9")}
+    named = [F.concat(F.lit(f"{name} "), part) for name, part in parts.items()]
+    return F.filter(F.array(*named), lambda p: ~p.isin("one ", "two  ", "both  _ ", "label "))
 
 
 def read(docs: DataFrame) -> DataFrame:
@@ -107,51 +147,77 @@ def read(docs: DataFrame) -> DataFrame:
 
 
 def edges(rows: DataFrame) -> DataFrame:
-    """pattern, value, kind (``other`` for no seed) and how often they meet. Counted before the
-    shuffle, so a pattern or value that a third of all texts hold is a few rows per task."""
+    """The different (pattern, value, kind) that meet; ``other`` is the kind of what is no seed. Made
+    distinct before the shuffle, so copies of a text and frequent values count once."""
     span = F.explode(F.concat("known", "other")).alias("x")
-    met = rows.select(span).select("x.kind", "x.value", F.explode(contexts(F.col("x"))).alias("pattern"))
-    return met.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n"))
+    met = rows.select(span).select("x.kind", F.xxhash64("x.value", "x.kind").alias("key"), F.explode(contexts(F.col("x"))).alias("pattern"))
+    return met.distinct()
 
 
 def pattern_scores(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, seen (met seeds) and a score for each kind, after scoring both sides in turn."""
-    graph = keep(graph.withColumn("key", F.xxhash64("value", "kind")).drop("value"), "pii-edges")
-    start = [F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"s_{k}") for k in KINDS]
-    values = graph.select("key", "kind", *start).distinct()
-    seen = F.sum(F.when(F.col("kind") != "other", F.col("n")).otherwise(0)).alias("seen")
-    scores = graph
+    """pattern, n (different values) and a score for each kind, after scoring both sides in turn."""
+    graph = keep(graph, "pii-edges")
+    values = keep(graph.select("key", "kind").distinct(), "pii-values")
+    totals = values.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS]).first()
+    # where nearly all values are of one kind, that alone is no evidence
+    shares = {k: min(totals[k] / max(totals["n"], 1), 0.5) for k in KINDS}
+    values = values.select("key", *[(F.col("kind") == k).cast("double").alias(f"s_{k}") for k in KINDS])
     for turn in range(rounds):
-        by_value = graph.join(values.drop("kind"), "key")
-        scores = by_value.groupBy("pattern").agg(
-            seen, *[(F.sum(F.col("n") * F.col(f"s_{k}")) / (F.sum("n") + PRIOR)).alias(f"p_{k}") for k in KINDS]
+        drawn = lambda k: (F.sum(f"s_{k}") + PRIOR * shares[k]) / (F.count(F.lit(1)) + PRIOR)
+        scores = graph.join(values, "key").groupBy("pattern").agg(
+            F.count(F.lit(1)).alias("n"), *[drawn(k).alias(f"p_{k}") for k in KINDS]
         )
         scores = keep(scores, "pii-patterns")
         if turn + 1 < rounds:
-            met = graph.join(scores.drop("seen"), "pattern").groupBy("key", "kind")
-            mean = [(F.sum(F.col("n") * F.col(f"p_{k}")) / F.sum("n")).alias(f"m_{k}") for k in KINDS]
-            own = lambda k: F.when(F.col("kind") == k, 1.0).when(F.col("kind") == "other", F.col(f"m_{k}")).otherwise(0.0)
-            values = keep(met.agg(*mean).select("key", "kind", *[own(k).alias(f"s_{k}") for k in KINDS]), "pii-values")
+            best, mean = ([f(f"p_{k}").alias(f"{n}_{k}") for k in KINDS] for n, f in (("b", F.max), ("m", F.avg)))
+            met = graph.join(scores.drop("n"), "pattern").groupBy("key", "kind").agg(*best, *mean)
+            found = lambda k: F.when(F.col(f"b_{k}") >= SURE, 1.0).otherwise(F.col(f"m_{k}"))
+            own = lambda k: F.when(F.col("kind") == "other", found(k)).otherwise((F.col("kind") == k).cast("double"))
+            values = keep(met.select("key", *[own(k).alias(f"s_{k}") for k in KINDS]), "pii-values")
     return scores
 
 
+def refused(value: Column, kind: Column) -> Column:
+    """Whether the pattern of the kind fits the whole value and the kind's test fails."""
+    x = F.struct(kind.alias("kind"), value.alias("value"))
+    whole = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+    fits = [(kind == k) & F.regexp_like(value, F.lit(f"^(?:{p})$")) for k, p in whole.items()]
+    return reduce(lambda a, b: a | b, fits) & ~passes(x)
+
+
+def apart(found: Column) -> Column:
+    """Of spans that overlap the one of the best score, then the longest, then the first."""
+    order = F.transform(
+        found,
+        lambda x: F.struct(-x["score"], x["start"] - x["end"], x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")),
+    )
+    span = "array<struct<kind:string,start:int,end:int>>"
+    own = lambda x: F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    over = lambda acc, x: F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    return F.aggregate(F.array_sort(order), F.array().cast(span), lambda acc, x: F.when(over(acc, x), acc).otherwise(F.concat(acc, own(x))))
+
+
 def discovered(rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """doc_id, tag and the spans that high-scoring patterns report, one row per text that has any."""
+    """doc_id, tag and the spans that sure patterns report, one row per text that has any."""
     best = F.greatest(*[f"p_{k}" for k in KINDS])
     kind = reduce(lambda a, k: a.when(F.col(f"p_{k}") == best, F.lit(k)), KINDS[1:], F.when(F.col(f"p_{KINDS[0]}") == best, F.lit(KINDS[0])))
-    sure = scores.filter((F.col("seen") >= SEEN) & (best >= SURE)).select("pattern", kind.alias("kind"), best.alias("score"))
+    sure = scores.filter(best >= SURE).select("pattern", kind.alias("kind"), best.alias("score"))
     met = rows.select("doc_id", "tag", F.explode("other").alias("x"))
-    met = met.select("doc_id", "tag", "x.start", "x.end", F.explode(contexts(F.col("x"))).alias("pattern"))
-    told = met.join(sure, "pattern").groupBy("doc_id", "tag", "start", "end").agg(F.max(F.struct("score", "kind")).alias("top"))
-    return told.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(F.col("top.kind").alias("kind"), "start", "end")).alias("more"))
+    met = met.select("doc_id", "tag", "x.start", "x.end", "x.value", F.explode(contexts(F.col("x"))).alias("pattern"))
+    told = met.join(sure, "pattern").filter(~refused(F.col("value"), F.col("kind")))
+    told = told.groupBy("doc_id", "tag", "start", "end").agg(F.max(F.struct("score", "kind")).alias("top"))
+    spans = F.collect_list(F.struct(F.col("top.score").alias("score"), F.col("top.kind").alias("kind"), "start", "end"))
+    return told.groupBy("doc_id", "tag").agg(apart(spans).alias("more"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans (kind, start, end, by start and kind) and base (those of the plain patterns) of
     every row.
 
-    Null text counts as empty. Rows that share doc_id and text get the same spans; equal ids with
-    different texts are told apart by a hash of the text. Texts leave their row as spans only.
+    Null text counts as empty; an empty table gives no rows. Rows that share doc_id and text get the
+    same spans; equal ids with different texts are told apart by a hash of the text. Spans that the
+    method adds overlap neither base spans nor each other. Columns other than doc_id and text are
+    ignored, whatever their names. Texts leave their row as spans only.
     """
     rows = keep(read(docs), "pii-rows")
     more = discovered(rows, pattern_scores(edges(rows)))

@@ -146,6 +146,42 @@ def test_learned_patterns(spark):
     assert got[100] == ["phone"] and got[101] == [] and got[3] == ["phone"]
 
 
+def test_learned_shapes(spark):
+    """Identifiers that the plain patterns run together are found by the shape of the others; numbers a test refuses are not."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("aeiourstln") for _ in range(draw.randint(2, 9)))
+    rows = [(i, f"{word()} {word()} +1 ({200 + i}) 555-{1000 + 7 * i} {word()}") for i in range(40)]
+    cards = []
+    while len(cards) < 42:
+        number = "4" + "".join(draw.choice("0123456789") for _ in range(15))
+        cards += [number] if brute.luhn(number) else []
+    rows += [(100 + i, f"{word()} {c} {word()}") for i, c in enumerate(cards[2:])]
+    odd = {
+        200: (f"ab +1 (311) 555-4321 {cards[0]} cd", "phone:3:20,card:21:37"),
+        201: (f"ab {cards[0]} {cards[1]} cd", "card:3:19,card:20:36"),
+        202: ("ab 4000000000000001 cd", ""),
+        203: ("version 1.2.300.4 of 12345678 and 555-1234", ""),
+        204: ("ab +1 (311) 555-4321 10.20.30.40 cd", "phone:3:20,ip:21:32"),
+    }
+    rows += [(i, t) for i, (t, _) in odd.items()]
+    rows += [(300, "1 22 (333) 4444-55 " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.scan(docs).collect()}
+    told = lambda spans: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
+    assert {i: told(got[i]["spans"]) for i in odd} == {i: s for i, (_, s) in odd.items()}
+    assert all(told(got[i]["base"]) == brute.personal(t)[5] for i, t in rows)
+
+
+def test_found_values_become_seeds(spark):
+    """Values found by one context teach a second one, which holds no seed itself."""
+    seeds = [(i, f"call desk phone +1 (555) 555-{1000 + i} now") for i in range(60)]
+    found = [(100 + i, f"call desk phone 0{i:02d}9 284 5{i:02d} now") for i in range(40)]
+    again = [(200 + i, f"reach nightly service 0{i:02d}9 284 5{i:02d} please") for i in range(40)]
+    rows = [*seeds, *found, *again, (300, "reach nightly service 0777333111 please"), (301, "an order of 0777 333 222 pieces")]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[100] == ["phone"] and got[205] == ["phone"] and got[300] == ["phone"] and got[301] == []
+
+
 def test_learned_patterns_without_long_tokens(spark):
     """Emails without a dot and digits in groups are reported where their contexts are sure, and only there."""
     rows = [(i, f"please call desk phone +1 (555) 555-{1000 + i} now") for i in range(40)]
@@ -160,6 +196,15 @@ def test_learned_patterns_without_long_tokens(spark):
     assert text[100] == "please call desk phone [PHONE] now" and text[102] == "write to mail box [EMAIL] today"
 
 
+def test_long_runs_are_read_once():
+    import time
+
+    for run in ("a" * 1_000_000, "a1-_" * 250_000, "ab." * 200_000, "A+/" * 300_000, "0f" * 400_000, "x" * 12 + ".y" * 300_000):
+        began = time.process_time()
+        secrets.find(run)
+        assert time.process_time() - began < 3, run[:10]
+
+
 def test_structures():
     body = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
     token = f"{body({'alg': 'HS256', 'typ': 'JWT'})}.{body({'sub': 'someone', 'n': 1})}.{'a' * 43}"
