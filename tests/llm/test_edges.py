@@ -174,7 +174,7 @@ def test_learned_shapes(spark):
 
 def test_found_values_become_seeds(spark):
     """Values found by one context teach a second one, which holds no seed itself."""
-    seeds = [(i, f"call desk phone +1 (555) 555-{1000 + i} now") for i in range(60)]
+    seeds = [(1000 + i, f"call desk phone +1 (555) 555-{1000 + i} now") for i in range(200)]
     found = [(100 + i, f"call desk phone 0{i:02d}9 284 5{i:02d} now") for i in range(40)]
     again = [(200 + i, f"reach nightly service 0{i:02d}9 284 5{i:02d} please") for i in range(40)]
     rows = [*seeds, *found, *again, (300, "reach nightly service 0777333111 please"), (301, "an order of 0777 333 222 pieces")]
