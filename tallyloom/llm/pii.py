@@ -6,7 +6,7 @@ words or the label before them, the words on both sides, and the shape of the va
 and values form a graph. A pattern scores by the share of its different values that are of a kind,
 drawn towards the share of that kind among all values, so that a pattern with few values says little.
 A value that is no seed scores by its patterns, and counts as a seed in the next round if one of them
-is sure. After a fixed number of rounds sure patterns report the stretches in their place, unless the
+is sure; shapes are taught by true seeds alone. After a fixed number of rounds sure patterns report the stretches in their place, unless the
 kind's own pattern fits the stretch and its test refuses it.
 """
 
@@ -163,7 +163,9 @@ def pattern_scores(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     shares = {k: min(totals[k] / max(totals["n"], 1), 0.5) for k in KINDS}
     values = values.select("key", *[(F.col("kind") == k).cast("double").alias(f"s_{k}") for k in KINDS])
     for turn in range(rounds):
-        drawn = lambda k: (F.sum(f"s_{k}") + PRIOR * shares[k]) / (F.count(F.lit(1)) + PRIOR)
+        # shapes are wide patterns: only true seeds teach them, so that one found value does not bring in all of its shape
+        told = lambda k: F.when(F.regexp_like("pattern", F.lit("^(form|class) ")), (F.col("kind") == k).cast("double")).otherwise(F.col(f"s_{k}"))
+        drawn = lambda k: (F.sum(told(k)) + PRIOR * shares[k]) / (F.count(F.lit(1)) + PRIOR)
         scores = graph.join(values, "key").groupBy("pattern").agg(
             F.count(F.lit(1)).alias("n"), *[drawn(k).alias(f"p_{k}") for k in KINDS]
         )
