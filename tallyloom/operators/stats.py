@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,14 +106,13 @@ def count_below(points: Column, value: Column, splits: int) -> Column:
     return at
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, keys: list[str], probs: dict[str, float], splits: int = SPLITS
-) -> DataFrame:
-    """Exact interpolated quantiles without gathering a group in one task.
+def ranked_values(df: DataFrame, value: str, keys: list[str], splits: int = SPLITS) -> DataFrame:
+    """(keys, n, _v, _c, _lo, _hi): the different values of each group, how often each is there, and
+    the ranks it covers (from _lo on, _hi not included), without gathering a group in one task.
 
     Equal values are merged first. Approximate split points cut each group into
     buckets of distinct values; ranks are counted inside the buckets on top of
-    the bucket totals, and only the values at the wanted ranks are kept.
+    the bucket totals.
     """
     vc = (
         df.filter(F.col(value).isNotNull())
@@ -132,12 +133,19 @@ def exact_quantiles(
         .select(*keys, "_b", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_base"))
     )
     inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
+    return (
         marked.join(bases, [*keys, "_b"])
         .withColumn("_hi", F.col("_base") + F.sum("_c").over(inner))
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
     )
 
+
+def exact_quantiles(
+    df: DataFrame, value: str, keys: list[str], probs: dict[str, float], splits: int = SPLITS
+) -> DataFrame:
+    """Exact interpolated quantiles; only the values at the wanted ranks are kept."""
+    placed = ranked_values(df, value, keys, splits)
+
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("_v")))
 
@@ -196,3 +204,71 @@ def jarque_bera(df: DataFrame, value: str, *keys: str) -> DataFrame:
     )
     jb = F.col("n") / 6.0 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4.0)
     return m.withColumn("jb", jb).withColumn("p_value", F.exp(-jb / 2.0))
+
+
+# Coefficients of the normal distribution function (Hart, algorithm 5666), highest power first.
+NORMAL_ABOVE = (
+    3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376
+)
+NORMAL_BELOW = (
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948,
+    440.413735824752,
+)
+NORMAL_FAR = 7.07106781186547
+KOLMOGOROV_TERMS = 20
+
+
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution function, to about 15 digits."""
+    x = F.abs(z)
+
+    def power_sum(coefs: tuple[float, ...]) -> Column:
+        return reduce(lambda total, c: total * x + F.lit(c), coefs[1:], F.lit(coefs[0]))
+
+    near = F.exp(-x * x / 2) * power_sum(NORMAL_ABOVE) / power_sum(NORMAL_BELOW)
+    fraction = reduce(lambda below, k: x + F.lit(float(k)) / below, (4, 3, 2, 1), x + 0.65)
+    far = F.exp(-x * x / 2) / fraction / 2.506628274631
+    tail = F.when(x < NORMAL_FAR, near).otherwise(far)
+    return F.when(z > 0, 1 - tail).otherwise(tail)
+
+
+def normality(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, n, mean, sd, ks, ks_p, ad, ad_p): each group against the normal law of its own mean and deviation.
+
+    Kolmogorov-Smirnov with the limit law of a known normal (as the usual tools report it), and
+    Anderson-Darling with the published p-value for fitted parameters. The empirical distribution
+    comes from ranks in buckets, so a long group is spread over many tasks. Null values are left
+    out; a group without spread has null results.
+    """
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    placed = with_group_row(ranked_values(df, value, list(keys)), moments, list(keys))
+    spread = F.when(F.col("sd") > 0, F.col("sd"))
+    n, lo, hi = F.col("n"), F.col("_lo"), F.col("_hi")
+    # far values keep a logarithm
+    z = (F.col("_v") - F.col("mean")) / spread
+    rows = placed.withColumn("_f", normal_cdf(z)).withColumn("_g", normal_cdf(-z))
+    upper = F.col("_c") * (2 * n + 1) - hi * (hi + 1) + lo * (lo + 1)
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-300)))
+    out = rows.groupBy(*keys, "n", "mean", "sd").agg(
+        F.max(F.greatest(hi / n - F.col("_f"), F.col("_f") - lo / n)).alias("ks"),
+        F.sum((hi * hi - lo * lo) * log("_f") + upper * log("_g")).alias("_sum"),
+    )
+    ad = F.when(F.col("sd") > 0, -n - F.col("_sum") / n)
+    root = F.sqrt(n.cast("double"))
+    reach = F.col("ks") * (root + 0.12 + 0.11 / root)
+    terms = [(-1) ** (k - 1) * F.exp(-2 * k * k * reach * reach) for k in range(1, KOLMOGOROV_TERMS + 1)]
+    ks_p = F.least(F.greatest(2 * reduce(lambda a, b: a + b, terms), F.lit(0.0)), F.lit(1.0))
+    out = out.withColumn("ad", ad).withColumn("ks_p", F.when(F.col("sd") > 0, ks_p))
+    return out.withColumn("ad_p", anderson_p(F.col("ad") * (1 + 0.75 / n + 2.25 / (n * n)))).select(
+        *keys, "n", "mean", "sd", "ks", "ks_p", "ad", "ad_p"
+    )
+
+
+def anderson_p(a: Column) -> Column:
+    """Fixed formula for the adjusted Anderson-Darling statistic of a normal with fitted parameters."""
+    return (
+        F.when(a >= 0.6, F.exp(1.2937 - 5.709 * a + 0.0186 * a * a))
+        .when(a >= 0.34, F.exp(0.9177 - 4.279 * a - 1.38 * a * a))
+        .when(a >= 0.2, 1 - F.exp(-8.318 + 42.796 * a - 59.938 * a * a))
+        .otherwise(1 - F.exp(-13.436 + 101.14 * a - 223.73 * a * a))
+    )

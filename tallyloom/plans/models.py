@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.stat import KolmogorovSmirnovTest
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import series_models as sm
 from tallyloom.operators import stats
 from tallyloom.plans.registry import query, steady
-from tallyloom.plans.series import daily_series, hourly_series, rebuilt, rounded
+from tallyloom.plans.series import AR1_SQL, daily_series, hourly_series, rebuilt, rounded
 from tallyloom.plans.views import Tables, event_rows, with_views
 
 LAGGED = """lagged AS (SELECT *, lag(y) OVER (PARTITION BY series ORDER BY pos) AS y1 FROM daily)"""
@@ -183,9 +184,48 @@ def walk_forward_error(t: Tables):
     return stats.fit_errors(f, "d", "forecast", "series")
 
 
-@query("residual_ks")
+def normal_sql(z: str) -> str:
+    """The distribution function of the library as text."""
+    x = f"abs({z})"
+    above, below = (reduce(lambda total, c: f"({total} * {x} + {c!r})", v[1:], repr(v[0])) for v in (stats.NORMAL_ABOVE, stats.NORMAL_BELOW))
+    far = reduce(lambda under, k: f"({x} + {k}.0 / {under})", (4, 3, 2, 1), f"({x} + 0.65)")
+    tail = f"CASE WHEN {x} < {stats.NORMAL_FAR!r} THEN exp(-{x} * {x} / 2) * {above} / {below} ELSE exp(-{x} * {x} / 2) / {far} / 2.506628274631 END"
+    return f"CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+RESIDUALS = AR1_SQL + """,
+rest AS (SELECT series, resid - fitted AS e FROM built WHERE fitted IS NOT NULL)"""
+
+
+@query("residual_ks", with_views("daily", f"""
+SELECT series, n, CAST(round(TRY_CAST(ks AS DECIMAL(28,9)), 6) AS DOUBLE) AS ks,
+  CAST(round(TRY_CAST(least(greatest(2 * list_sum(list_transform(range(1, 21),
+    lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * l * l))), 0.0), 1.0) AS DECIMAL(28,9)), 6) AS DOUBLE) AS ks_p,
+  CAST(round(TRY_CAST(ad AS DECIMAL(28,9)), 5) AS DOUBLE) AS ad
+FROM (SELECT *, ks * (sqrt(n) + 0.12 + 0.11 / sqrt(n)) AS l FROM (
+  SELECT series, n, max(greatest(i / CAST(n AS DOUBLE) - f, f - (i - 1) / CAST(n AS DOUBLE))) AS ks,
+    -n - sum((2 * i - 1) * ln(greatest(f, 1e-300)) + (2 * (n - i) + 1) * ln(greatest(g, 1e-300))) / n AS ad
+  FROM (SELECT series, n, i, {normal_sql("z")} AS f, {normal_sql("(-z)")} AS g FROM (
+    SELECT series, row_number() OVER (PARTITION BY series ORDER BY e) AS i, count(*) OVER (PARTITION BY series) AS n,
+      (e - avg(e) OVER (PARTITION BY series)) / stddev_samp(e) OVER (PARTITION BY series) AS z FROM rest)) GROUP BY 1, 2))""", RESIDUALS))
 def residual_ks(t: Tables):
-    """Kolmogorov-Smirnov test of the pooled AR(1) residuals against a fitted normal."""
-    rest = rebuilt(t).select((F.col("rest") - F.col("fitted")).alias("resid")).filter("resid IS NOT NULL")
-    m = rest.agg(F.avg("resid"), F.stddev_samp("resid")).first()
-    return KolmogorovSmirnovTest.test(rest, "resid", "norm", float(m[0]), float(m[1]))
+    """Kolmogorov-Smirnov and Anderson-Darling tests of the AR(1) residuals of every series against a fitted normal."""
+    found = stats.normality(residuals(t), "resid", "series")
+    return rounded(rounded(found.select("series", "n", "ks", "ks_p", "ad"), "ks", "ks_p"), "ad", places=5)
+
+
+def residuals(t: Tables):
+    rest = rebuilt(t).select("series", (F.col("rest") - F.col("fitted")).alias("resid"))
+    return rest.filter("resid IS NOT NULL")
+
+
+@query("residual_normality", with_views("daily", """
+SELECT series, n, CAST(round(TRY_CAST(g AS DECIMAL(28,9)), 6) AS DOUBLE) AS skew, CAST(round(TRY_CAST(k AS DECIMAL(28,9)), 6) AS DOUBLE) AS kurt, CAST(round(TRY_CAST(n / 6.0 * (g * g + k * k / 4) AS DECIMAL(28,9)), 4) AS DOUBLE) AS jb,
+  CAST(round(TRY_CAST(exp(-(n / 6.0 * (g * g + k * k / 4)) / 2) AS DECIMAL(28,9)), 6) AS DOUBLE) AS p_value
+FROM (SELECT series, count(*) AS n, avg((e - m) ^ 3) / avg((e - m) ^ 2) ^ 1.5 AS g,
+        avg((e - m) ^ 4) / avg((e - m) ^ 2) ^ 2 - 3 AS k
+      FROM (SELECT series, e, avg(e) OVER (PARTITION BY series) AS m FROM rest) GROUP BY 1)""", RESIDUALS))
+def residual_normality(t: Tables):
+    """Jarque-Bera test of the AR(1) residuals of every series."""
+    jb = stats.jarque_bera(residuals(t), "resid", "series")
+    return rounded(rounded(jb, "skew", "kurt", "p_value"), "jb", places=4)

@@ -142,18 +142,3 @@ def regression_eval(t: Tables):
         "key", "n", steady("rmse", 4).alias("rmse"), steady("mse", 2).alias("mse"), steady("mae", 4).alias("mae"),
         steady("r2", 6).alias("r2"),
     )
-
-
-@query("residual_normality", with_views("event_rows", """
-SELECT series, n, CAST(round(TRY_CAST(g AS DECIMAL(28,9)), 6) AS DOUBLE) AS skew, CAST(round(TRY_CAST(k AS DECIMAL(28,9)), 6) AS DOUBLE) AS kurt, CAST(round(TRY_CAST(n / 6.0 * (g * g + k * k / 4) AS DECIMAL(28,9)), 4) AS DOUBLE) AS jb,
-  CAST(round(TRY_CAST(exp(-(n / 6.0 * (g * g + k * k / 4)) / 2) AS DECIMAL(28,9)), 6) AS DOUBLE) AS p_value
-FROM (SELECT series, count(*) AS n, avg((v - m) ^ 3) / avg((v - m) ^ 2) ^ 1.5 AS g,
-        avg((v - m) ^ 4) / avg((v - m) ^ 2) ^ 2 - 3 AS k
-      FROM (SELECT series, CAST(k AS DOUBLE) AS v, avg(k) OVER (PARTITION BY series) AS m FROM event_rows) GROUP BY 1)"""))
-def residual_normality(t: Tables):
-    """Jarque-Bera test per series."""
-    jb = stats.jarque_bera(event_rows(t).withColumn("k", F.col("k").cast("double")), "k", "series")
-    return jb.select(
-        "series", "n", steady("skew", 6).alias("skew"), steady("kurt", 6).alias("kurt"),
-        steady("jb", 4).alias("jb"), steady("p_value", 6).alias("p_value"),
-    )

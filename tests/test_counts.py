@@ -1,5 +1,7 @@
 """Counts, quantiles, bounds and set operations against plain Python."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +111,25 @@ def test_drop_nulls_and_slice(spark):
     assert cleaning.drop_nulls(df).count() == 2
     days = df.withColumn("d", F.col("d").cast("date"))
     assert cleaning.between(days, "d", "2020-01-01", "2020-01-02").count() == 2
+
+
+def test_normality_tests(spark, monkeypatch):
+    """Against the plain formulas, with ties, far values, a constant and a long group in buckets."""
+    rng = np.random.default_rng(3)
+    groups = {"normal": rng.normal(5, 2, 900), "flat": rng.random(400), "ties": rng.integers(0, 5, 300).astype(float), "far": np.append(rng.normal(size=50), 1e6)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("same", 1.0)] * 4 + [("normal", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r["k"]: r for r in stats.normality(df, "v", "k").collect()}
+    for k, v in groups.items():
+        x = np.sort(v)
+        n, z = len(x), (x - x.mean()) / x.std(ddof=1)
+        f = np.array([0.5 * math.erfc(-t / math.sqrt(2)) for t in z])
+        g = np.array([0.5 * math.erfc(t / math.sqrt(2)) for t in z])
+        i = np.arange(1, n + 1)
+        assert got[k]["n"] == n
+        assert got[k]["ks"] == pytest.approx(max((i / n - f).max(), (f - (i - 1) / n).max()), abs=1e-9)
+        ad = -n - ((2 * i - 1) * (np.log(np.maximum(f, 1e-300)) + np.log(np.maximum(g[::-1], 1e-300)))).mean()
+        assert got[k]["ad"] == pytest.approx(ad, rel=1e-8, abs=1e-8)
+    assert got["normal"]["ad_p"] > 0.05 and got["normal"]["ks_p"] > 0.05
+    assert got["flat"]["ad_p"] < 0.01 and got["ties"]["ks_p"] < 0.01
+    assert got["same"]["ks"] is None and got["same"]["ad_p"] is None
