@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tallyloom.functions.vectors import as_array, top_index, top_indices
-from tallyloom.operators import counts, entities, patterns, topic_sweep, topics
+from tallyloom.operators import components, counts, entities, patterns, topic_sweep, topics
 from tallyloom.plans.language import prepared, scored_texts
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, texts, vectors
@@ -101,7 +101,7 @@ def cluster_centroids(t: Tables):
 def pca_2d(t: Tables):
     """Two components of the scaled vectors beside the cluster."""
     v = vectors(t).select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return topics.components(v, "features")[0].drop("features")
+    return components.components(v, "features")[0].drop("features")
 
 
 @query("topic_weighted_score")

@@ -6,12 +6,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyloom.functions.vectors import as_array
-from tallyloom.operators import patterns, regression, topic_sweep, topics
+from tallyloom.operators import components, patterns, regression, topic_sweep, topics
 from tallyloom.sources.models import load_model, model_path, save_model
 from tallyloom.storage import scratch_path, small_side
 
@@ -162,7 +164,7 @@ def test_components(spark):
     base = rng.normal(size=200)
     m = np.column_stack([base, 100 * base + rng.normal(size=200), rng.normal(size=200)])
     df = spark.createDataFrame([(i, Vectors.dense(r.tolist())) for i, r in enumerate(m)], ["id", "v"])
-    out, share = topics.components(df, "v", 2)
+    out, share = components.components(df, "v", 2)
     got = out.orderBy("id").toPandas()
     s = m / m.std(axis=0, ddof=1)
     vals, vecs = np.linalg.eigh(np.cov(s.T))
@@ -171,6 +173,39 @@ def test_components(spark):
     assert share[0] == pytest.approx(vals[-1] / vals.sum())
 
 
+def test_components_of_wide_sparse_rows(spark):
+    """Ten thousand dimensions, in agreement with Spark's own on those that are used."""
+    rng = np.random.default_rng(4)
+    rows, dense = [], []
+    for i in range(300):
+        kind = i % 3
+        places = np.unique(np.append(rng.choice(40, 6) + 40 * kind, rng.choice(120, 2)))
+        values = rng.integers(1, 5, len(places)).astype(float)
+        rows.append((i, Vectors.sparse(10_000, (places * 83).tolist(), values.tolist())))
+        line = np.zeros(120)
+        line[places] = values
+        dense.append((i, Vectors.dense(line.tolist())))
+    wide, short = spark.createDataFrame(rows, ["id", "v"]).repartition(4), spark.createDataFrame(dense, ["id", "v"])
+    got, share = components.components(wide, "v", 2)
+    scaled = StandardScaler(inputCol="v", outputCol="s").fit(short).transform(short)
+    model = PCA(k=2, inputCol="s", outputCol="p").fit(scaled)
+    want = np.array([r["p"].toArray() for r in model.transform(scaled).orderBy("id").collect()])
+    mine = got.orderBy("id").toPandas()
+    for j, c in enumerate(("pc1", "pc2")):
+        np.testing.assert_allclose(np.abs(mine[c]), np.abs(want[:, j]), atol=1e-6)
+    np.testing.assert_allclose(share, model.explainedVariance.toArray(), atol=1e-8)
+
+
+def test_components_of_odd_tables(spark):
+    flat = spark.createDataFrame([(1, Vectors.dense([1.0, 2.0])), (2, Vectors.dense([1.0, 2.0])), (3, None)], StructType([StructField("id", IntegerType()), StructField("v", VectorUDT())]))
+    out, share = components.components(flat, "v", 2)
+    assert share == [0.0, 0.0] and {r["id"]: r["pc1"] for r in out.collect()}[3] is None
+    one, _ = components.components(flat.filter("id = 1"), "v", 2)
+    assert one.count() == 1
+    none, share = components.components(flat.limit(0), "v", 2)
+    assert none.collect() == [] and none.columns == ["id", "v", "pc1", "pc2"]
+
+
 def test_weighted_scores_and_tails(spark):
     df = spark.createDataFrame([(i, [0.5, 0.5], 0.0 if i else -10.0) for i in range(20)], "id int, w array<double>, s double")
     long = topics.weighted_scores(df, "w", "s", "id")
