@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import parse_tags, real_tags, tag_literal
 from tallyloom.functions.timeparts import POST_FORMAT, count_or_zero, leading_hour, post_timestamp
+from tallyloom.storage import written
 
 # The columns of the posts file and of the prepared parking file, in file order.
 POST_COLUMNS = ["id", "creator", "hashtags", "timestamp", "reshares", "likes", "num_replies", "text", "clean_text"]
@@ -17,22 +21,83 @@ DIALECT = {"quote": "\"", "escape": "\"", "nullValue": "\\N"}
 
 
 def write_csv(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
-    """Headered CSV. Files stay small, because a multi-line file is read by one task."""
+    """Headered CSV in files of bounded length."""
     df.write.options(header=True, maxRecordsPerFile=rows_per_file, **DIALECT).csv(path)
 
 
+PIECE = "file string, block bigint, kind int, first boolean, record string"
+#: What a piece of a record is: whole, the end or a middle of one begun in an earlier block, the begin of one.
+WHOLE, END, MIDDLE, BEGIN = 0, 1, 2, 3
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, record): the records of CSV files, whose quoted cells may hold line ends.
+
+    A file is read in blocks by many tasks. Whether a block begins inside a quoted cell follows from
+    the quotes of all blocks before it, of which only the parity counts; records that cross blocks
+    are put together from their pieces. ``first`` marks the first record of a file. Quotes must
+    come in pairs, as in the dialect here; empty records are left out.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # a flag for each block, a list no longer than the one Spark plans the scan with
+    begun = odd.select("file", "block", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).alias("open"))
+    open_blocks = {(r["file"], r["block"]) for r in begun.filter("open = 1").collect()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, inside, first, held, entered = None, False, False, [], False
+        out: list[tuple] = []
+
+        def close(left: tuple) -> None:
+            if held:
+                out.append((*left, MIDDLE if entered else BEGIN, first, "\n".join(held)))
+
+        for batch in batches:
+            cells = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for file, block, value in cells:
+                if (file, block) != place:
+                    close(place)
+                    place, held, first = (file, block), [], block == 0
+                    inside = entered = place in open_blocks
+                held.append(value)
+                inside ^= value.count('"') % 2 == 1
+                if not inside:
+                    out.append((file, block, END if entered else WHOLE, first, "\n".join(held)))
+                    held, first, entered = [], False, False
+            yield pieces(out)
+            out = []
+        close(place)
+        yield pieces(out)
+
+    def pieces(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+        cells = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(cells, ["file", "block", "kind", "first", "record"])
+
+    cut_up = written(lines.mapInArrow(cut, PIECE), "records")
+    order = Window.partitionBy("file").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    # one or two pieces of each block; a record's own begin the same run
+    torn = cut_up.filter(F.col("kind") != WHOLE).withColumn("run", F.sum((F.col("kind") == BEGIN).cast("int")).over(order))
+    part = F.struct("block", "kind", "record")
+    whole = torn.groupBy("file", "run").agg(F.max("first").alias("first"), F.array_sort(F.collect_list(part)).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["record"]), "\n")
+    every = cut_up.filter(F.col("kind") == WHOLE).select("file", "first", "record")
+    every = every.unionByName(whole.select("file", "first", text.alias("record")))
+    return every.withColumn("record", F.regexp_replace("record", "\r$", "")).filter("record <> ''")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Headered, multi-line CSV with declared types: no second pass to infer them.
+    """Headered CSV with quoted line ends and declared types: no second pass to infer them.
 
-    Names come from the schema, so a carriage return after the last header cell
-    does not reach the column name; cells are cleared of it as well.
+    Names come from the schema and cells are cleared of the carriage return of their line end.
+    Any number of tasks read a file, see ``records``.
     """
-    reader = spark.read.schema(schema).options(header=True, multiLine=True, enforceSchema=True, **DIALECT)
-    df = reader.csv(path)
-    last = df.columns[-1]
-    if dict(df.dtypes)[last] == "string":
-        df = df.withColumn(last, F.regexp_replace(last, "\r$", ""))
-    return df
+    rows = records(spark, path).filter("NOT first")
+    # cells hold line ends as they are
+    return rows.select(F.from_csv("record", schema, {"multiLine": "true", **DIALECT}).alias("x")).select("x.*")
 
 
 def read_positional(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
