@@ -77,12 +77,20 @@ def lower_distinct(words: Column) -> Column:
 
 def strip_tags(markup: Column) -> Column:
     """Text of a markup fragment with blanks squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]*>", " "), r"\s+", " "))
+    from tallyloom.functions.markup import without_comments, without_tags
+
+    return F.trim(F.regexp_replace(without_tags(without_comments(markup), " "), r"\s++", " "))
 
 
 def text_content(markup: Column) -> Column:
-    """Text of inline markup as a reader sees it: tags vanish, common entities are decoded."""
-    out = F.regexp_replace(markup, "<[^>]*>", "")
+    """Text of inline markup as a reader sees it: tags and comments vanish, common entities are decoded."""
+    from tallyloom.functions.markup import without_comments, without_tags
+
+    return decoded(without_tags(without_comments(markup)))
+
+
+def decoded(out: Column) -> Column:
+    """Common entities as signs."""
     # Entities; the ampersand comes last so that nothing is decoded twice.
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(sign))
@@ -92,10 +100,12 @@ def text_content(markup: Column) -> Column:
 def drop_anchors(markup: Column, greedy: bool = False) -> Column:
     """Remove anchor elements with their text.
 
-    Each anchor ends at its own close tag. The greedy form removes everything
-    from the first anchor to the last close tag.
+    Each anchor ends at its own close tag; one that is never closed stays. The greedy form removes
+    everything from the first anchor to the last close tag.
     """
-    return F.regexp_replace(markup, r"(?s)<a\s.*</a>" if greedy else r"(?s)<a\s.*?</a>", "")
+    from tallyloom.functions.markup import REST
+
+    return F.regexp_replace(markup, r"(?s)<a\s.*</a>" if greedy else rf"(?s)<a\s{REST}>.*?</a\s*+>", "")
 
 
 def capitalised_runs(text: Column) -> Column:

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.markup import GAP, RAW, REST, attribute, content, open_tags, without_comments
 from tallyloom.functions.text import drop_anchors, strip_tags, text_content
 from tallyloom.functions.timeparts import count_or_zero, normal_post_time, null_if_unknown, post_timestamp
 
 # Marks of one post in a saved result page.
-POST_START = r'<li\b[^>]*?\sclass="js-stream-item'
+POST_START = rf'<li\b{GAP}\sclass="js-stream-item'
 ID_MARK = r'data-item-id="([^"]*)"'
 CREATOR_MARK = r'data-screen-name="([^"]*)"'
-TAG_MARK = r'(?s)<a[^>]*href="/hashtag[^"]*"[^>]*>(.*?)</a>'
-TEXT_MARK = r'<div\b[^>]*?\sclass="js-tweet-text-container"[^>]*>'
-TIME_MARK = r'<a\b(?=[^>]*\sclass="tweet-timestamp)[^>]*?\stitle="([^"]*)"'
-ACTION_MARK = r'<div\b[^>]*?\sclass="[^"]*ProfileTweet-action--'
-COUNT_MARK = r'(?s)<span\b[^>]*?\sclass="ProfileTweet-actionCountForPresentation"[^>]*>(.*?)</span>'
+TAG_MARK = rf'(?s)<a\b{GAP}\shref="/hashtag[^"]*"{REST}>(.*?)</a>'
+TEXT_MARK = rf'<div\b{GAP}\sclass="js-tweet-text-container"{REST}>'
+TIME_MARK = rf'<a\b(?={GAP}\sclass="tweet-timestamp){GAP}\stitle="([^"]*)"'
+ACTION_MARK = rf'<div\b{GAP}\sclass="[^"]*ProfileTweet-action--'
+COUNT_MARK = rf'(?s)<span\b{GAP}\sclass="ProfileTweet-actionCountForPresentation"{REST}>(.*?)</span>'
 
 
 def read_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -28,18 +29,19 @@ def read_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Title, heading, link targets and visible text of each page."""
-    h = F.regexp_replace(F.col(html), "\n", "")
-    body = F.regexp_replace(h, r"<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return pages.withColumns(
-        {
-            "title": F.regexp_extract(h, r"<title>(.*?)</title>", 1),
-            "heading": strip_tags(F.regexp_extract(h, r"<h1[^>]*>(.*?)</h1>", 1)),
-            "links": F.regexp_extract_all(h, F.lit(r'<a\s[^>]*href="([^"]*)"'), 1),
-            "visible": strip_tags(body),
-            "unlinked": strip_tags(drop_anchors(body)),
-        }
-    )
+    """Title, heading, link targets and visible text of each page. Scripts, styles and comments hold
+    none of them; an end of tag inside quotes ends nothing."""
+    plain = without_comments(F.regexp_replace(F.regexp_replace(F.col(html), "\n", ""), RAW, " "))
+    # a column of its own, so that it is made once for all fields
+    body = F.col("_body")
+    named = {
+        "title": F.regexp_extract(body, rf"(?is)<title\b{REST}>(.*?)</title\s*+>", 1),
+        "heading": strip_tags(F.regexp_extract(body, rf"(?is)<h1\b{REST}>(.*?)</h1\s*+>", 1)),
+        "links": F.array_compact(F.transform(open_tags(body, "a"), lambda t: attribute(t, "href"))),
+        "visible": strip_tags(body),
+        "unlinked": strip_tags(drop_anchors(body)),
+    }
+    return pages.withColumn("_body", plain).withColumns(named).drop("_body")
 
 
 def counter(fragment: Column, action: str) -> Column:
@@ -49,32 +51,13 @@ def counter(fragment: Column, action: str) -> Column:
     return count_or_zero(F.regexp_extract(F.coalesce(F.get(own, F.lit(0)), F.lit("")), COUNT_MARK, 1))
 
 
-def block_content(fragment: Column, opening: str) -> Column:
-    """What the first ``div`` that matches ``opening`` holds, blocks inside it included; empty without one.
-
-    The rest of the fragment is cut before each open and close tag, and the pieces are counted until
-    the block is closed.
-    """
-    rest = F.coalesce(F.get(F.split(fragment, opening, 2), F.lit(1)), F.lit(""))
-    pieces = F.split(rest, r"(?=<div\b|</div\s*>)")
-
-    def step(acc: Column, piece: Column) -> Column:
-        turn = F.when(piece.startswith("<div"), 1).when(piece.startswith("</div"), -1).otherwise(0)
-        depth = F.when(acc["depth"] > 0, acc["depth"] + turn).otherwise(0)
-        return F.struct(depth.alias("depth"), (acc["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n"))
-
-    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-    held = F.aggregate(pieces, begin, step, lambda acc: acc["n"])
-    return F.array_join(F.slice(pieces, F.lit(1), held), "")
-
-
 def posts_of_pages(pages: DataFrame, html: str = "html", greedy: bool = False) -> DataFrame:
     """One row per post element: page columns kept, nine post fields added."""
-    parts = F.split(F.regexp_replace(F.col(html), "\n", ""), f"(?={POST_START})")
+    parts = F.split(without_comments(F.regexp_replace(F.col(html), "\n", "")), f"(?={POST_START})")
     others = [c for c in pages.columns if c != html]
     f = F.col("_fragment")
     split = pages.select(*others, F.explode(F.slice(parts, 1, F.size(parts))).alias("_fragment"))
-    text = block_content(f, TEXT_MARK)
+    text = content(f, TEXT_MARK)
     return split.filter(F.regexp_like(f, F.lit(f"^{POST_START}"))).select(
         *others,
         F.regexp_extract(f, ID_MARK, 1).alias("id"),

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyloom.sources import csvs
+from tallyloom.sources import csvs, html
 from tallyloom.storage import scratch_path
 
 SCHEMA = "a int, b string, c string, d double"
@@ -54,3 +54,35 @@ def test_no_rows(spark):
     path = scratch_path(spark, "csv")
     csvs.write_csv(spark.createDataFrame([], SCHEMA), path)
     assert csvs.read_csv(spark, path, SCHEMA).collect() == []
+
+
+ODD = """<html><head><title lang='x>y'>Fish &amp; chips</title><style>p{a>b}</style></head><body><!-- <h1>no</h1> <a href="/no">x</a> -->
+<h1 data-x="1 > 0" class=big>Real <b title='a>b'>head</b></h1><script>if (a < b) { document.write('<a href="/script">') }</script>
+<img alt="5 > 3" src=x><br><p>one<p>2 < 3 and 4 > 3 <a title='say href="/fake" > here' href='/one?a=1&amp;b=2'>first</a>
+<A HREF=/two>second</A><a name="top">none</a><!-- open <a href="/never">"""
+
+
+def test_markup_with_quotes_comments_and_open_elements(spark):
+    row = html.page_fields(spark.createDataFrame([(ODD.replace("\n", " "),), (None,), ("",)], "html string")).collect()
+    assert row[0]["title"] == "Fish &amp; chips" and row[0]["heading"] == "Real head"
+    assert row[0]["links"] == ["/one?a=1&b=2", "/two"]
+    assert row[0]["visible"] == "Fish &amp; chips Real head one 2 < 3 and 4 > 3 first second none"
+    assert row[2]["visible"] == "" and row[2]["links"] == [] and row[1]["links"] is None
+
+
+POST = """<ol><li title="a > b" class="js-stream-item" data-item-id="7"><div data-screen-name="kim" class='x>y'></div>
+<a title="10:05 - 12 giu 2016" data-x="1>2" class="tweet-timestamp"></a>
+<div lang="it" data-y='<div class="js-tweet-text-container">' class="js-tweet-text-container"><p>we say <img alt="a>b"><!-- <div> --> 1 &lt; 2<br>
+<div>in <a data-z=">" href="/hashtag/t"><s>#</s>tag</a></div> end</div> out</div></li></ol>"""
+
+
+def test_posts_with_odd_attributes(spark):
+    row = html.posts_of_pages(spark.createDataFrame([("u", POST)], "url string, html string")).collect()
+    assert len(row) == 1 and (row[0]["id"], row[0]["creator"], row[0]["hashtags"]) == ("7", "kim", ["#tag"])
+    assert row[0]["text"] == "we say  1 < 2in #tag end" and "10:05" in str(row[0]["ts"])
+
+
+def test_long_tags_are_linear(spark):
+    page = "<a " + 'x="y>" ' * 20_000 + 'href="/end">t</a>' + "<" * 50_000 + "<!--" * 20_000
+    row = html.page_fields(spark.createDataFrame([(page,)], "html string")).first()
+    assert row["links"] == ["/end"]
