@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import clean_text, tokens, word_grams
 from tallyloom.operators import counts, entities, language, sentiment, stats
+from tallyloom.operators import lexicon as lexicons
 from tallyloom.plans.ingest import CLEAN_SQL
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, texts, with_views
+from tallyloom.storage import written
 
 # Short function words of each language and the words of the domain.
 STOPS = {
@@ -247,6 +249,58 @@ def hybrid_sentiment(t: Tables):
     return scored_texts(t).select("id", "language", F.round("hybrid", 9).alias("score"))
 
 
+def spread_sql(rounds: int = 3) -> str:
+    """The learned lexicon, a table expression for each round."""
+    steps = []
+    for i in range(1, rounds + 1):
+        steps.append(f"""r{i} AS (SELECT language, word, score FROM fixed UNION ALL
+  SELECT g.language, g.word, CAST(sign(sum(n * score)) * (abs(sum(n * score)) // any_value(total)) AS BIGINT)
+  FROM graph g JOIN r{i - 1} s ON s.language = g.language AND s.word = g.other
+    JOIN totals t ON t.language = g.language AND t.word = g.word
+  WHERE NOT EXISTS (SELECT 1 FROM fixed f WHERE f.language = g.language AND f.word = g.word) GROUP BY 1, 2)""")
+    return ",\n".join(steps)
+
+
+LEARNED = r"""toks AS (SELECT id, language, list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: length(x) >= 1) AS ws FROM texts),
+spread AS (SELECT language, unnest(ws) AS a, unnest(list_concat(ws[2:len(ws)], [NULL])) AS b FROM toks
+  UNION ALL SELECT language, unnest(ws), unnest(list_concat(ws[3:len(ws)], [NULL, NULL])[1:len(ws)]) FROM toks),
+half AS (SELECT language, least(a, b) AS word, greatest(a, b) AS other, count(*) AS n FROM spread
+  WHERE b IS NOT NULL AND a <> b AND language IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+graph AS (SELECT * FROM half UNION ALL SELECT language, other, word, n FROM half),
+totals AS (SELECT language, word, sum(n) AS total FROM graph GROUP BY 1, 2),
+fixed AS (SELECT language, word, CAST(round(polarity * 1000000) AS BIGINT) AS score FROM lexicon),
+r0 AS (SELECT * FROM fixed),
+""" + spread_sql() + """,
+learned AS (SELECT language, word, score FROM fixed UNION ALL SELECT r.language, r.word, r.score
+  FROM r3 r JOIN totals t ON t.language = r.language AND t.word = r.word
+  WHERE total >= 30 AND abs(score) >= 20000 AND NOT EXISTS (SELECT 1 FROM fixed f WHERE f.language = r.language AND f.word = r.word))"""
+
+
+def learned_lexicon(t: Tables):
+    graph = lexicons.near_words(texts(t), "text", "language")
+    return lexicons.learned(graph, lexicon(t))
+
+
+@query("sentiment_lexicon", with_views("texts", "SELECT language, word, score AS millionths FROM learned", lexicon_values() + ",\n" + LEARNED))
+def sentiment_lexicon(t: Tables):
+    """Words that seeds give a polarity over a graph of neighbours, with it."""
+    return learned_lexicon(t).select("language", "word", F.round(F.col("polarity") * lexicons.MILLION).cast("bigint").alias("millionths"))
+
+
+LEARNED_POLAR = POLAR.replace("JOIN lexicon l", "JOIN (SELECT language, word, score / 1000000 AS polarity FROM learned) l")
+
+
+@query("sentiment_learned", with_views("texts", """
+SELECT id, language, CAST(round(TRY_CAST(CASE WHEN language = 'en' THEN with_context
+  WHEN language IN (SELECT language FROM lexicon) THEN plain END AS DECIMAL(28,9)), 6) AS DOUBLE) AS score
+FROM scored""", ",\n".join([lexicon_values(), LEARNED, LEARNED_POLAR])))
+def sentiment_learned(t: Tables):
+    """One score per text with the learned lexicon."""
+    words = written(learned_lexicon(t), "lexicon")
+    scored = sentiment.sentiment(texts(t), "id", "text", "language", words, NEGATORS, INTENSIFIERS)
+    return scored.select("id", "language", steady("hybrid").alias("score"))
+
+
 @query("sentiment_tails", polar_sql("""
 SELECT count(*) AS n, CAST(round(TRY_CAST(avg(CASE WHEN s < -0.25 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS very_negative,
   CAST(round(TRY_CAST(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS negative, CAST(round(TRY_CAST(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END) AS DECIMAL(28,9)), 6) AS DOUBLE) AS positive,

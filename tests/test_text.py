@@ -1,6 +1,8 @@
 """Text, time, markup and language functions on small inputs."""
 
 import math
+import random
+from collections import Counter
 
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as tx
 from tallyloom.functions import timeparts as tp
 from tallyloom.functions.vectors import top_index, top_indices
-from tallyloom.operators import entities, language, sentiment
+from tallyloom.operators import entities, language, lexicon, sentiment
 from tallyloom.sources import csvs, html, logs
 from tallyloom.storage import scratch_path
 
@@ -180,6 +182,44 @@ def test_sentiment_rules(spark):
     assert math.isclose(got[7]["plain"], -0.1) and got[8]["plain"] == 0.0
 
 
+def test_learned_lexicon(spark):
+    rnd = random.Random(3)
+    words = {"en": ["good", "bad", "fine", "poor", "table", "the"], "it": ["bello", "casa", "mare"]}
+    rows = [(i, " ".join(rnd.choices(words[k], k=rnd.randint(0, 12))), k) for i, k in enumerate(["en", "en", "it"] * 60)]
+    rows += [(900, None, "en"), (901, "good bad", None), (902, "once only", "en")]
+    seeds = [("en", "good", 1.0), ("en", "bad", -0.75), ("it", "bello", 0.5), ("fr", "bon", 1.0)]
+    df = spark.createDataFrame(rows, "id int, text string, language string").repartition(4)
+    graph = lexicon.near_words(df, "text", "language", 2, 3)
+    met = Counter()
+    for _, text, lang in rows:
+        own = (text or "").split()
+        for d in (1, 2):
+            for a, b in zip(own, own[d:]):
+                if a != b and lang:
+                    met[lang, min(a, b), max(a, b)] += 1
+    met = {k: n for k, n in met.items() if n >= 3}
+    met |= {(k, b, a): n for (k, a, b), n in met.items()}
+    assert {(r["language"], r["word"], r["other"]): r["n"] for r in graph.collect()} == met
+    fixed = {(k, w): round(p * 1_000_000) for k, w, p in seeds}
+    total = Counter()
+    for (k, a, _), n in met.items():
+        total[k, a] += n
+    score = dict(fixed)
+    for _ in range(3):
+        new = dict(fixed)
+        for k, a in total:
+            pull = [(n, score[k, y]) for (l, x, y), n in met.items() if (l, x) == (k, a) and (k, y) in score]
+            if pull and (k, a) not in fixed:
+                s = sum(n * p for n, p in pull)
+                new[k, a] = int(math.copysign(abs(s) // total[k, a], s))
+        score = new
+    want = {w: p for w, p in score.items() if w in fixed or (total[w] >= 30 and abs(p) >= 20_000)}
+    lex = spark.createDataFrame(seeds, "language string, word string, polarity double")
+    got = {(r["language"], r["word"]): round(r["polarity"] * 1_000_000) for r in lexicon.learned(graph, lex).collect()}
+    assert got == want and len(got) > len(seeds)
+    assert {r["word"] for r in lexicon.learned(graph.limit(0), lex).collect()} == {"good", "bad", "bello", "bon"}
+
+
 def test_entities(spark):
     df = spark.createDataFrame([(1, "The boat left Como. Then Villa Olmo, near Bellagio Town, opened."), (2, ""), (3, None)], "id int, text string")
     got = sorted(r["entity"] for r in entities.entities(df, "text", "id").collect())
