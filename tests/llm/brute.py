@@ -139,3 +139,42 @@ def phrases(text: str | None) -> tuple:
 
 def tokens_crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def quality_kept(docs: list[tuple]) -> dict:
+    """doc_id: kept, of rows (doc_id, text, lang, source); quartiles from sorted lists of bucketed shares."""
+    names = {"symbols": 1, "dup_lines": 1, "repeats": 16, "stutter": 1, "capitals": 1}
+
+    def parts(text: str | None) -> dict:
+        words = WORD.findall(text or "")
+        n, chars, symbols, dup, again, failed = quality(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        stutter = sum(a == b for a, b in zip(words, words[1:]))
+        capitals = sum("A" <= c <= "Z" for c in text or "")
+        whole = {"symbols": (symbols, chars), "dup_lines": (dup, lines), "repeats": (again, n), "stutter": (stutter, n), "capitals": (capitals, chars)}
+        return {"failed": failed, **whole}
+
+    def share(part: int, whole: int) -> int:
+        return max(part, 0) * 1000 // whole if whole else 0
+
+    def width(v: int) -> int:
+        return 1 if v < 32 else 1 << (v.bit_length() - 1 - 4)
+
+    def limit(values: list[int]) -> int:
+        own = sorted(v // width(v) * width(v) for v in values)
+        q1, q3 = (own[-(-len(own) * q // 4) - 1] for q in (1, 3))
+        return q3 + 8 * max(q3 - q1, width(q3))
+
+    rows = {d: (parts(t), lang, source) for d, t, lang, source in docs}
+    groups = defaultdict(list)
+    for p, lang, source in rows.values():
+        for key in ((lang, source), (lang,), ()):
+            groups[key].append(p)
+    tops = {}
+    out = {}
+    for d, (p, lang, source) in rows.items():
+        key = next((k for k in ((lang, source), (lang,)) if len(groups[k]) >= 200), ())
+        if key not in tops:
+            tops[key] = {m: limit([share(*g[m]) for g in groups[key]]) for m in names}
+        out[d] = not p["failed"] and all(share(p[m][0] - less, p[m][1]) <= tops[key][m] for m, less in names.items())
+    return out

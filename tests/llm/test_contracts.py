@@ -113,6 +113,14 @@ def test_op9(spark, docs):
         assert not (r["base_failed"] and r["kept"])
 
 
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_op9_kept(spark, folder):
+    table = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    want = brute.quality_kept([tuple(r) for r in table])
+    got = {r["doc_id"]: r["kept"] for r in rows(spark, "op9_quality", folder)}
+    assert got == want and 0 < sum(got.values()) < len(got)
+
+
 def test_op10(spark, docs):
     text = {d: t for d, t, _ in docs}
     for r in rows(spark, "op10_licenses"):
