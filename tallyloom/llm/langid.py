@@ -8,6 +8,7 @@ down to single characters. A word without a known character tells nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,9 @@ from tallyloom.llm.common import BASE, chunks, keep, mix, plain, powers
 
 #: Rows a model is learned from, at most (about; they are spread over the languages and picked by a hash of the id).
 TRAIN_ROWS = 20_000
-#: Most frequent words, and runs of each length, that a model keeps of each language.
-FEATURES = 60_000
+#: Most frequent words, and runs of each length, that a model keeps of each language. With the rows above
+#: it bounds the model, whose size grows with the features that languages have and not with their product.
+FEATURES = 200_000
 LONGEST = 4
 #: Added to each count, so that a feature unseen in a language is unlikely and not impossible.
 SMOOTH = 0.5
@@ -163,40 +165,72 @@ def learn(docs: DataFrame, max_rows: int = TRAIN_ROWS, features: int = FEATURES)
         docs = docs.join(F.broadcast(wanted), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.col("_rows")) < F.col("_part")).select("doc_id", "text", "lang")
     # written once: the cuts and the tables of all lengths are taken from it
     counts = keep(feature_counts(docs), "language-counts")
-    per = most_frequent(counts, features).groupBy("size", "h").agg(
-        F.max("above").alias("above"), *[F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{i}") for i, x in enumerate(langs)]
-    )
-    per = keep(per.filter("above").drop("above"), "language-features")
+    every = most_frequent(counts, features)
+    numbered = docs.sparkSession.createDataFrame(list(enumerate(langs)), "own int, lang string")
+    wanted = every.filter("above").select("size", "h").distinct()
+    cells = every.join(wanted, ["size", "h"]).join(F.broadcast(numbered), "lang").select("size", "h", "own", "n")
+    cells = keep(cells, "language-features")
     for size in range(LONGEST + 1):
-        got = per.filter(F.col("size") == size).drop("size").toPandas().fillna(0)
-        sums = got.drop(columns="h").to_numpy(np.float64) + SMOOTH
-        key = got["h"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        model["tables"].append((key[order], np.log(sums / sums.sum(0)).astype(np.float32)[order]))
+        model["tables"].append(Table.of(cells.filter(F.col("size") == size).toArrow(), len(langs)))
     return model
 
 
-def looked_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table for the hashes, and whether each is known."""
-    keys, logs = table
-    if not len(keys):
-        return np.zeros((len(h), logs.shape[1]), np.float32), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return logs[at], keys[at] == h
+class Table(NamedTuple):
+    """Log frequencies of the features of one length, only where a language has the feature.
+
+    ``keys``: sorted hashes; the entries of key i are those from ``first[i]`` to ``first[i + 1]``, with
+    their language and by how much the log frequency is above ``absent``, that of an unseen feature.
+    """
+
+    keys: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+    absent: np.ndarray
+
+    @classmethod
+    def of(cls, cells: pa.Table, langs: int) -> Table:
+        h = cells.column("h").to_numpy().view(np.uint64)
+        lang, n = cells.column("own").to_numpy().astype(np.int32), cells.column("n").to_numpy().astype(np.float64)
+        order = np.lexsort((lang, h))
+        keys, first = np.unique(h[order], return_index=True)
+        totals = np.bincount(lang, n, langs) + SMOOTH * len(keys)
+        above = np.log((n + SMOOTH) / SMOOTH)[order].astype(np.float32)
+        absent = np.log(SMOOTH / np.maximum(totals, SMOOTH))
+        return cls(keys, np.append(first, len(h)), lang[order].astype(np.int16), above, absent)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash among the keys, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return at, self.keys[at] == h
+
+    def sums(self, at: np.ndarray, whose: np.ndarray, n: int) -> np.ndarray:
+        """Log frequencies of the keys at the given places, added up by ``whose`` (below ``n``), per language."""
+        langs = len(self.absent)
+        counts = self.first[at + 1] - self.first[at]
+        cell = np.arange(counts.sum()) + np.repeat(self.first[at] - np.cumsum(counts) + counts, counts)
+        flat = np.bincount(np.repeat(whose, counts) * langs + self.lang[cell], self.above[cell], n * langs)
+        return flat.reshape(n, langs) + np.bincount(whose, minlength=n)[:, None] * self.absent
 
 
 def word_scores(found: Letters, model: dict, words: np.ndarray) -> np.ndarray:
     """Per numbered word and language the log frequency, by the word or by its longest known runs."""
-    scores, known = looked_up(model["tables"][0], found.hashes(found.start[words], found.end[words]))
-    scores = np.where(known[:, None], scores, 0).astype(np.float64)
+    table = model["tables"][0]
+    at, known = table.find(found.hashes(found.start[words], found.end[words]))
+    scores = table.sums(at[known], np.flatnonzero(known), len(words))
     left = np.flatnonzero(~known)
     for n in range(LONGEST, 0, -1):
         if not len(left):
             break
         h, whose = found.runs(words[left], n)
-        logs, hit = looked_up(model["tables"][n], h)
+        at, hit = model["tables"][n].find(h)
         hits = np.bincount(whose[hit], minlength=len(left))
-        sums = np.stack([np.bincount(whose[hit], logs[hit, i], len(left)) for i in range(logs.shape[1])], 1)
+        sums = model["tables"][n].sums(at[hit], whose[hit], len(left))
         told = hits > 0
         scores[left[told]] = sums[told] / hits[told, None]
         left = left[~told]

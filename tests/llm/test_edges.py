@@ -305,7 +305,7 @@ def test_small_languages_keep_their_words(spark):
     model = langid.learn(docs, max_rows=100, features=50)
     assert model["langs"] == ["big", "small"]
     found = langid.Letters(["tiny words here"], langid.letter_table())
-    assert langid.looked_up(model["tables"][0], found.hashes(found.start, found.end))[1].all()
+    assert model["tables"][0].find(found.hashes(found.start, found.end))[1].all()
     assert 50 <= len(model["tables"][0][0]) <= 100
     assert langid.shares({"a": 2, "b": 1000, "c": 50}, 100) == {"a": 2, "c": 49, "b": 49}
 
@@ -325,3 +325,55 @@ def test_feature_counts_are_those_of_all_words(spark):
                     want[n, word[i : i + n], lang] += 1
     found = langid.feature_counts(docs).collect()
     assert sorted((r["size"], r["lang"], r["n"]) for r in found) == sorted((k, lang, n) for (k, _, lang), n in want.items())
+
+
+def test_model_of_many_languages(spark):
+    """A hundred languages: nearly all held-out texts right, and a model of a few bytes for each feature a language has."""
+    draw = random.Random(12)
+    rows = []
+    for lang in range(100):
+        syllables = ["".join(draw.choice("abcdefghijklmnoprstuvzäéñøş") for _ in range(draw.randint(2, 3))) for _ in range(25)]
+        for _ in range(30):
+            words = ["".join(draw.choices(syllables, k=draw.randint(1, 3))) for _ in range(40)]
+            rows.append((len(rows), " ".join(words), f"l{lang:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.learn(docs.filter("doc_id % 5 <> 0"))
+    features = {(lang, size, x) for i, text, lang in rows if i % 5 for w in text.split() for size in range(5)
+                for x in ([w] if not size else [w[j : j + size] for j in range(len(w) - size + 1)])}
+    size = sum(t.nbytes() for t in model["tables"])
+    assert sum(len(t.lang) for t in model["tables"]) == len(features)
+    assert size <= 24 * len(features) + 10_000
+    right = {i: lang for i, _, lang in rows}
+    held = langid.predict(docs.filter("doc_id % 5 = 0").select("doc_id", "text"), model).collect()
+    assert sum(r["lang_pred"] == right[r["doc_id"]] for r in held) >= 0.99 * len(held)
+
+
+def test_sparse_scores_are_the_dense_ones(spark):
+    draw = random.Random(13)
+    rows = [(i, " ".join("".join(draw.choice("abcdeé") for _ in range(draw.randint(1, 7))) for _ in range(12)), f"l{i % 3}") for i in range(60)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    count = [{f"l{k}": {} for k in range(3)} for _ in range(5)]
+    for _, text, lang in rows:
+        for w in text.split():
+            for size in range(5):
+                for x in [w] if not size else [w[j : j + size] for j in range(len(w) - size + 1)]:
+                    count[size][lang][x] = count[size][lang].get(x, 0) + 1
+
+    def log(size, lang, x):
+        every = set().union(*count[size].values())
+        own = count[size][lang]
+        return np.log((own.get(x, 0) + 0.5) / (sum(own.values()) + 0.5 * len(every)))
+
+    words = ["abc", "é", "zzz", "abcdzab", "ccccccc", "bzzzb"]
+    found = langid.Letters([" ".join(words)], langid.letter_table())
+    got = langid.word_scores(found, model, np.arange(len(words)))
+    for w, line in zip(words, got, strict=True):
+        for k, lang in enumerate(model["langs"]):
+            want = 0.0
+            for size in (0, 4, 3, 2, 1):
+                runs = [w] if not size else [w[j : j + size] for j in range(len(w) - size + 1)]
+                known = [x for x in runs if any(x in count[size][m] for m in model["langs"])]
+                if known:
+                    want = sum(log(size, lang, x) for x in known) / len(known)
+                    break
+            assert abs(line[k] - want) < 1e-5, (w, lang)
