@@ -6,6 +6,8 @@ A series is a set of rows (keys, pos, y). ``pos`` numbers the rows of a key from
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +77,21 @@ def acf(df: DataFrame, keys: list[str], max_lag: int = 20, y: str = "y", pos: st
 
 
 def moving_trend(
-    df: DataFrame, keys: list[str], period: int, two_sided: bool = True, y: str = "y", pos: str = "pos"
+    df: DataFrame, keys: list[str], period: int, two_sided: bool = True, y: str = "y", pos: str = "pos",
+    weights: list[float] | None = None,
 ) -> DataFrame:
     """Moving average over one period; an even period halves the two end weights.
 
-    Null wherever the frame is incomplete.
+    ``weights`` replace the average by a filter of one's own, the first weight on the latest row. Null
+    wherever the frame is incomplete.
     """
+    if weights is not None:
+        before = (len(weights) - 1) // 2 if two_sided else len(weights) - 1
+        after = len(weights) - 1 - before
+        near = halo.spread(df, pos, before=before, after=after)
+        w = halo.window(keys, pos)
+        cells = [F.lit(float(x)) * F.lead(y, after - j).over(w) for j, x in enumerate(weights)]
+        return halo.home(near.withColumn("trend", reduce(lambda a, b: a + b, cells)))
     reach = period // 2
     length = period + 1 if period % 2 == 0 else period
     before, after = (reach, reach) if two_sided else (length - 1, 0)
@@ -134,14 +145,15 @@ def seasonal_decompose(
     period: int,
     model: str = "additive",
     two_sided: bool = True,
-    extrapolate: int = 0,
+    extrapolate: int | str = 0,
     y: str = "y",
     pos: str = "pos",
+    weights: list[float] | None = None,
 ) -> DataFrame:
     """Add trend, seasonal, resid and nobs.
 
-    ``extrapolate`` > 0 fills the trend's ends from that many points plus one. A
-    null, NaN or infinite value, or a value <= 0 in the multiplicative model, stops the job.
+    ``extrapolate`` > 0 fills the trend's ends from that many points plus one, ``"freq"`` from as many as
+    the period has. ``weights`` are a filter for the trend instead of the moving average. A null, NaN or infinite value, or a value <= 0 in the multiplicative model, stops the job.
     """
     times = model.startswith("m")
     value = F.col(y).cast("double")
@@ -150,9 +162,10 @@ def seasonal_decompose(
         sound = sound & (F.col(y) > 0)
     checked = df.withColumn(y, F.when(sound, F.col(y)).otherwise(F.raise_error(F.lit(f"unfit value in {y}"))))
     # written once: the ends, the phases and the result all read it
-    out = cut_lineage(moving_trend(checked, keys, period, two_sided, y, pos))
-    if extrapolate > 0:
-        out = extrapolate_trend(out, keys, extrapolate + 1, pos=pos)
+    out = cut_lineage(moving_trend(checked, keys, period, two_sided, y, pos, weights))
+    points = period - 1 if extrapolate == "freq" else int(extrapolate)
+    if points > 0:
+        out = extrapolate_trend(out, keys, points + 1, pos=pos)
     detrended = F.col(y) / F.col("trend") if times else F.col(y) - F.col("trend")
     out = out.withColumn("_phase", F.col(pos) % period)
     phases = out.groupBy(*keys, "_phase").agg(F.avg(detrended).alias("_avg"), F.count(F.lit(1)).alias("_c"))

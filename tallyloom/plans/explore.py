@@ -8,6 +8,7 @@ from tallyloom.functions.text import parse_tags, real_tags
 from tallyloom.operators import counts
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, baskets, post_engagement, posts, tag_strings, texts, with_views
+from tallyloom.sources.named import register
 
 # The category that plays the undecided language in the test data.
 UNDECIDED = "5-LOW"
@@ -257,3 +258,15 @@ def array_lower_distinct(t: Tables):
 
     doubled = F.concat("items", F.transform("items", F.upper))
     return baskets(t).select("id", F.array_join(lower_distinct(doubled), ",").alias("items"))
+
+
+@query("named_views", with_views("posts", """
+SELECT creator, count(*) AS n FROM posts WHERE creator IN (
+  SELECT creator FROM posts GROUP BY creator HAVING count(*) > 5) GROUP BY 1"""))
+def named_views(t: Tables):
+    """Posts of creators with more than five, asked in SQL over a named frame."""
+    register(tallyloom_posts=posts(t))
+    return t.spark.sql(
+        "SELECT creator, count(*) AS n FROM tallyloom_posts WHERE creator IN ("
+        "SELECT creator FROM tallyloom_posts GROUP BY creator HAVING count(*) > 5) GROUP BY creator"
+    )

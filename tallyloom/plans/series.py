@@ -79,8 +79,11 @@ def rolling_long(t: Tables):
     return rounded(long, "value")
 
 
-def decomposition_sql(source: str, period: int, times: bool = False, one_sided: bool = False, name: str = "parts") -> str:
-    """CTEs of a classical decomposition with plain windows, for comparison."""
+def decomposition_sql(
+    source: str, period: int, times: bool = False, one_sided: bool = False, name: str = "parts", ends: int = 0
+) -> str:
+    """CTEs of a classical decomposition with plain windows, for comparison; ``ends``: points of the lines that
+    fill both ends of the trend."""
     reach = period // 2
     length = period + 1 if period % 2 == 0 else period
     before, after = (length - 1, 0) if one_sided else (reach, reach)
@@ -91,10 +94,20 @@ def decomposition_sql(source: str, period: int, times: bool = False, one_sided:
     n = f"count(*) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
     minus, level = ("/", "/") if times else ("-", "-")
     resid = "y / seasonal / trend" if times else "y - trend - seasonal"
-    return f"""{name}_t AS (
+    first = f"{name}_m" if ends else f"{name}_t"
+    line = lambda end: f"regr_slope(trend, pos) FILTER ({end}) AS k, regr_intercept(trend, pos) FILTER ({end}) AS c"
+    front, back = f"pos >= fr AND pos < least(fr + {ends}, bk)", f"pos >= greatest(fr, bk - {ends}) AND pos < bk"
+    filled = f"""{name}_e AS (SELECT *, min(CASE WHEN trend IS NOT NULL THEN pos END) OVER (PARTITION BY series) AS fr,
+  max(CASE WHEN trend IS NOT NULL THEN pos END) OVER (PARTITION BY series) AS bk FROM {name}_m),
+{name}_a AS (SELECT series, {line(front)} FROM {name}_e WHERE trend IS NOT NULL GROUP BY 1),
+{name}_z AS (SELECT series, {line(back)} FROM {name}_e WHERE trend IS NOT NULL GROUP BY 1),
+{name}_t AS (SELECT e.* REPLACE (CASE WHEN pos < fr THEN a.k * pos + a.c WHEN pos > bk THEN z.k * pos + z.c ELSE trend END AS trend)
+  FROM {name}_e e JOIN {name}_a a ON a.series = e.series JOIN {name}_z z ON z.series = e.series),
+""" if ends else ""
+    return f"""{first} AS (
   SELECT *, CASE WHEN {n} = {length} THEN {total} / {period} END AS trend
   FROM {source} WINDOW o AS (PARTITION BY series ORDER BY pos)),
-{name}_p AS (SELECT series, pos % {period} AS phase, avg(y {minus} trend) AS a FROM {name}_t GROUP BY 1, 2),
+{filled}{name}_p AS (SELECT series, pos % {period} AS phase, avg(y {minus} trend) AS a FROM {name}_t GROUP BY 1, 2),
 {name}_s AS (SELECT series, phase, a {level} avg(a) OVER (PARTITION BY series) AS seasonal FROM {name}_p),
 {name} AS (SELECT *, {resid} AS resid FROM (
   SELECT t.*, s.seasonal FROM {name}_t t JOIN {name}_s s ON s.series = t.series AND s.phase = t.pos % {period}))"""
@@ -114,6 +127,12 @@ def seasonal_decompose(t: Tables):
     return parts_out(series.seasonal_decompose(daily_series(t), ["series"], 7))
 
 
+@query("seasonal_decompose_freq", with_views("daily", PARTS_OUT, decomposition_sql("daily", 7, ends=7)))
+def seasonal_decompose_freq(t: Tables):
+    """The ends of the trend filled from as many points as the period has."""
+    return parts_out(series.seasonal_decompose(daily_series(t), ["series"], 7, extrapolate="freq"))
+
+
 @query("seasonal_decompose_hourly", with_views("hourly", PARTS_OUT, decomposition_sql("hourly", 24)))
 def seasonal_decompose_hourly(t: Tables):
     """The same for hourly counts with an even period."""

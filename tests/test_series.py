@@ -274,3 +274,26 @@ def test_decomposition_refuses_infinite_values(spark):
     rows = [("s", i, float("inf") if i == 5 else float(i)) for i in range(21)]
     with pytest.raises(Exception, match="unfit value"):
         series.seasonal_decompose(spark.createDataFrame(rows, "series string, pos int, y double"), ["series"], 7).collect()
+
+
+def test_own_filter_and_extrapolation_by_period(spark):
+    """Weights as a convolution, both sides and one; the ends filled from a period of points."""
+    rng = np.random.default_rng(11)
+    y = 50 + np.arange(60) * 0.5 + 5 * np.sin(np.arange(60) * 2 * np.pi / 6) + rng.normal(size=60)
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)], "series string, pos int, y double")
+    for weights in ([0.5, 0.3, 0.2], [0.4, 0.3, 0.2, 0.1], [1.0]):
+        full = np.convolve(y, weights, "valid")
+        for two_sided in (True, False):
+            head = (len(weights) - 1) // 2 if two_sided else len(weights) - 1
+            want = np.full(60, np.nan)
+            want[head : head + len(full)] = full
+            got = series.moving_trend(df, ["series"], 6, two_sided, weights=weights).orderBy("pos").toPandas()["trend"]
+            np.testing.assert_allclose(got.astype(float), want, rtol=1e-12)
+    parts = series.seasonal_decompose(df, ["series"], 6, extrapolate="freq", weights=[1 / 6] * 6).orderBy("pos").toPandas()
+    trend = np.full(60, np.nan)
+    trend[2:57] = np.convolve(y, [1 / 6] * 6, "valid")
+    x = np.arange(60)
+    for ends, fit in ((x < 2, x[2:8]), (x > 56, x[50:56])):
+        trend[ends] = np.polyval(np.polyfit(fit, trend[fit], 1), x[ends])
+    np.testing.assert_allclose(parts["trend"], trend, rtol=1e-9)
+    assert parts["resid"].notna().all()

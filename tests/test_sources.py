@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tallyloom.sources import csvs, html
+from tallyloom.sources.named import register
 from tallyloom.storage import scratch_path
 
 SCHEMA = "a int, b string, c string, d double"
@@ -86,3 +87,12 @@ def test_long_tags_are_linear(spark):
     page = "<a " + 'x="y>" ' * 20_000 + 'href="/end">t</a>' + "<" * 50_000 + "<!--" * 20_000
     row = html.page_fields(spark.createDataFrame([(page,)], "html string")).first()
     assert row["links"] == ["/end"]
+
+
+def test_named_frames(spark):
+    assert register(some_frame=spark.range(3), other=spark.range(2)) == ["other", "some_frame"]
+    register(some_frame=spark.range(5))
+    assert spark.sql("SELECT count(*) FROM some_frame JOIN other USING (id)").first()[0] == 2
+    assert spark.table("some_frame").count() == 5
+    with pytest.raises(ValueError):
+        register(**{"no name": spark.range(1)})
