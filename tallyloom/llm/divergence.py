@@ -129,10 +129,10 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     ``top``).
 
     Words are those in at least ``least`` documents of the language. A null text, lang or source is
-    read as empty; '' is a language and a source like others. Repeated rows count each time. A source without words takes part with
-    counts of 0; a language with one source has no pairs; an empty table gives no rows; columns
-    other than text, lang and source are ignored, whatever their names. Equal values are ranked by
-    the bytes of the item.
+    read as empty; '' is a language and a source like others. Repeated rows count each time. A source
+    without words takes part with counts of 0; a language with one source has no pairs; an empty table
+    gives no rows; columns other than text, lang and source are ignored, whatever their names. Equal
+    values are ranked by the bytes of the item.
     """
     own = plain(docs, "lang", "source", "text").na.fill("", ["lang", "source", "text"])
     found = own.mapInArrow(counted, "lang string, source string, term string, n bigint, docs bigint")
