@@ -4,20 +4,23 @@ A document's set is hashed by PERMS functions. Runs of ROWS minima are band keys
 of every minimum are packed into a signature. Documents with equal sets are one class, and only one
 member of a class goes on. In a band's bucket each class is compared with the smallest class; the
 share of equal low bits, corrected for chance collisions, decides whether the pair is read in full.
-Buckets that still hold several components afterwards are compared in blocks on the full sets, inside
-the tasks, so that no link between members other than the smallest is lost.
+Buckets that still hold several components take another centre in each of a few further rounds, which
+joins large groups at a cost in proportion to their rows. What is left then is compared in blocks on
+the full sets, inside the tasks, so that no link between members other than the centres is lost. Joins
+on keys that many rows may share (buckets, centres, components, sets) are salted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Words, chunks, keep, mix, plain, shingles
+from tallyloom.llm.common import Words, chunks, keep, mix, plain, salted_join, shingles
 from tallyloom.llm.links import components
 
 PERMS = 160
@@ -28,7 +31,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Standard errors by which an estimate may fall short before a pair is left unread.
 SLACK = 5.5
-BLOCK = 512
+#: Classes and shingles of a block (about, by hash); a pair of blocks is compared in one task.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Rounds of new centres go on while a round leaves at most this part of the rows in mixed buckets.
+GAIN = 0.75
 SKETCH = "doc_id bigint, set_key bigint, n bigint, signature array<bigint>, bands array<bigint>"
 
 
@@ -109,10 +115,11 @@ def equal_values(a: Column, b: Column, perms: int = PERMS) -> Column:
 
 
 def classes_of(sketches: DataFrame) -> DataFrame:
-    """One row per different set: set_key and, of its smallest document, doc_id, n, signature, bands."""
+    """One row per different set: set_key, its number of rows and, of its smallest document, doc_id, n, signature, bands."""
     one = F.min(F.struct("doc_id", "n", "signature", "bands")).alias("one")
+    copies = F.count(F.lit(1)).alias("copies")
     return (
-        sketches.filter("n > 0 and doc_id is not null").groupBy("set_key").agg(one).select("set_key", "one.*")
+        sketches.filter("n > 0 and doc_id is not null").groupBy("set_key").agg(one, copies).select("set_key", "copies", "one.*")
     )
 
 
@@ -120,12 +127,12 @@ def star_pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of each class with the smallest of its bucket, and the buckets (band, least, n)."""
     buckets = keep(bands.groupBy("band").agg(F.min("set_key").alias("least"), F.count("*").alias("n")).filter("n > 1"), "minhash-buckets")
     pairs = (
-        bands.join(buckets, "band")
+        salted_join(bands.select("band", "set_key"), buckets.select("band", "least"), "band", "set_key", sizes=buckets)
         .filter("set_key != least")
         .select(F.col("least").alias("a"), F.col("set_key").alias("b"))
         .distinct()
     )
-    return pairs, buckets
+    return keep(pairs, "minhash-stars"), buckets
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -133,7 +140,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     one = lambda x: classes.select(
         F.col("set_key").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")
     )
-    both = pairs.join(one("b"), "b").join(one("a"), "a")
+    both = salted_join(pairs.join(one("b"), "b"), one("a"), "a", "b", sizes=pairs.groupBy("a").agg(F.count("*").alias("n")))
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
     return both.filter(close & (equal_values(F.col("s_a"), F.col("s_b")) >= least_equal())).select("a", "b", "doc_a", "doc_b")
 
@@ -167,7 +174,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = docs.filter("doc_id is not null").select("doc_id", "text")
     one = lambda x: texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
-    rows = pairs.join(one("b"), "doc_b").join(one("a"), "doc_a").select("a", "b", "text_a", "text_b")
+    centres = pairs.groupBy("doc_a").agg(F.count("*").alias("n"))
+    rows = salted_join(pairs.join(one("b"), "doc_b"), one("a"), "doc_a", "doc_b", sizes=centres).select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
@@ -223,24 +231,76 @@ def forest(keys: np.ndarray, labels: np.ndarray, starts: np.ndarray, values: np.
     return out
 
 
+def mixed_rows(rows: DataFrame) -> DataFrame:
+    """The rows (band, set_key, size, label) of buckets that hold several labels."""
+    buckets = rows.groupBy("band").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("mixed"))
+    buckets = keep(buckets.filter("mixed").drop("mixed"), "minhash-mixed-buckets")
+    return keep(salted_join(rows, buckets.select("band"), "band", "set_key", sizes=buckets), "minhash-mixed")
+
+
+def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the labels that follow from links between them."""
+    label = lambda x: rows.select(F.col("set_key").alias(x), F.col("label").alias(f"label_{x}")).distinct()
+    of = components(links.join(label("a"), "a").join(label("b"), "b"), "label_a", "label_b").withColumnRenamed("label", "above")
+    joined = salted_join(rows, of.withColumnRenamed("node", "label"), "label", "set_key", "left")
+    return joined.select("band", "set_key", "size", F.coalesce("above", "label").alias("label"))
+
+
+def rounds(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Links found by comparing each mixed bucket's members with another centre each round, and the
+    rows whose buckets are mixed after them. A round is one comparison a row."""
+    found: list[DataFrame] = []
+    left = rows.count()
+    while left:
+        order = F.xxhash64("set_key", "band", F.lit(len(found)))
+        centres = rows.groupBy("band").agg(
+            F.min(F.struct(order.alias("order"), F.col("set_key").alias("centre"), F.col("label").alias("own"))).alias("one"),
+            F.count("*").alias("n"),
+        )
+        centres = keep(centres.select("band", "n", "one.centre", "one.own"), "minhash-centres")
+        pairs = salted_join(rows, centres.drop("n"), "band", "set_key", sizes=centres).filter("label != own")
+        pairs = pairs.select(F.col("centre").alias("a"), F.col("set_key").alias("b"))
+        pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-stars")
+        links = keep(confirmed(keep(estimated(pairs, classes), "minhash-pairs"), docs), "minhash-links")
+        if links.isEmpty():
+            break
+        found.append(links)
+        rows = mixed_rows(relabelled(rows, links))
+        before, left = left, rows.count()
+        if left > GAIN * before:
+            break
+    return found, rows
+
+
 def rest_links(bands: DataFrame, buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
     """Links inside buckets of three and more classes that are in different components so far.
 
-    A bucket is cut into blocks of about BLOCK classes and each pair of blocks is one group, so no
-    group grows with the bucket. Full sets are compared inside the task, and a group gives at most
-    one link less than it has members.
+    Rounds of new centres come first. What they leave is cut by bucket into blocks of about BLOCK
+    classes and BLOCK_SHINGLES shingles, and each pair of blocks is one group, so no group grows with
+    the bucket or the length of its texts. Full sets are compared inside the task, and a group gives
+    at most one link less than it has members.
     """
-    rows = bands.join(buckets.filter("n > 2"), "band").select("band", "set_key", "least", "n")
+    big = buckets.filter("n > 2")
+    rows = salted_join(bands, big.select("band", "least"), "band", "set_key", sizes=big)
     rows = rows.join(labels, rows["set_key"] == labels["node"], "left").select(
-        "band", "set_key", "least", "n", F.coalesce("label", "set_key").alias("label")
+        "band", "set_key", "size", "least", F.coalesce("label", "set_key").alias("label")
     )
     rows = keep(rows, "minhash-rows")
-    mixed = rows.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("band")
-    rows = keep(rows.join(mixed, "band").filter("set_key != least"), "minhash-mixed")
+    # the smallest member has been compared with all others; its bucket is mixed if any other has another label
+    rows = mixed_rows(rows.filter("set_key != least").drop("least"))
+    found, rows = rounds(rows, classes, docs)
+    return reduce(DataFrame.union, found, block_links(rows, classes, docs))
+
+
+def block_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between rows (band, set_key, size, label) that share a band and differ in label, as few as
+    connect what similar sets connect in each pair of blocks."""
     sets = keep(full_sets(rows.select("set_key").distinct(), classes, docs), "minhash-sets")
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_key", F.lit(3)), count).cast("int")
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    count = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    buckets = keep(rows.groupBy("band").agg(count.alias("blocks"), F.count("*").alias("n")), "minhash-blocks")
+    cut = salted_join(rows, buckets.drop("n"), "band", "set_key", sizes=buckets)
+    own = F.pmod(F.xxhash64("set_key", F.lit(3)), F.col("blocks")).cast("int")
+    spread = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = F.collect_list(F.struct("set_key", "label", "set")).alias("members")
     groups = spread.join(sets, "set_key").groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     groups = groups.agg(members, F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("members")
@@ -270,7 +330,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = plain(docs, "doc_id", "text")
     sketches = keep(sketch(docs), "minhash-sketches")
     classes = keep(classes_of(sketches), "minhash-classes")
-    bands = classes.select("set_key", F.explode("bands").alias("band"))
+    bands = classes.select("set_key", F.col("n").alias("size"), F.explode("bands").alias("band"))
     stars, buckets = star_pairs(bands)
     links = keep(confirmed(keep(estimated(stars, classes), "minhash-pairs"), docs), "minhash-links")
     labels = components(links)
@@ -279,10 +339,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links.union(more))
     member = classes.select("set_key", "doc_id").join(labels, F.col("set_key") == F.col("node"), "left")
     member = member.select("set_key", "doc_id", F.coalesce("label", "set_key").alias("label"))
-    first = member.groupBy("label").agg(F.min("doc_id").alias("component"))
-    found = member.join(first, "label").select("set_key", "component")
+    member = keep(member, "minhash-members")
+    first = keep(member.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("n")), "minhash-components")
+    found = salted_join(member, first.drop("n"), "label", "set_key", sizes=first).select("set_key", "component")
     rows = sketches.select("doc_id", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key"), F.col("n").alias("n_shingles"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.join(found, "set_key", "left").select(
+    copies = classes.select("set_key", F.col("copies").alias("n"))
+    return salted_join(rows, found, "set_key", "doc_id", "left", sizes=copies).select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )

@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 
-from tallyloom.llm import decontaminate, langid, licenses, links, minhash, packing, pii, quality, repeats, secrets, warc
+from tallyloom.llm import common, decontaminate, langid, licenses, links, minhash, packing, pii, quality, repeats, secrets, warc
 from tallyloom.llm.queries import vocabulary
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -118,6 +118,40 @@ def test_minhash_chains(spark):
     assert got == want
 
 
+def wide_group(copies: int, seed: int) -> list[tuple[int, str]]:
+    """Near copies of one text with changes of their own: like the text, often not like each other; and a few like a copy alone."""
+    draw, words, rows = random.Random(seed), [f"w{i}" for i in range(200)], []
+    for i in range(copies):
+        own = list(words)
+        for k in draw.sample(range(200), 7):
+            own[k] = f"n{i}-{k}"
+        rows.append((3 * i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((3 * i + 1, " ".join([*own[:-12], *[f"t{i}-{k}" for k in range(12)]])))
+    return rows
+
+
+@pytest.mark.parametrize("gain", [0.0, 0.75, 1.0])
+def test_minhash_rounds(spark, monkeypatch, gain):
+    """The same components whether rounds of centres or blocks find the last links."""
+    monkeypatch.setattr(minhash, "GAIN", gain)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2000)
+    rows = wide_group(120, 5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.near(rows)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join(spark, how):
+    """A key with a third of all rows, null keys and keys that only one side has."""
+    many = spark.createDataFrame([(None if i % 3 == 1 else 7 if i % 3 else i, i) for i in range(600)], "k bigint, i bigint")
+    one = spark.createDataFrame([(k, k * 10) for k in range(0, 300)], "k bigint, v bigint")
+    want = sorted(map(tuple, many.join(one, "k", how).collect()), key=str)
+    for share in (2, 50):
+        assert sorted(map(tuple, common.salted_join(many, one, "k", "i", how, share=share).select("k", "i", "v").collect()), key=str) == want
+    assert common.salted_join(many.limit(0), one, "k", "i", how).collect() == []
+
+
 def test_forest_links_what_is_similar():
     sets = [np.arange(0, 100), np.arange(5, 105), np.arange(10, 110), np.arange(500, 600)]
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
