@@ -34,20 +34,24 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 
 def salted_join(
-    many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", sizes: DataFrame | None = None, share: int = SHARE
+    many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", sizes: DataFrame | None = None, share: int = SHARE, prune: bool = False
 ) -> DataFrame:
     """``many.join(one, key, how)`` (inner or left) where a key may hold any part of the rows of ``many``.
 
     A key with more than one ``share``-th of all rows is dealt by the hash of column ``by`` over as many
     salts as it has such shares, and its rows of ``one`` are copied for each salt. There are fewer
     than ``share`` such keys and at most twice as many salts, whatever the data, so their list is
-    broadcast. ``sizes`` (key, n) spares the count of the keys where it is known.
+    broadcast. ``sizes`` (key, n) spares the count of the keys where it is known. With ``prune`` rows
+    of ``one`` whose key is not in ``many`` go before the shuffle, which pays where few of many wide rows
+    are needed.
     """
     from pyspark.sql import functions as F
 
     if sizes is None:
         sizes = many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.select(key, "n")
+    if prune:
+        sizes = keep(sizes, "key-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     salts = F.ceil(F.col("n") * share / F.lit(max(total, 1))).cast("int")
     hot = keep(sizes.filter(F.col("n") * share > total).filter("n > 1").select(key, salts.alias("_salts")), "hot-keys")
@@ -55,6 +59,8 @@ def salted_join(
     left = many.join(F.broadcast(hot), key, "left")
     # a null key meets nothing, so its rows may lie anywhere
     left = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.when(F.col(key).isNull(), share).otherwise(count)).cast("int"))
+    if prune:
+        one = one.join(sizes.select(key), key, "left_semi")
     right = one.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), count - 1)))
     return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"], how).drop("_salt")
 

@@ -124,15 +124,11 @@ def classes_of(sketches: DataFrame) -> DataFrame:
 
 
 def star_pairs(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each class with the smallest of its bucket, and the buckets (band, least, n)."""
+    """Pairs of each class with the smallest of its bucket, and the members (band, set_key, size, least, n) of buckets of two and more."""
     buckets = keep(bands.groupBy("band").agg(F.min("set_key").alias("least"), F.count("*").alias("n")).filter("n > 1"), "minhash-buckets")
-    pairs = (
-        salted_join(bands.select("band", "set_key"), buckets.select("band", "least"), "band", "set_key", sizes=buckets)
-        .filter("set_key != least")
-        .select(F.col("least").alias("a"), F.col("set_key").alias("b"))
-        .distinct()
-    )
-    return keep(pairs, "minhash-stars"), buckets
+    members = keep(salted_join(bands, buckets, "band", "set_key", sizes=buckets), "minhash-members")
+    pairs = members.filter("set_key != least").select(F.col("least").alias("a"), F.col("set_key").alias("b")).distinct()
+    return keep(pairs, "minhash-stars"), members
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -140,7 +136,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     one = lambda x: classes.select(
         F.col("set_key").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")
     )
-    both = salted_join(pairs.join(one("b"), "b"), one("a"), "a", "b", sizes=pairs.groupBy("a").agg(F.count("*").alias("n")))
+    both = salted_join(pairs.join(one("b"), "b"), one("a"), "a", "b", prune=True, sizes=pairs.groupBy("a").agg(F.count("*").alias("n")))
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
     return both.filter(close & (equal_values(F.col("s_a"), F.col("s_b")) >= least_equal())).select("a", "b", "doc_a", "doc_b")
 
@@ -175,7 +171,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.filter("doc_id is not null").select("doc_id", "text")
     one = lambda x: texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
     centres = pairs.groupBy("doc_a").agg(F.count("*").alias("n"))
-    rows = salted_join(pairs.join(one("b"), "doc_b"), one("a"), "doc_a", "doc_b", sizes=centres).select("a", "b", "text_a", "text_b")
+    rows = salted_join(pairs.join(one("b"), "doc_b"), one("a"), "doc_a", "doc_b", sizes=centres, prune=True).select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
@@ -272,7 +268,7 @@ def rounds(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[list[D
     return found, rows
 
 
-def rest_links(bands: DataFrame, buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+def rest_links(members: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
     """Links inside buckets of three and more classes that are in different components so far.
 
     Rounds of new centres come first. What they leave is cut by bucket into blocks of about BLOCK
@@ -280,14 +276,12 @@ def rest_links(bands: DataFrame, buckets: DataFrame, classes: DataFrame, labels:
     the bucket or the length of its texts. Full sets are compared inside the task, and a group gives
     at most one link less than it has members.
     """
-    big = buckets.filter("n > 2")
-    rows = salted_join(bands, big.select("band", "least"), "band", "set_key", sizes=big)
+    # the smallest member has been compared with all others
+    rows = members.filter("n > 2 and set_key != least")
     rows = rows.join(labels, rows["set_key"] == labels["node"], "left").select(
-        "band", "set_key", "size", "least", F.coalesce("label", "set_key").alias("label")
+        "band", "set_key", "size", F.coalesce("label", "set_key").alias("label")
     )
-    rows = keep(rows, "minhash-rows")
-    # the smallest member has been compared with all others; its bucket is mixed if any other has another label
-    rows = mixed_rows(rows.filter("set_key != least").drop("least"))
+    rows = mixed_rows(keep(rows, "minhash-rows"))
     found, rows = rounds(rows, classes, docs)
     return reduce(DataFrame.union, found, block_links(rows, classes, docs))
 
@@ -331,10 +325,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = keep(sketch(docs), "minhash-sketches")
     classes = keep(classes_of(sketches), "minhash-classes")
     bands = classes.select("set_key", F.col("n").alias("size"), F.explode("bands").alias("band"))
-    stars, buckets = star_pairs(bands)
+    stars, members = star_pairs(bands)
     links = keep(confirmed(keep(estimated(stars, classes), "minhash-pairs"), docs), "minhash-links")
     labels = components(links)
-    more = keep(rest_links(bands, buckets, classes, labels, docs), "minhash-links")
+    more = keep(rest_links(members, classes, labels, docs), "minhash-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     member = classes.select("set_key", "doc_id").join(labels, F.col("set_key") == F.col("node"), "left")
