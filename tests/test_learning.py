@@ -87,6 +87,21 @@ def test_closed_sets(spark, support):
     assert patterns.closed_sets(df.limit(0), "g", "items", support).count() == 0
 
 
+@pytest.mark.parametrize("held", [0, 12, 2_000_000])
+def test_closed_sets_held(spark, monkeypatch, held):
+    """Deep sets take no table a level where their baskets fit a task, and are the same where they do not."""
+    monkeypatch.setattr(patterns, "HELD", held)
+    rows = [[c for j, c in enumerate("abcdefg") if j != i] for i in range(7)] + [list("abcdefg"), ["a"], ["g", "h"]]
+    tables = []
+    keep = patterns.written
+    monkeypatch.setattr(patterns, "written", lambda df, label: tables.append(label) or keep(df, label))
+    df = spark.createDataFrame([("x", r) for r in rows], "g string, items array<string>")
+    found = patterns.closed_sets(df, "g", "items", 0.1)
+    got = {(r["g"], tuple(r["items"]), r["size"], r["freq"]) for r in found.collect()}
+    assert got == plain_closed([("x", r) for r in rows], 0.1)
+    assert held < 1000 or len(tables) <= 10
+
+
 def test_planted_topics(spark):
     rng = np.random.default_rng(6)
     vocab = [[f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]]
