@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyloom.functions.vectors import as_array
-from tallyloom.operators import components, patterns, regression, topic_sweep, topics
+from tallyloom.operators import components, patterns, regression, topic_model, topic_sweep, topics
 from tallyloom.sources.models import load_model, model_path, save_model
 from tallyloom.storage import scratch_path, small_side
 
@@ -116,6 +116,45 @@ def test_planted_topics(spark):
     assert len({first[i] for i in range(0, 60, 2)}) == 1 and first[0] != first[1]
 
 
+def test_topic_passes(spark, monkeypatch):
+    """Passes over blocks give what one loop over all terms gives, and inference is that of each text alone."""
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(topic_model, "TERMS", 20)
+    monkeypatch.setattr(topic_model, "SLICE", 3)
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 3, (40, 7)) * rng.random((40, 7))
+    counts[[0, 5, 39]] = 0
+    rows = [(i, Vectors.sparse(7, {int(j): float(c[j]) for j in np.flatnonzero(c)})) for i, c in enumerate(counts)]
+    df = spark.createDataFrame(rows, ["id", "features"]).repartition(3)
+    begin = topic_model.fit(df, "features", 3, 7, 0, 1)
+    assert begin.sum() == pytest.approx(counts.sum(), rel=1e-5)
+    likelihood = []
+    for n in (1, 4, 12):
+        words = topic_model.fit(df, "features", 3, 7, n, 1)
+        assert words.sum(axis=0) == pytest.approx(counts.sum(axis=0), rel=1e-4)
+        factors = (words + 0.1) / (words + 0.1).sum(axis=1, keepdims=True)
+        texts = counts.sum(axis=1, keepdims=True) / 3 * np.ones(3) + 50 / 3
+        for _ in range(50):
+            cells = texts[:, :, None] * factors
+            texts = (cells / cells.sum(axis=1, keepdims=True) * counts[:, None, :]).sum(axis=2) + 50 / 3
+        theta = texts / texts.sum(axis=1, keepdims=True)
+        likelihood.append((counts * np.log(theta @ factors)).sum() + 50 / 3 * np.log(theta).sum() + 0.1 * np.log(factors).sum())
+    assert likelihood == sorted(likelihood)
+    some = counts.sum(axis=1) > 0
+    block = [(np.flatnonzero(c), c[c > 0]) for c in counts[some]]
+    factors = np.exp(topic_sweep.digamma(words) - topic_sweep.digamma(words.sum(axis=1, keepdims=True)))
+    got = topic_model.infer(
+        np.concatenate([b[0] for b in block]), np.concatenate([b[1] for b in block]), np.array([len(b[0]) for b in block]), factors, 50 / 3 + 1
+    )
+    for own, c in zip(got, counts[some], strict=True):
+        gamma = np.ones(3)
+        for _ in range(500):
+            theta = np.exp(topic_sweep.digamma(gamma) - topic_sweep.digamma(gamma.sum()))
+            gamma = theta * (factors @ (c / (theta @ factors))) + 50 / 3 + 1
+        assert own == pytest.approx(gamma / gamma.sum(), abs=1e-3)
+
+
 def plain_bound(docs, k, size, weights, passes, updates):
     """Variational inference text by text; the bound of the fitted model."""
     prior = 1 / k
