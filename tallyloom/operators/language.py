@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import LETTER_BREAK, char_grams, tokens, word_grams
-from tallyloom.storage import small_side
+from tallyloom.operators.runs import run_counts, text_counts
+from tallyloom.storage import small_side, written
 
 UNDECIDED = "un"
 
@@ -55,31 +56,36 @@ def prepare(
     return free.withColumn("ngrams", word_grams(F.col("stopWordFree"), n))
 
 
-def term_counts(df: DataFrame, terms: str, *keys: str) -> DataFrame:
-    """Uses (tf) and documents (df) of each term, in one aggregation keyed by term."""
-    uses = F.transform(terms, lambda w: F.struct(w.alias("term"), F.lit(1).alias("u"), F.lit(0).alias("d")))
-    docs = F.transform(
-        F.array_distinct(terms), lambda w: F.struct(w.alias("term"), F.lit(0).alias("u"), F.lit(1).alias("d"))
-    )
-    flat = df.select(*keys, F.inline(F.concat(uses, docs)))
-    return flat.groupBy(*keys, "term").agg(F.sum("u").alias("tf"), F.sum("d").alias("df"))
+def term_counts(df: DataFrame, words: str, *keys: str, n: int = 1, min_df: int = 1) -> DataFrame:
+    """Uses (tf) and documents (df) of each run of ``n`` words found in ``min_df`` documents or more."""
+    return run_counts(df, words, [n], *keys, least=min_df).drop("n")
 
 
 def vocabulary(df: DataFrame, terms: str, size: int = 10_000, min_df: int = 2) -> DataFrame:
     """The ``size`` most used terms that occur in at least ``min_df`` documents."""
-    counted = term_counts(df, terms).filter(F.col("df") >= min_df)
+    counted = term_counts(df, terms, min_df=min_df)
     return counted.orderBy(F.desc("tf"), F.asc("term")).limit(size)
 
 
+def one_row_per_key(df: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, words) with the words of rows that share a key put together; only such rows are shuffled whole."""
+    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_again"))
+    again = written(again, "repeated-keys")
+    if again.isEmpty():
+        return df.select(key, words)
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    shared = df.join(again, same, "left_semi").groupBy(key).agg(F.flatten(F.collect_list(words)).alias(words))
+    return df.join(again, same, "left_anti").select(key, words).unionByName(shared)
+
+
 def tfidf(df: DataFrame, key: str, terms: str, size: int = 10_000, min_df: int = 2) -> DataFrame:
     """(key, term, tf, df, idf, weight) with idf = ln((m + 1) / (df + 1)).
 
-    The words are cut and counted once per (key, term); the vocabulary is taken
-    from the same shuffled counts. It never exceeds ``size`` rows, which bounds
-    the broadcast.
+    Words are counted inside their rows, so that only the sums of the vocabulary are shuffled; it
+    never exceeds ``size`` rows, which bounds the broadcast.
     """
     m = df.agg(F.count(F.lit(1))).scalar()
-    per = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    per = text_counts(one_row_per_key(df, key, terms), key, terms)
     used = per.groupBy("term").agg(F.sum("tf").alias("_uses"), F.count(F.lit(1)).alias("df"))
     vocab = used.filter(F.col("df") >= min_df).orderBy(F.desc("_uses"), F.asc("term")).limit(size)
     weighted = vocab.select("term", "df", F.log((m + 1) / (F.col("df") + 1)).alias("idf"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import clean_text, tokens, word_grams
+from tallyloom.functions.text import clean_text, tokens
 from tallyloom.operators import counts, entities, language, sentiment, stats
 from tallyloom.operators import lexicon as lexicons
+from tallyloom.operators.runs import run_counts
 from tallyloom.plans.ingest import CLEAN_SQL
 from tallyloom.plans.registry import query, steady
 from tallyloom.plans.views import Tables, texts, with_views
@@ -121,20 +122,15 @@ def prep_multilang(t: Tables):
 SELECT CAST(n AS INT) AS n, language, term, count(*) AS uses FROM grams GROUP BY 1, 2, 3""", GRAMS))
 def ngram_counts(t: Tables):
     """Runs of one, two and three words in each language, with their uses."""
-    p = prepared(t).select("language", "stopWordFree")
-    sized = F.array(
-        *[F.struct(F.lit(n).alias("n"), word_grams(F.col("stopWordFree"), n).alias("terms")) for n in (1, 2, 3)]
-    )
-    flat = p.select("language", F.inline(sized)).select("language", "n", F.explode("terms").alias("term"))
-    counted = flat.groupBy("n", "language", "term").agg(F.count(F.lit(1)).alias("uses"))
-    return counted
+    counted = run_counts(prepared(t), "stopWordFree", [1, 2, 3], "language", documents=False)
+    return counted.select("n", "language", "term", F.col("tf").alias("uses"))
 
 
 @query("doc_frequency", free_sql("words", """
 SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM grams WHERE n = 2 GROUP BY 1 HAVING count(DISTINCT id) >= 2""", GRAMS))
 def doc_frequency(t: Tables):
     """Uses and documents of each word pair found in two documents or more."""
-    return language.term_counts(prepared(t, 2), "ngrams").filter(F.col("df") >= 2)
+    return language.term_counts(prepared(t), "stopWordFree", n=2, min_df=2)
 
 
 @query("vocabulary", free_sql("words", """

@@ -4,13 +4,15 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyloom.functions import text as tx
 from tallyloom.functions import timeparts as tp
 from tallyloom.functions.vectors import top_index, top_indices
-from tallyloom.operators import entities, language, lexicon, sentiment
+from tallyloom.operators import entities, language, lexicon, runs, sentiment
 from tallyloom.sources import csvs, html, logs
 from tallyloom.storage import scratch_path
 
@@ -250,3 +252,52 @@ def test_nested_blocks_grouped_counters_and_attribute_order(spark):
     assert (row["id"], row["creator"], str(row["ts"])) == ("79", "cy", "2016-06-12 10:05:00")
     assert row["text"].split() == ["one", "two", "three"]
     assert (row["num_replies"], row["reshares"], row["likes"]) == (1234, 12345678, 0)
+
+
+@pytest.fixture(scope="module")
+def run_rows(spark):
+    rows = [("en", "a b a b c a b".split()), ("en", "b a b".split()), (None, "a b".split()), ("fr", []), ("fr", None), ("fr", ["x"]), (None, "b a".split())]
+    return rows * 3, spark.createDataFrame(rows * 3, "language string, words array<string>").repartition(3)
+
+
+def test_run_counts(run_rows, monkeypatch):
+    """Runs end with their text, whatever the blocks; a null key is a group of its own."""
+    rows, df = run_rows
+    for block in (2, 1 << 21):
+        monkeypatch.setattr(runs, "BLOCK", block)
+        uses, texts = Counter(), Counter()
+        for lang, words in rows:
+            own = Counter((lang, n, " ".join(words[i : i + n])) for n in (1, 2, 3) for i in range(len(words or []) - n + 1))
+            uses.update(own)
+            texts.update(own.keys())
+        got = runs.run_counts(df, "words", [1, 2, 3], "language").collect()
+        assert {(r["language"], r["n"], r["term"]): (r["tf"], r["df"]) for r in got} == {k: (uses[k], texts[k]) for k in uses}
+        assert len(got) == len(uses)
+        some = runs.run_counts(df, "words", [1, 3], least=7).collect()
+        assert {(r["n"], r["term"]) for r in some} == {(1, "a"), (1, "b")}
+
+
+def test_pair_counts(run_rows, monkeypatch):
+    rows, df = run_rows
+    monkeypatch.setattr(runs, "BLOCK", 4)
+    want = Counter()
+    for lang, words in rows:
+        for d in (1, 2):
+            want.update((lang, *sorted(p)) for p in zip(words or [], (words or [])[d:], strict=False) if p[0] != p[1])
+    got = {(r["language"], r["word"], r["other"]): r["n"] for r in runs.pair_counts(df, "words", "language", 2, 4).collect()}
+    assert got == {k: n for k, n in want.items() if n >= 4}
+
+
+@pytest.mark.parametrize("name", ["ngram_counts", "doc_frequency", "vocabulary", "tfidf_terms"])
+def test_terms_are_not_exploded(spark, sf, name):
+    """Terms are counted before rows are made of them; no shuffle has a row for each place of a text."""
+    text = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text
+
+
+def test_tfidf_of_repeated_keys(spark):
+    """Rows with one key are one text, also with a null key."""
+    rows = [(1, ["a", "b"]), (1, ["a"]), (2, ["a", "c"]), (None, ["b"]), (None, ["b", "c"]), (3, [])]
+    df = spark.createDataFrame(rows, "id int, words array<string>")
+    got = {(r["id"], r["term"]): (r["tf"], r["df"]) for r in language.tfidf(df, "id", "words", min_df=1).collect()}
+    assert got == {(1, "a"): (2, 2), (1, "b"): (1, 2), (2, "a"): (1, 2), (2, "c"): (1, 2), (None, "b"): (2, 2), (None, "c"): (1, 2)}
