@@ -7,10 +7,11 @@ Polarities are whole millionths, so a result does not depend on the order of sum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import tokens
+from tallyloom.operators.runs import pair_counts
 from tallyloom.storage import written
 
 MILLION = 1_000_000
@@ -19,20 +20,11 @@ MILLION = 1_000_000
 def near_words(df: DataFrame, text: str, language: str, reach: int = 2, least: int = 3) -> DataFrame:
     """(language, word, other, n): different words at most ``reach`` places apart, ``least`` times or more.
 
-    Pairs are added up before the shuffle. A null text or language has none.
+    Pairs are numbered and added up inside the tasks before the shuffle. A null text or language has none.
     """
-    words = F.col("_words")
-
-    def shifted(d: int) -> Column:
-        length = F.greatest(F.size(words) - F.lit(d), F.lit(0))
-        return F.arrays_zip(F.slice(words, 1, length).alias("a"), F.slice(words, d + 1, length).alias("b"))
-
-    pairs = F.concat(*[shifted(d) for d in range(1, reach + 1)])
     known = df.filter(F.col(text).isNotNull() & F.col(language).isNotNull())
     own = known.select(F.col(language).alias("language"), tokens(F.col(text), 1).alias("_words"))
-    own = own.filter(F.size(words) > 1).select("language", F.explode(pairs).alias("x")).filter("x.a <> x.b")
-    low, high = F.least("x.a", "x.b"), F.greatest("x.a", "x.b")
-    met = own.groupBy("language", low.alias("word"), high.alias("other")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    met = pair_counts(own, "_words", "language", reach, least)
     met = written(met, "near-words")
     return met.unionByName(met.select("language", F.col("other").alias("word"), F.col("word").alias("other"), "n"))
 
