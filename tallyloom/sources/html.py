@@ -44,9 +44,10 @@ def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("_body", plain).withColumns(named).drop("_body")
 
 
-def counter(fragment: Column, action: str) -> Column:
-    """Counter of one action, 0 when it is empty or absent; grouped digits count as one number."""
-    blocks = F.split(fragment, ACTION_MARK)
+def counter(blocks: Column, action: str) -> Column:
+    """Counter of one action, 0 when it is empty or absent; grouped digits count as one number.
+
+    ``blocks`` is what stands between the action marks of a post."""
     own = F.filter(blocks, lambda b: b.startswith(action) & F.regexp_like(b, F.lit(COUNT_MARK)))
     return count_or_zero(F.regexp_extract(F.coalesce(F.get(own, F.lit(0)), F.lit("")), COUNT_MARK, 1))
 
@@ -57,8 +58,11 @@ def posts_of_pages(pages: DataFrame, html: str = "html", greedy: bool = False) -
     others = [c for c in pages.columns if c != html]
     f = F.col("_fragment")
     split = pages.select(*others, F.explode(F.slice(parts, 1, F.size(parts))).alias("_fragment"))
-    text = content(f, TEXT_MARK)
-    return split.filter(F.regexp_like(f, F.lit(f"^{POST_START}"))).select(
+    posts = split.filter(F.regexp_like(f, F.lit(f"^{POST_START}")))
+    # columns of their own, so that they are made once for all fields that read them
+    posts = posts.withColumns({"_text": content(f, TEXT_MARK), "_blocks": F.split(f, ACTION_MARK)})
+    text, blocks = F.col("_text"), F.col("_blocks")
+    return posts.select(
         *others,
         F.regexp_extract(f, ID_MARK, 1).alias("id"),
         F.regexp_extract(f, CREATOR_MARK, 1).alias("creator"),
@@ -66,9 +70,9 @@ def posts_of_pages(pages: DataFrame, html: str = "html", greedy: bool = False) -
         post_timestamp(
             null_if_unknown(normal_post_time(F.regexp_extract(f, TIME_MARK, 1)), "")
         ).alias("ts"),
-        counter(f, "retweet").alias("reshares"),
-        counter(f, "favorite").alias("likes"),
-        counter(f, "reply").alias("num_replies"),
+        counter(blocks, "retweet").alias("reshares"),
+        counter(blocks, "favorite").alias("likes"),
+        counter(blocks, "reply").alias("num_replies"),
         text_content(text).alias("text"),
         text_content(drop_anchors(text, greedy)).alias("clean_text"),
     )

@@ -301,3 +301,11 @@ def test_tfidf_of_repeated_keys(spark):
     df = spark.createDataFrame(rows, "id int, words array<string>")
     got = {(r["id"], r["term"]): (r["tf"], r["df"]) for r in language.tfidf(df, "id", "words", min_df=1).collect()}
     assert got == {(1, "a"): (2, 2), (1, "b"): (1, 2), (2, "a"): (1, 2), (2, "c"): (1, 2), (None, "b"): (2, 2), (None, "c"): (1, 2)}
+
+
+def test_fields_of_posts_share_their_parts(spark):
+    """The text of a post is cut out once, not for each field made of it."""
+    df = spark.createDataFrame([(1, "<html></html>")], "page int, html string")
+    plan = html.posts_of_pages(df)._jdf.queryExecution().optimizedPlan().toString()
+    # its pieces are counted and joined, 2 places in all
+    assert plan.count("js-tweet-text-container") == 2
