@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Words, chunks, keep, mix, plain, salted_join, shingles
+from tallyloom.llm.common import Words, chunks, keep, marked, mix, plain, salted_join, shingles
 from tallyloom.llm.links import components
 
 PERMS = 160
@@ -33,6 +33,8 @@ PERCENT = 75
 SLACK = 5.5
 #: Classes and shingles of a block (about, by hash); a pair of blocks is compared in one task.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Text bytes handled at a time; hashing takes some sixty times as much for a moment, in each worker.
+PART = 1 << 20
 #: Rounds of new centres go on while a round leaves at most this part of the rows in mixed buckets.
 GAIN = 0.75
 SKETCH = "doc_id bigint, set_key bigint, n bigint, signature array<bigint>, bands array<bigint>"
@@ -64,7 +66,7 @@ def sketch(docs: DataFrame, perms: int = PERMS, rows: int = ROWS) -> DataFrame:
         factors, salts = numbers(perms, 1), numbers(perms, 2)
         places = (np.arange(64 // BITS) * BITS).astype(np.uint64)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART):
                 keys, sizes, signatures, bands = [], [], [], []
                 for own in shingles(Words(part.column(1)), SHINGLE):
                     sizes.append(len(own))
@@ -136,7 +138,9 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     one = lambda x: classes.select(
         F.col("set_key").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")
     )
-    both = salted_join(pairs.join(one("b"), "b"), one("a"), "a", "b", prune=True, sizes=pairs.groupBy("a").agg(F.count("*").alias("n")))
+    centres = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    others = marked(one("b"), "b", keep(pairs.select("b").distinct(), "minhash-others"))
+    both = salted_join(pairs.join(others, "b"), one("a"), "a", "b", prune=True, sizes=centres)
     close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
     return both.filter(close & (equal_values(F.col("s_a"), F.col("s_b")) >= least_equal())).select("a", "b", "doc_a", "doc_b")
 
@@ -147,7 +151,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, list] = (0, [])  # pairs of one document tend to follow each other
         for batch in batches:
-            for part in chunks(batch, "text_b"):
+            for part in chunks(batch, "text_b", PART):
                 a, b = (part.column(i).to_pylist() for i in (0, 1))
                 others = shingles(Words(part.column(3)), SHINGLE)
                 keep_row = np.zeros(part.num_rows, bool)
@@ -171,7 +175,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.filter("doc_id is not null").select("doc_id", "text")
     one = lambda x: texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
     centres = pairs.groupBy("doc_a").agg(F.count("*").alias("n"))
-    rows = salted_join(pairs.join(one("b"), "doc_b"), one("a"), "doc_a", "doc_b", sizes=centres, prune=True).select("a", "b", "text_a", "text_b")
+    others = marked(one("b"), "doc_b", keep(pairs.select("doc_b").distinct(), "minhash-others"))
+    rows = salted_join(pairs.join(others, "doc_b"), one("a"), "doc_a", "doc_b", sizes=centres, prune=True).select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
@@ -180,7 +185,7 @@ def full_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART):
                 sets = shingles(Words(part.column(1)), SHINGLE)
                 # rows that share a doc_id bring several texts; only the one of the class counts
                 own = [i for i, k in enumerate(part.column(0).to_pylist()) if len(sets[i]) and set_key(sets[i]) == k % (1 << 64)]
@@ -192,8 +197,8 @@ def full_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                     ["set_key", "set"],
                 )
 
-    named = classes.select("set_key", "doc_id").join(keys, "set_key")
-    texts = docs.filter("doc_id is not null").select("doc_id", "text")
+    named = keep(classes.select("set_key", "doc_id").join(keys, "set_key"), "minhash-named")
+    texts = marked(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", named.select("doc_id").distinct())
     rows = named.join(texts, "doc_id").select("set_key", "text")
     return rows.mapInArrow(work, "set_key bigint, set array<bigint>").dropDuplicates(["set_key"])
 

@@ -7,6 +7,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import common, decontaminate, langid, licenses, links, minhash, packing, pii, quality, repeats, secrets, warc
 from tallyloom.llm.queries import vocabulary
@@ -411,3 +412,32 @@ def test_sparse_scores_are_the_dense_ones(spark):
                     want = sum(log(size, lang, x) for x in known) / len(known)
                     break
             assert abs(line[k] - want) < 1e-5, (w, lang)
+
+
+def test_marked_rows(spark, monkeypatch):
+    # no key is lost, and nearly all other rows go, unless the filter is too small for its keys
+    many = spark.range(-5000, 20000).select(F.col("id").alias("k"), F.lit("x").alias("wide"))
+    many = many.unionByName(spark.createDataFrame([(None, "null")], "k bigint, wide string"))
+    for step in (7, 4000, 10**6):
+        wanted = set(range(-step, 20000, step))
+        keys = spark.createDataFrame([(k,) for k in wanted] + [(None,)], "k bigint")
+        got = {r["k"] for r in common.marked(many, "k", keys).collect()}
+        assert wanted & set(range(-5000, 20000)) <= got and None not in got
+        assert len(got - wanted) <= 0.05 * 25000
+    monkeypatch.setattr(common, "FILTER_LONGS", 16)
+    keys = spark.range(0, 20000, 7).select(F.col("id").alias("k"))
+    assert common.marked(many, "k", keys).join(keys, "k").count() == keys.count()
+    assert common.marked(many, "k", keys.filter("k < 0")).count() == 0
+
+
+def test_minhash_shuffles_few_unneeded_texts(spark, monkeypatch):
+    # texts that no candidate pair and no block names stay where they are, however many pairs there are
+    docs = spark.createDataFrame([(i, f"{i} " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(2000)], "doc_id bigint, text string")
+    pairs = spark.createDataFrame([(1, 2, 1, 2), (3, 4, 3, 4)], "a bigint, b bigint, doc_a bigint, doc_b bigint")
+    classes = spark.createDataFrame([(i, i) for i in range(2000)], "set_key bigint, doc_id bigint")
+    left, old = [], common.marked
+    for module in (common, minhash):
+        monkeypatch.setattr(module, "marked", lambda *args: left.append(old(*args)) or left[-1])
+    minhash.confirmed(pairs, docs)
+    minhash.full_sets(spark.createDataFrame([(5,), (6,)], "set_key bigint"), classes, docs)
+    assert len(left) == 3 and all(2 <= rows.count() <= 200 for rows in left)
