@@ -137,3 +137,22 @@ def test_tables_of_models_by_name(frame, spark):
         want, got = (by_id(regression.predict(frame, m, "code", FEATURES)) for m in (models, again))
         assert want == got and len(want) == 1400
         assert spark.read.parquet(model_path(root, family, code="p")).count() == 1
+
+
+@pytest.mark.parametrize("mix", [0.5, 1.0])
+@pytest.mark.parametrize("intercept", [False, True])
+def test_terms_alike_need_no_more_sweeps(monkeypatch, intercept, mix):
+    # counts of many events are nearly constant; sweeps over single terms take ten thousands of rounds there
+    monkeypatch.setattr(linear_models, "SWEEPS", 20)
+    rng = np.random.default_rng(5)
+    x = np.column_stack([50 + rng.normal(0, 0.2, 700), rng.poisson(1200, (700, 7))])
+    y = x @ rng.normal(0, 0.1, 8) + rng.normal(0, 1, 700)
+    rows = np.column_stack([np.ones(700), x, y])
+    coef = linear_models.elastic_net(rows.T @ rows, 0.1, intercept, mix)
+    pull = (x / x.std(0)).T @ (y - coef[0] - x @ coef[1:]) / 700 / y.std()
+    scaled = coef[1:] * x.std(0) / y.std()
+    pull -= 0.1 * (1 - mix) / y.std() * scaled
+    flat = 0.1 * mix / y.std()
+    assert (coef[0] != 0) == intercept and np.any(scaled != 0)
+    assert np.allclose(pull[scaled != 0], flat * np.sign(scaled[scaled != 0]), atol=1e-8)
+    assert np.all(np.abs(pull) <= flat + 1e-8)
