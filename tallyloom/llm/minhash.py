@@ -247,9 +247,9 @@ def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return joined.select("band", "set_key", "size", F.coalesce("above", "label").alias("label"))
 
 
-def rounds(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Links found by comparing each mixed bucket's members with another centre each round, and the
-    rows whose buckets are mixed after them. A round is one comparison a row."""
+def rounds(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
+    """Links found by comparing each mixed bucket's members with another centre each round, the
+    rows whose buckets are mixed after them, and their number. A round is one comparison a row."""
     found: list[DataFrame] = []
     left = rows.count()
     while left:
@@ -270,7 +270,7 @@ def rounds(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[list[D
         before, left = left, rows.count()
         if left > GAIN * before:
             break
-    return found, rows
+    return found, rows, left
 
 
 def rest_links(members: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
@@ -287,8 +287,9 @@ def rest_links(members: DataFrame, classes: DataFrame, labels: DataFrame, docs:
         "band", "set_key", "size", F.coalesce("label", "set_key").alias("label")
     )
     rows = mixed_rows(keep(rows, "minhash-rows"))
-    found, rows = rounds(rows, classes, docs)
-    return reduce(DataFrame.union, found, block_links(rows, classes, docs))
+    found, rows, left = rounds(rows, classes, docs)
+    rest = block_links(rows, classes, docs) if left else rows.select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))
+    return reduce(DataFrame.union, found, rest)
 
 
 def block_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

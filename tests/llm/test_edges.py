@@ -441,3 +441,49 @@ def test_minhash_shuffles_few_unneeded_texts(spark, monkeypatch):
     minhash.confirmed(pairs, docs)
     minhash.full_sets(spark.createDataFrame([(5,), (6,)], "set_key bigint"), classes, docs)
     assert len(left) == 3 and all(2 <= rows.count() <= 200 for rows in left)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_marked_counts_its_keys_once(spark, monkeypatch, few):
+    # by a filter and by the keys themselves; a job for each doubling of the filter filled the driver's memory
+    monkeypatch.setattr(common, "FEW_KEYS", few, raising=False)
+    counted, kind = [], type(spark.range(0))
+    old = kind.count
+    monkeypatch.setattr(kind, "count", lambda self: counted.append(1) or old(self))
+    many = spark.range(-5000, 20000).select(F.lit("x").alias("wide"), F.col("id").alias("k"))
+    keys = spark.range(0, 20000, 5).select(F.col("id").alias("k"))
+    rows = common.marked(many, "k", keys)
+    assert len(counted) == 1 and rows.columns == many.columns
+    got = {r["k"] for r in rows.collect()}
+    assert set(range(0, 20000, 5)) <= got and len(got) <= 5000 and (not few or len(got) == 4000)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_without_hot_keys(spark, monkeypatch, how):
+    # no table of hot keys is written or broadcast for none, and null keys are dealt out all the same
+    many = spark.createDataFrame([(i if i % 2 else None, i) for i in range(8000)], "k bigint, i bigint")
+    one = spark.createDataFrame([(k, k * 10) for k in range(0, 6000)], "k bigint, v bigint")
+    want = sorted(map(tuple, many.join(one, "k", how).collect()), key=str)
+    monkeypatch.setattr(common, "keep", lambda df, label: pytest.fail(label))
+    sizes = many.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    joined = common.salted_join(many, one, "k", "i", how, sizes=sizes)
+    assert sorted(map(tuple, joined.collect()), key=str) == want
+    monkeypatch.undo()
+    parts, held = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        held[name] = spark.conf.get(name)
+        spark.conf.set(name, value)
+    try:
+        sizes = [r["count"] for r in joined.select("i").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+    assert max(sizes) < 2 * sum(sizes) / int(parts)
+
+
+def test_no_blocks_are_cut_for_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "block_links", lambda *args: pytest.fail("nothing is left to compare"))
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, f"{words} x"), (3, "some other words"), (4, words)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
