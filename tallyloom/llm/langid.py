@@ -26,6 +26,8 @@ FEATURES = 200_000
 LONGEST = 4
 #: Added to each count, so that a feature unseen in a language is unlikely and not impossible.
 SMOOTH = 0.5
+#: Text bytes handled at a time; words and their hashes take some ninety times as much for a moment, in each worker.
+PART = 1 << 19
 #: Letters lie below this code point.
 LETTERS_END = 0x32400
 
@@ -89,7 +91,7 @@ def feature_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = letter_table()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART):
                 found = Letters(texts_of(part, "text"), letter)
                 langs = pd.factorize(np.array(part.column(1).to_pylist(), object))
                 every, h = np.arange(len(found.start)), found.hashes(found.start, found.end)
@@ -271,7 +273,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         letter, known = letter_table(), sent.value
         langs = np.array([*known["langs"], "und"], object)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART):
                 best, score = judged(texts_of(part, "text"), known, letter)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(langs[best].tolist(), pa.string()), pa.array(score)],
@@ -307,7 +309,7 @@ def with_language(docs: DataFrame, min_score: float = 0.0, max_rows: int = TRAIN
         langs = np.array([*known["langs"], "und"], object)
         for texts in columns:
             batch = pa.RecordBatch.from_arrays([pa.array(texts.tolist(), pa.large_string())], ["text"])
-            found = [judged(texts_of(part, "text"), known, letter) for part in chunks(batch, "text")]
+            found = [judged(texts_of(part, "text"), known, letter) for part in chunks(batch, "text", PART)]
             best = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int64)
             score = np.concatenate([x[1] for x in found]) if found else np.zeros(0)
             yield pd.DataFrame({"lang_pred": langs[best], "score": score})

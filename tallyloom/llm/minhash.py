@@ -34,7 +34,7 @@ SLACK = 5.5
 #: Classes and shingles of a block (about, by hash); a pair of blocks is compared in one task.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Text bytes handled at a time; hashing takes some sixty times as much for a moment, in each worker.
-PART = 1 << 20
+PART = 1 << 19
 #: Rounds of new centres go on while a round leaves at most this part of the rows in mixed buckets.
 GAIN = 0.75
 SKETCH = "doc_id bigint, set_key bigint, n bigint, signature array<bigint>, bands array<bigint>"

@@ -3,9 +3,11 @@
 import base64
 import json
 import random
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -487,3 +489,27 @@ def test_no_blocks_are_cut_for_no_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(1, words), (2, f"{words} x"), (3, "some other words"), (4, words)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_language_counts_in_small_parts(spark):
+    """A worker's memory follows a part of its batch, not all of it."""
+
+    class Taken:
+        def mapInArrow(self, work, schema):  # noqa: N802
+            self.work = work
+            return self
+
+        select = groupBy = agg = lambda self, *args: self  # noqa: N815
+
+    taken = Taken()
+    langid.feature_counts(taken)
+    texts = [" ".join(f"word{i % 50}" for i in range(k, k + 400)) for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * len(texts))], ["text", "lang"])
+    tracemalloc.start()
+    try:
+        total = sum(sum(x.column(3).to_pylist()) for x in taken.work(iter([batch])) if x.column(1)[0].as_py() == 0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 400 * 2000
+    assert peak < 80 << 20, peak
