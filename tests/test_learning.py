@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -102,6 +103,31 @@ def test_closed_sets_held(spark, monkeypatch, held):
     assert held < 1000 or len(tables) <= 10
 
 
+@pytest.mark.parametrize("cells", [40, 2_000_000])
+def test_sets_that_wait(monkeypatch, cells):
+    """A task that has found enough gives back the sets that wait, and the tasks that get them find the rest, none twice."""
+    monkeypatch.setattr(patterns, "ROUND", 30)
+    monkeypatch.setattr(patterns, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    rows = [tuple(np.flatnonzero(rng.random(16) < 0.8) + 1) for _ in range(60)]
+    rows = [(1, *(i + 1 for i in r)) for r in rows]
+    state = {"_g": "v", "set": "1", "least": 6, "last": 1, "freq": 60, "closure": []}
+    waiting = [[{**state, "items": [int(i) for i in r], "w": 1} for r in rows]]
+    kinds = pa.schema([("_g", pa.string()), ("set", pa.string()), ("least", pa.int64()), ("last", pa.int32()), ("freq", pa.int64())]
+        + [("closure", pa.list_(pa.int32())), ("items", pa.list_(pa.int32())), ("w", pa.int64())])
+    got, rounds = [], 0
+    while waiting:
+        out = list(patterns.grown_whole(iter([pa.RecordBatch.from_pylist(waiting.pop(), kinds)])))
+        new = [r for b in out for r in b.to_pylist()]
+        got += [(tuple(sorted(r["closure"])), r["freq"]) for r in new if r["items"] is None]
+        names = {r["set"] for r in new if r["items"] is not None}
+        waiting += [[r for r in new if r["set"] == n] for n in sorted(names)]
+        rounds += 1
+    assert rounds > 10
+    assert len(got) == len(set(got))
+    assert set(got) == {(c, n) for _, c, _, n in plain_closed([("v", [chr(64 + i) for i in r]) for r in rows], 0.1) for c in [tuple(ord(x) - 96 for x in c)]}
+
+
 def test_planted_topics(spark):
     rng = np.random.default_rng(6)
     vocab = [[f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]]
