@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyloom.functions.vectors import as_array
-from tallyloom.operators import components, patterns, regression, topic_model, topic_sweep, topics
+from tallyloom.operators import components, patterns, regression, runs, topic_model, topic_sweep, topics
 from tallyloom.sources.models import load_model, model_path, save_model
 from tallyloom.storage import scratch_path, small_side
 
@@ -128,6 +129,43 @@ def test_sets_that_wait(monkeypatch, cells):
     assert set(got) == {(c, n) for _, c, _, n in plain_closed([("v", [chr(64 + i) for i in r]) for r in rows], 0.1) for c in [tuple(ord(x) - 96 for x in c)]}
 
 
+@pytest.mark.parametrize("told", [3, 1 << 20])
+def test_top_runs(spark, monkeypatch, told):
+    """Runs counted by hashes are those that plain counts give, ties by term; so are those counted as text."""
+    monkeypatch.setattr(runs, "TOLD", told)
+    monkeypatch.setattr(runs, "ADDED", 40)
+    monkeypatch.setattr(runs, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    texts = [[f"w{i}é" for i in rng.zipf(1.6, rng.integers(0, 30)) if i < 60] for _ in range(80)] + [None, [], ["w1é"]]
+    df = spark.createDataFrame([(t,) for t in texts], "words array<string>").repartition(3)
+    got = runs.top_runs(df, "words", [1, 2, 3, 40], 25, 2)
+    assert sorted(got) == [1, 2, 3]
+    for n in (1, 2, 3):
+        grams = [[" ".join(t[i : i + n]) for i in range(len(t) - n + 1)] for t in texts if t]
+        total, per = Counter(g for t in grams for g in t), Counter(g for t in grams for g in set(t))
+        want = sorted([g for g in total if per[g] >= 2], key=lambda g: (-total[g], g))[:25]
+        assert got[n].terms == want
+        assert got[n].df.tolist() == [per[g] for g in want]
+    assert runs.top_runs(df.limit(0), "words", [1], 25) == {}
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_features_are_those_of_mllib(spark, n):
+    """Without MLlib's table of all term counts, the weights are the same; every row has its own."""
+    rng = np.random.default_rng(2)
+    texts = [[f"w{i}" for i in rng.integers(0, 12, rng.integers(0, 20))] for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, words array<string>").repartition(3)
+    plain = Pipeline(stages=topics.feature_stages("words", n=n)).fit(df)
+    terms = plain.stages[-2].vocabulary
+    want = {r["id"]: {terms[i]: v for i, v in zip(r["features"].indices, r["features"].values) if v > 0} for r in plain.transform(df).collect()}
+    own = topic_model.Features("words", n=n).fit(df)
+    assert sorted(own.vocabulary) == sorted(terms)
+    got = {r["id"]: {own.vocabulary[i]: v for i, v in zip(*r["features"], strict=True)} for r in own.transform(df, "id").collect()}
+    assert sorted(got) == sorted(want)
+    for i, row in want.items():
+        assert got[i] == pytest.approx(row)
+
+
 def test_planted_topics(spark):
     rng = np.random.default_rng(6)
     vocab = [[f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]]
