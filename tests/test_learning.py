@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
@@ -269,6 +270,30 @@ def test_sweep_is_the_plain_inference(spark, monkeypatch):
     assert topic_sweep.sweep(df.limit(0), "words", [1], [2], max_iter=2).count() == 0
 
 
+def test_sweep_blocks(monkeypatch):
+    """Texts of similar size are updated together, filled up to the same size, which changes nothing for any of them."""
+    monkeypatch.setattr(topic_sweep, "TERMS", 300)
+    monkeypatch.setattr(topic_sweep, "CLOSE", 0.0)
+    rng, ks = np.random.default_rng(5), np.array([2, 3, 5])
+    factors = rng.random((10, 400))
+    texts = [(np.sort(rng.choice(400, n, replace=False)), rng.random(n) + 0.1) for n in rng.integers(1, 60, 90)] + [(np.arange(350), np.ones(350))]
+    rows = pd.DataFrame({"n": 1, "words": [w for w, _ in texts], "weights": [c for _, c in texts]})
+    made = [b for _, b in topic_sweep.blocks(iter([rows]), {1: factors}, ks)]
+    assert sum(len(b.sizes) for b in made) == len(texts)
+    assert all(b.word.size <= 300 or len(b.sizes) == 1 for b in made)
+    assert sum(b.word.size for b in made) < 1.2 * sum(len(w) for w, _ in texts)
+    got, want, bounds = np.zeros((400, 10)), np.zeros((400, 10)), []
+    for own, sums in ((made, got), ([topic_sweep.Texts([w], [c], factors, ks) for w, c in texts], want)):
+        for b in own:
+            b.settle()
+            b.add(sums)
+        bounds.append(sum(b.bound() for b in own))
+    assert got == pytest.approx(want, rel=1e-9)
+    assert bounds[0] == pytest.approx(bounds[1], rel=1e-9)
+    whole = [np.add.reduceat((got * factors.T), [0, 2, 5], axis=1).sum(axis=0), sum(c.sum() for _, c in texts)]
+    assert whole[0] == pytest.approx(np.full(3, whole[1]))
+
+
 def test_gamma_functions():
     x = np.array([0.05, 0.5, 1.0, 2.5, 7.0, 40.0, 1e4])
     assert topic_sweep.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-9)
