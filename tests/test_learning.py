@@ -135,7 +135,7 @@ def test_top_runs(spark, monkeypatch, told):
     """Runs counted by hashes are those that plain counts give, ties by term; so are those counted as text."""
     monkeypatch.setattr(runs, "TOLD", told)
     monkeypatch.setattr(runs, "ADDED", 40)
-    monkeypatch.setattr(runs, "BLOCK", 50)
+    monkeypatch.setattr(runs, "PIECE", 50)
     rng = np.random.default_rng(8)
     texts = [[f"w{i}é" for i in rng.zipf(1.6, rng.integers(0, 30)) if i < 60] for _ in range(80)] + [None, [], ["w1é"]]
     df = spark.createDataFrame([(t,) for t in texts], "words array<string>").repartition(3)
@@ -151,8 +151,9 @@ def test_top_runs(spark, monkeypatch, told):
 
 
 @pytest.mark.parametrize("n", [1, 2])
-def test_features_are_those_of_mllib(spark, n):
+def test_features_are_those_of_mllib(spark, monkeypatch, n):
     """Without MLlib's table of all term counts, the weights are the same; every row has its own."""
+    monkeypatch.setattr(topic_model, "PIECE", 40)
     rng = np.random.default_rng(2)
     texts = [[f"w{i}" for i in rng.integers(0, 12, rng.integers(0, 20))] for _ in range(50)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, words array<string>").repartition(3)
